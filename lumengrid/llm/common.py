@@ -56,6 +56,13 @@ def crc_fold(id_column: str) -> F.Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 4
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Keep Arrow batches small for this session: whole texts can be long, and a batch is held several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def map_text(
     df: DataFrame,
     text: str,
@@ -70,6 +77,7 @@ def map_text(
     list or Arrow array for each output. Columns named in `carry` pass through; one that has an
     output's name is replaced by that output.
     """
+    small_batches(df.sparkSession)
     names = {n for n, _ in outputs}
     carry = [c for c in carry if c not in names]
     schema = T.StructType([f for f in df.select(*carry).schema] + [T.StructField(n, t, True) for n, t in outputs])

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm import sentencepieces
-from lumengrid.llm.common import table
+from lumengrid.llm import language, mixing, qualityclass, sentencepieces
+from lumengrid.llm.common import crc_fold, materialise, table
+
+#: Of crc32(doc_id) mod 4, the fold that no model learns from.
+HELD_OUT = 2
+#: From this score on a document counts as good.
+GOOD = 0.7
 
 
 def piece_model() -> str:
@@ -15,6 +20,62 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('0:' || coalesce(doc_id::VARCHAR, '')) AS k
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM s),
+r AS (SELECT *, 2 * source_size::DOUBLE AS cap, 2 * source_size::DOUBLE / weight AS ratio FROM w),
+l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM r WINDOW o AS (ORDER BY ratio, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT arg_min(level, ratio) AS level FROM l WHERE ratio > level),
+t AS (SELECT l.source, l.no, l.source_size, least(l.cap, coalesce(l.weight * b.level, l.cap)) AS target FROM l LEFT JOIN b ON true),
+q AS (
+  SELECT d.*, t.no, t.source_size, t.target,
+         coalesce(sum(d.size) OVER (PARTITION BY t.no ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT q.*, copy, (before + size + copy * source_size)::DOUBLE / target AS finish
+  FROM q, (SELECT unnest([0, 1]) AS copy) WHERE size > 0 AND target > 0),
+e AS (SELECT *, sum(size) OVER (ORDER BY finish, copy, no, k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+n AS (SELECT doc_id, no, size, count(*) AS copies FROM e WHERE upto <= 1.5 * (SELECT sum(size) FROM d) GROUP BY ALL)
+SELECT q.doc_id, q.size, q.source_size, q.target, (coalesce(n.copies, 0) * q.size)::BIGINT AS taken
+FROM q LEFT JOIN n ON q.doc_id = n.doc_id AND q.no = n.no AND q.size = n.size
+"""
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.fit(docs.where(crc_fold("doc_id") != HELD_OUT))
+    out = language.predict(docs, model, carry=["doc_id"])
+    return out.select("doc_id", F.coalesce(crc_fold("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> tuple[qualityclass.Discriminant, DataFrame]:
+    """Fit outside the held-out fold; also returns the materialised statistics of all documents."""
+    stats = materialise(qualityclass.statistics(docs.select("doc_id", "text"), carry=["doc_id"]))
+    labelled = stats.where(crc_fold("doc_id") != HELD_OUT).join(labels.select("doc_id", "quality"), "doc_id")
+    return qualityclass.fit(labelled), stats
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, stats = quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = qualityclass.score(stats, model, ["doc_id"])
+    held = F.coalesce(crc_fold("doc_id") == HELD_OUT, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = sentencepieces.encode(docs, piece_model(), carry=["doc_id"], outputs=("n_tokens", "ids", "decoded"))
@@ -22,7 +83,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op3_language": op3_language,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL}
