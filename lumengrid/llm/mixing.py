@@ -103,10 +103,12 @@ def mix(
     totals = materialise(totals.select("range", F.coalesce(ahead, F.lit(0)).alias("ahead")).where(F.col("ahead") <= budget))
     copies = join_checked(copies, totals, ["range"])
     inside = F.sum("at.size").over(Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    cut = materialise(copies.withColumn("end", F.col("ahead") + inside).where(F.col("end") <= budget).agg(F.max("at").alias("cut")))
-    mixed = queued.crossJoin(F.broadcast(cut))  # one row
-    n = sum(F.coalesce((_place(c) <= F.col("cut")).cast("long"), F.lit(0)) for c in range(COPIES))
-    return mixed.select("id", "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
+    last = copies.withColumn("end", F.col("ahead") + inside).where(F.col("end") <= budget).agg(F.max("at").alias("at"))
+    cut = last.select("at.*").first()  # the last copy that the budget holds
+    kind = last.schema["at"].dataType
+    cut = F.struct(*[F.lit(cut[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+    n = sum(F.coalesce(_place(c) <= cut, F.lit(False)).cast("long") for c in range(COPIES))
+    return queued.select("id", "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
