@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm import language, mixing, qualityclass, qualityrules, sentencepieces
+from lumengrid.llm import embeddings, jaccard, language, mixing, qualityclass, qualityrules, sentencepieces
 from lumengrid.llm.common import crc_fold, materialise, table
 
 #: Of crc32(doc_id) mod 4, the fold that no model learns from.
@@ -76,11 +76,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = qualityrules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")).withColumnRenamed("id", "vec_id")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = sentencepieces.encode(docs, piece_model(), carry=["doc_id"], outputs=("n_tokens", "ids", "decoded"))
@@ -90,7 +98,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_language": op3_language,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
 }
