@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm import embeddings, jaccard, language, mixing, qualityclass, qualityrules, sentencepieces
-from lumengrid.llm.common import crc_fold, materialise, table
+from lumengrid.llm import embeddings, htmltext, jaccard, language, licences, mixing, qualityclass, qualityrules, sentencepieces, warc
+from lumengrid.llm.common import crc_fold, materialise, shared_dir, table
 
 #: Of crc32(doc_id) mod 4, the fold that no model learns from.
 HELD_OUT = 2
@@ -55,6 +57,11 @@ FROM q LEFT JOIN n ON q.doc_id = n.doc_id AND q.no = n.no AND q.size = n.size
 """
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language.fit(docs.where(crc_fold("doc_id") != HELD_OUT))
@@ -76,6 +83,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its notices, how many are worded exactly, and the distinct licences by name."""
+    out = licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["licence"]))), ";")
+    exact = F.size(F.filter("notices", lambda n: n["exact"])).cast("long")
+    return out.select("doc_id", F.size("notices").cast("long").alias("n_notices"), exact.alias("n_exact"), names.alias("licences"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
@@ -89,6 +104,27 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")).withColumnRenamed("id", "vec_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/lumengrid-warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    captures = warc.assemble(warc.read(spark, path, payload=False))
+    page_id = F.col("metadata.fields")["captureId"].cast("long")
+    captures = warc.resolve_revisits(captures, page_id)
+    size = F.coalesce("response.payload_bytes", F.col("metadata.fields")["payloadBytes"].cast("long"))
+    return captures.select(page_id.alias("page_id"), size.alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), "refers_to")
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
+b AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT, 1), '' ORDER BY k) AS payload_digest
+      FROM d, (SELECT unnest(range(32)) AS k) GROUP BY page_id)
+SELECT d.page_id, payload_bytes, payload_digest, CASE WHEN d.page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id <> first THEN first END AS refers_to
+FROM d JOIN b USING (page_id)
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = sentencepieces.encode(docs, piece_model(), carry=["doc_id"], outputs=("n_tokens", "ids", "decoded"))
@@ -97,12 +133,15 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_html_text": op2_html_text,
     "op3_language": op3_language,
+    "op4_licences": op4_licences,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op8_warc": OP8_SQL}
