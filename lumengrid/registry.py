@@ -1,4 +1,548 @@
-"""Registered queries and the DuckDB SQL that each must agree with."""
+"""Registered queries and the DuckDB SQL that each must agree with.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Embeddings of 64 numbers are taken as frames of 8 by 8 cells, events of a user as a series. Doubles are
+rounded to 6 digits on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumengrid.functions import arrays as A
+from lumengrid.operators import generate, layout, ordered, retrieve, smooth, spectral
+from lumengrid.plans import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+SIGMA, SHARE, BETA = 1.5, 0.5, 0.9
+
+
+def vals():
+    return F.col("values")
+
+
+PX = "px AS (SELECT vec_id AS image_id, ((p - 1) // 8)::INT AS iy, ((p - 1) % 8)::INT AS ix, embedding[p]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS p))"
+#: Neighbouring pairs: a is the frame, b the one with the next id.
+PAIR = PX + ", pr AS (SELECT a.image_id, a.iy, a.ix, a.v AS a, b.v AS b FROM px a JOIN px b ON b.image_id = a.image_id + 1 AND b.iy = a.iy AND b.ix = a.ix)"
+SERIES = "se AS (SELECT user_id AS series_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS pos, value::DOUBLE AS v FROM events)"
+KERNEL = "ker AS (SELECT * FROM (VALUES " + ", ".join(f"({k - 4}, {w!r}::DOUBLE)" for k, w in enumerate(A.gaussian_weights(SIGMA))) + ") t(k, w))"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL if there is any."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r(column, name: str | None = None):
+    column = F.col(column) if isinstance(column, str) else column
+    out = F.round(column, 6) + F.lit(0.0)
+    return out.alias(name) if name else out
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.frames_from_arrays(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id", "embedding", 8, 8)
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
+    return ordered.series(events, "user_id", ["ts", "event_id"], "value")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.pairs(frames(spark, sf_dir))
+
+
+def masks(df: DataFrame, values: str = "values") -> DataFrame:
+    """Add masked: cells below the frame's mean."""
+    mean = df.withColumn("__mean", A.mean(F.col(values)))
+    return mean.withColumn("masked", F.transform(values, lambda x: x < F.col("__mean"))).drop("__mean")
+
+
+# Reductions
+
+
+@query(f"WITH {PX} SELECT image_id, max(v) FILTER (NOT isnan(v)) AS max FROM px GROUP BY image_id")
+def frame_max(spark, sf_dir):
+    return frames(spark, sf_dir).select("image_id", A.vector_max(vals()).alias("max"))
+
+
+@query(f"WITH {PX} SELECT image_id, min(v) FILTER (NOT isnan(v)) AS min FROM px GROUP BY image_id")
+def frame_min(spark, sf_dir):
+    return frames(spark, sf_dir).select("image_id", A.vector_min(vals()).alias("min"))
+
+
+@query(f"WITH {PX} SELECT image_id, round(sum(v), 6) + 0.0 AS sum FROM px GROUP BY image_id")
+def frame_sum(spark, sf_dir):
+    return frames(spark, sf_dir).select("image_id", r(A.vector_sum(vals()), "sum"))
+
+
+@query(f"WITH {PX} SELECT image_id, max(abs(v)) AS max_abs FROM px GROUP BY image_id")
+def frame_max_abs(spark, sf_dir):
+    return frames(spark, sf_dir).select("image_id", A.vector_max_abs(vals()).alias("max_abs"))
+
+
+@query(f"WITH {PX} SELECT image_id, round(sum(v * v), 6) + 0.0 AS energy FROM px GROUP BY image_id")
+def frame_reduce_with(spark, sf_dir):
+    return frames(spark, sf_dir).select("image_id", r(A.reduce_with(vals(), F.lit(0.0), lambda a, x: a + x * x), "energy"))
+
+
+@query(f"WITH {PX} SELECT image_id, round(avg(v), 6) + 0.0 AS mean, round(stddev_samp(v), 6) + 0.0 AS stddev FROM px GROUP BY image_id")
+def frame_mean_stddev(spark, sf_dir):
+    return frames(spark, sf_dir).select("image_id", r(A.mean(vals()), "mean"), r(A.stddev(vals()), "stddev"))
+
+
+@query(f"WITH {PX} SELECT image_id, min(v) AS min, max(v) AS max, round(avg(v), 6) + 0.0 AS mean, round(sum(v), 6) + 0.0 AS sum, count(DISTINCT v) AS n_distinct FROM px GROUP BY image_id")
+def frame_value_profile(spark, sf_dir):
+    distinct = F.size(F.array_distinct("values")).cast("long")
+    return frames(spark, sf_dir).select("image_id", A.vector_min(vals()).alias("min"), A.vector_max(vals()).alias("max"), r(A.mean(vals()), "mean"), r(A.vector_sum(vals()), "sum"), distinct.alias("n_distinct"))
+
+
+@query(f"WITH {PX} SELECT image_id, ix, max(v) AS max FROM px GROUP BY image_id, ix")
+def frame_col_max(spark, sf_dir):
+    columns = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda ix: A.vector_max(A.every(vals(), 8, ix)))
+    return frames(spark, sf_dir).select("image_id", F.posexplode(columns).alias("ix", "max"))
+
+
+@query(f"WITH {PAIR} SELECT image_id, max(abs(a - b)) AS max_abs_diff FROM pr GROUP BY image_id")
+def pair_max_abs_diff(spark, sf_dir):
+    return pairs(spark, sf_dir).select("image_id", A.vector_max_abs_diff(F.col("a"), F.col("b")).alias("max_abs_diff"))
+
+
+@query(f"WITH {PAIR} SELECT image_id, round(avg(abs(a - b)), 6) + 0.0 AS mean_abs_diff FROM pr GROUP BY image_id")
+def pair_mean_abs_diff(spark, sf_dir):
+    return pairs(spark, sf_dir).select("image_id", r(A.mean_abs_diff(F.col("a"), F.col("b")), "mean_abs_diff"))
+
+
+@query(f"WITH {PAIR} SELECT image_id, round(max(abs(a - b)) / greatest(max(abs(a)), max(abs(b))), 6) + 0.0 AS relative_error FROM pr GROUP BY image_id")
+def pair_relative_error(spark, sf_dir):
+    return pairs(spark, sf_dir).select("image_id", r(A.frame_relative_error(F.col("a"), F.col("b")), "relative_error"))
+
+
+@query(f"WITH {PAIR} SELECT image_id, round(max(CASE WHEN greatest(abs(a), abs(b)) = 0 THEN 0 ELSE abs(a - b) / greatest(abs(a), abs(b)) END), 6) + 0.0 AS worst FROM pr GROUP BY image_id")
+def pair_cell_error(spark, sf_dir):
+    return pairs(spark, sf_dir).select("image_id", r(F.array_max(F.zip_with("a", "b", A.relative_error)), "worst"))
+
+
+@query(f"WITH {PAIR} SELECT image_id, iy, ix, greatest(a, b) AS v FROM pr")
+def pair_combine_max(spark, sf_dir):
+    base = frames(spark, sf_dir)
+    other = base.withColumn("image_id", F.col("image_id") - 1)
+    return layout.unpack(generate.combine_max(base, other))
+
+
+# Maps and indices
+
+
+@query(f"WITH {PX} SELECT image_id, iy, ix, CASE WHEN v < 0.1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM px")
+def frame_cutoff(spark, sf_dir):
+    return layout.unpack(frames(spark, sf_dir).withColumn("values", F.transform(vals(), lambda x: A.cutoff(x, F.lit(0.1), 1.0, 0.0))))
+
+
+@query(
+    f"WITH {PX}, m AS (SELECT image_id, iy, ix, v, max(v) OVER (PARTITION BY image_id) AS m FROM px) "
+    "SELECT image_id, iy, ix, trunc(v / CASE WHEN m = 0 THEN 1 ELSE m END * 65535 + 0.5)::BIGINT AS q, v < 0 AS negative FROM m"
+)
+def frame_quantise16(spark, sf_dir):
+    scaled = frames(spark, sf_dir).withColumn("m", A.vector_max(vals()))
+    scaled = scaled.withColumns({"q": F.transform(vals(), lambda x: A.quantise16(x, F.col("m"))), "negative": F.transform(vals(), lambda x: x < 0)})
+    return layout.unpack(scaled, "q", "negative")
+
+
+@query(f"WITH {PX} SELECT image_id, v FROM px WHERE iy = 2 AND ix = 3")
+def frame_pixel_at(spark, sf_dir):
+    return frames(spark, sf_dir).select("image_id", F.get(vals(), 2 * F.col("width") + 3).alias("v"))
+
+
+@query(f"WITH {PX} SELECT image_id, iy, ix, round(CASE WHEN v > 0 THEN ln(v) END, 6) + 0.0 AS v FROM px")
+def frame_log_scale(spark, sf_dir):
+    out = layout.unpack(frames(spark, sf_dir).withColumn("values", F.transform(vals(), A.log_scale)))
+    return out.select("image_id", "iy", "ix", r("v", "v"))
+
+
+@query(f"WITH {PX} SELECT image_id, ((iy + 4) % 8)::INT AS iy, ((ix + 4) % 8)::INT AS ix, v FROM px")
+def frame_fft_shift(spark, sf_dir):
+    return layout.unpack(spectral.fft_shift(frames(spark, sf_dir)))
+
+
+@query("SELECT vec_id AS image_id, (vec_id % 64 // 32)::INT AS i0, (vec_id % 32 // 8)::INT AS i1, (vec_id % 8)::INT AS i2, vec_id % 64 AS linear FROM embeddings")
+def index_roundtrip(spark, sf_dir):
+    sizes = F.array(*map(F.lit, (2, 4, 8)))
+    at = frames(spark, sf_dir).select("image_id", A.to_vector(F.col("image_id") % 64, sizes).alias("index"))
+    return at.select("image_id", *[F.get("index", F.lit(i)).alias(f"i{i}") for i in range(3)], A.to_linear(F.col("index"), sizes).alias("linear"))
+
+
+@query(
+    f"WITH {PX} SELECT image_id, iy, ix, round(4 + cos(0.5) * (ix - 4) - sin(0.5) * (iy - 4), 6) + 0.0 AS x, round(4 + sin(0.5) * (ix - 4) + cos(0.5) * (iy - 4), 6) + 0.0 AS y FROM px"
+)
+def rotate_coords(spark, sf_dir):
+    x, y = A.rotate(F.col("ix"), F.col("iy"), 4.0, 4.0, 0.5)
+    return layout.unpack(frames(spark, sf_dir)).select("image_id", "iy", "ix", r(x, "x"), r(y, "y"))
+
+
+# Masks
+
+MASK = PX + ", ma AS (SELECT *, v < avg(v) OVER (PARTITION BY image_id) AS masked FROM px)"
+_ERROR = "SELECT image_id, round(sum(CASE WHEN {0} THEN abs(v) ELSE 0 END), 6) + 0.0 AS total_error, count(*) FILTER ({0}) AS n_masked, round(sqrt(sum(CASE WHEN {0} THEN abs(v) ELSE 0 END)) / nullif(count(*) FILTER ({0}), 0), 6) + 0.0 AS error FROM ma GROUP BY image_id"
+
+
+def _masked_error(df: DataFrame, invert: bool = False) -> DataFrame:
+    total, count, error = A.masked_error(F.transform(vals(), F.abs), F.col("masked"), invert)
+    return df.select("image_id", r(total, "total_error"), count.alias("n_masked"), r(error, "error"))
+
+
+@query(f"WITH {MASK} " + _ERROR.format("masked"))
+def masked_error(spark, sf_dir):
+    return _masked_error(masks(frames(spark, sf_dir)))
+
+
+@query(f"WITH {MASK} " + _ERROR.format("NOT masked"))
+def masked_error_inverted(spark, sf_dir):
+    return _masked_error(masks(frames(spark, sf_dir)), invert=True)
+
+
+@query(f"WITH {MASK} " + _ERROR.format("masked"))
+def masked_error_packed(spark, sf_dir):
+    words = masks(frames(spark, sf_dir)).withColumn("words", A.pack_bits(F.col("masked")))
+    return _masked_error(words.withColumn("masked", A.unpack_bits(F.col("words"), F.size("values"))))
+
+
+@query(f"WITH {MASK} SELECT image_id, (iy * 8 + ix)::INT AS pos, masked FROM ma")
+def unpack_bitmask(spark, sf_dir):
+    words = masks(frames(spark, sf_dir)).select("image_id", A.pack_bits(F.col("masked")).alias("words"))
+    return words.select("image_id", F.posexplode(A.unpack_bits(F.col("words"), F.lit(64))).alias("pos", "masked"))
+
+
+# Series
+
+_STEPS = f"WITH {SERIES}, st AS (SELECT series_id, abs(v - lag(v) OVER (PARTITION BY series_id ORDER BY pos)) AS step FROM se) "
+
+
+@query(_STEPS + "SELECT series_id, round(max(step), 6) + 0.0 AS max_step FROM st GROUP BY series_id")
+def series_max_step(spark, sf_dir):
+    return ordered.step_profile(series(spark, sf_dir)).select("series_id", r("max_step", "max_step"))
+
+
+@query(_STEPS + "SELECT series_id, round(coalesce(sum(step), 0), 6) + 0.0 AS total_variation FROM st GROUP BY series_id")
+def series_total_variation(spark, sf_dir):
+    return ordered.step_profile(series(spark, sf_dir)).select("series_id", r("total_variation", "total_variation"))
+
+
+@query(
+    f"WITH {SERIES}, {KERNEL}, n AS (SELECT series_id, max(pos) AS last FROM se GROUP BY series_id) "
+    "SELECT a.series_id, a.pos, round(sum(k.w * b.v), 6) + 0.0 AS v FROM se a JOIN n USING (series_id) CROSS JOIN ker k JOIN se b ON b.series_id = a.series_id AND b.pos = greatest(0, least(n.last, a.pos + k.k)) GROUP BY a.series_id, a.pos"
+)
+def series_gaussian_blur(spark, sf_dir):
+    return ordered.blur_series(series(spark, sf_dir), SIGMA).select("series_id", "pos", r("v", "v"))
+
+
+POINTS = ordered.log_spaced(2, 64, 8)
+
+
+@query(
+    f"WITH {SERIES}, ru AS (SELECT series_id, pos + 1 AS n, max(v) OVER w AS max, min(v) OVER w AS min, sum(v) OVER w AS sum FROM se WINDOW w AS (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) "
+    f"SELECT series_id, n::INT AS n, max, min, round(sum, 6) + 0.0 AS sum FROM ru WHERE n IN ({', '.join(map(str, POINTS))})"
+)
+def series_prefix_profile(spark, sf_dir):
+    return ordered.prefix_profile(series(spark, sf_dir), POINTS).select("series_id", "n", "max", "min", r("sum", "sum"))
+
+
+# Smoothing
+
+
+def _blurred(axis: str, source: str, periodic: bool = False) -> str:
+    move = f"((a.{axis} + k.k + 8) % 8)" if periodic else f"greatest(0, least(7, a.{axis} + k.k))"
+    other = "iy" if axis == "ix" else "ix"
+    return f"SELECT a.image_id, a.iy, a.ix, sum(k.w * b.v) AS v FROM {source} a CROSS JOIN ker k JOIN {source} b ON b.image_id = a.image_id AND b.{other} = a.{other} AND b.{axis} = {move} GROUP BY a.image_id, a.iy, a.ix"
+
+
+_ROUNDED = "SELECT image_id, iy, ix, round(v, 6) + 0.0 AS v FROM "
+
+
+def _pixels(df: DataFrame) -> DataFrame:
+    return layout.unpack(df).select("image_id", "iy", "ix", r("v", "v"))
+
+
+@query(f"WITH {PX}, {KERNEL} {_ROUNDED} ({_blurred('ix', 'px')})")
+def blur_rows(spark, sf_dir):
+    return _pixels(smooth.blur(frames(spark, sf_dir), SIGMA, "rows"))
+
+
+@query(f"WITH {PX}, {KERNEL} {_ROUNDED} ({_blurred('iy', 'px')})")
+def blur_cols(spark, sf_dir):
+    return _pixels(smooth.blur(frames(spark, sf_dir), SIGMA, "cols"))
+
+
+@query(f"WITH {PX}, {KERNEL}, h AS ({_blurred('ix', 'px')}) {_ROUNDED} ({_blurred('iy', 'h')})")
+def blur_2d(spark, sf_dir):
+    return _pixels(smooth.blur(frames(spark, sf_dir), SIGMA))
+
+
+@query(f"WITH {PX}, {KERNEL}, h AS ({_blurred('ix', 'px', True)}) {_ROUNDED} ({_blurred('iy', 'h', True)})")
+def blur_periodic(spark, sf_dir):
+    return _pixels(smooth.blur(frames(spark, sf_dir), SIGMA, periodic=True))
+
+
+_STEP = "SELECT image_id, min(v) AS lo, max(v) AS hi, max(step) AS step FROM (SELECT *, abs(v - lag(v) OVER (PARTITION BY image_id, iy ORDER BY ix)) AS step FROM {}) GROUP BY image_id"
+
+
+@query(
+    f"WITH {PX}, {KERNEL}, h AS ({_blurred('ix', 'px')}), b AS ({_blurred('iy', 'h')}), p AS ({_STEP.format('px')}), q AS ({_STEP.format('b')}) "
+    "SELECT image_id, q.lo >= p.lo - 1e-12 AS min_ok, q.hi <= p.hi + 1e-12 AS max_ok, q.step <= p.step + 1e-12 AS step_ok FROM p JOIN q USING (image_id)"
+)
+def blur_invariants(spark, sf_dir):
+    before = frames(spark, sf_dir)
+    return smooth.smoothing_invariants(before, smooth.blur(before, SIGMA))
+
+
+@query(
+    f"WITH {PX}, t AS (SELECT image_id, iy * 8 + ix AS p, v FROM px) SELECT a.image_id, a.p::INT AS pos, round(0.25 * b.v + 0.5 * a.v + 0.25 * c.v, 6) + 0.0 AS v "
+    "FROM t a JOIN t b ON b.image_id = a.image_id AND b.p = greatest(0, a.p - 1) JOIN t c ON c.image_id = a.image_id AND c.p = least(63, a.p + 1)"
+)
+def convolve_1d(spark, sf_dir):
+    out = A.convolve_1d(vals(), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.25)))
+    return frames(spark, sf_dir).select("image_id", F.posexplode(out).alias("pos", "v")).select("image_id", "pos", r("v", "v"))
+
+
+@query(
+    "WITH s AS (SELECT vec_id AS image_id, 0.1 + vec_id % 40 * 0.1::DOUBLE AS sigma FROM embeddings), n AS (SELECT *, ceil(2.884402748387961466::DOUBLE * sigma - 0.5)::INT AS n FROM s) "
+    "SELECT image_id, 2 * n + 1 AS n_weights, round(1 / list_sum(list_transform(range(-n, n + 1), lambda i: exp(-(i * i) / (2 * sigma * sigma)))), 6) + 0.0 AS middle FROM n"
+)
+def gaussian_kernel(spark, sf_dir):
+    sized = frames(spark, sf_dir).select("image_id", A.gaussian_kernel(0.1 + F.col("image_id") % 40 * 0.1).alias("w"))
+    return sized.select("image_id", F.size("w").alias("n_weights"), r(F.get("w", F.floor(F.size("w") / 2).cast("int")), "middle"))
+
+
+# Spectral
+
+
+def _dft(source: str, name: str, sign: int, re: str = "re", im: str = "im") -> str:
+    """CTEs of the transform of `source` along x, then y."""
+    a = f"({sign * 2} * pi() / 8 * ((k.k * {{}}) % 8))"
+    x, y = a.format("s.ix"), a.format("s.iy")
+    return (
+        f"{name}_x AS MATERIALIZED (SELECT image_id, iy, k.k AS ix, sum({re} * cos({x}) - {im} * sin({x})) AS re, sum({re} * sin({x}) + {im} * cos({x})) AS im FROM {source} s, k8 k GROUP BY image_id, iy, k.k), "
+        f"{name} AS MATERIALIZED (SELECT image_id, k.k AS iy, ix, sum(re * cos({y}) - im * sin({y})) AS re, sum(re * sin({y}) + im * cos({y})) AS im FROM {name}_x s, k8 k GROUP BY image_id, k.k, ix)"
+    )
+
+
+K8 = PX + ", k8 AS (SELECT unnest(range(0, 8))::INT AS k)"
+_COMPLEX = "SELECT image_id, iy, ix, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM "
+MAG = f"{_dft('px', 'f', -1, 'v', '0')}, mg AS MATERIALIZED (SELECT image_id, iy, ix, sqrt(re * re + im * im) AS v FROM f)"
+
+
+def _complex_pixels(df: DataFrame) -> DataFrame:
+    return layout.unpack(df, "re", "im").select("image_id", "iy", "ix", r("re", "re"), r("im", "im"))
+
+
+@query(f"WITH {K8}, {_dft('px', 'f', -1, 'v', '0')} {_COMPLEX} f")
+def dft2(spark, sf_dir):
+    return _complex_pixels(spectral.dft2(frames(spark, sf_dir)))
+
+
+@query(f"WITH {K8}, {_dft('px', 'f', -1, 'v', '0')} {_COMPLEX} f")
+def dft2_pixels(spark, sf_dir):
+    pixels = layout.unpack(frames(spark, sf_dir)).select("image_id", "iy", "ix", F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    return spectral.dft2_pixels(pixels, 8, 8).select("image_id", "iy", "ix", r("re", "re"), r("im", "im"))
+
+
+@query(f"WITH {K8}, {_dft('px', 'f', 1, 'v', '0')} {_COMPLEX} f")
+def dft2_inverse(spark, sf_dir):
+    return _complex_pixels(spectral.dft2(frames(spark, sf_dir), inverse=True))
+
+
+@query(f"WITH {K8}, {MAG} {_ROUNDED} mg")
+def diffraction_magnitude(spark, sf_dir):
+    return _pixels(spectral.diffraction_magnitude(frames(spark, sf_dir)))
+
+
+@query(f"WITH {K8}, {MAG}, {_dft('mg', 'g', 1, 'v', '0')} {_COMPLEX} g")
+def autocorrelation_guess(spark, sf_dir):
+    return _complex_pixels(spectral.autocorrelation_guess(spectral.diffraction_magnitude(frames(spark, sf_dir))))
+
+
+@query(f"WITH {PAIR} SELECT image_id, iy, ix, round(sqrt(a * a + b * b), 6) + 0.0 AS norm FROM pr")
+def complex_norm(spark, sf_dir):
+    out = pairs(spark, sf_dir).withColumn("norm", spectral.complex_norm("a", "b"))
+    return layout.unpack(out, "norm").select("image_id", "iy", "ix", r("norm", "norm"))
+
+
+@query(f"WITH {K8}, {_dft('px', 'f', -1, 'v', '0')} SELECT image_id, round(avg(abs(re)), 6) + 0.0 AS mean_re, round(avg(abs(im)), 6) + 0.0 AS mean_im, avg(abs(im)) >= 1e-5 AS alarm FROM f GROUP BY image_id")
+def realness(spark, sf_dir):
+    out = spectral.dft2(frames(spark, sf_dir))
+    size = lambda c: A.mean(F.transform(c, F.abs))
+    return out.select("image_id", r(size("re"), "mean_re"), r(size("im"), "mean_im"), (size("im") >= 1e-5).alias("alarm"))
+
+
+@query(
+    f"WITH {PX} SELECT a.image_id, round(max(CASE WHEN greatest(abs(a.v), abs(b.v)) = 0 THEN 0 ELSE abs(a.v - b.v) / greatest(abs(a.v), abs(b.v)) END), 6) + 0.0 AS asymmetry "
+    "FROM px a JOIN px b ON b.image_id = a.image_id AND b.iy = 8 - a.iy AND b.ix = 8 - a.ix WHERE a.iy > 0 AND a.ix > 0 GROUP BY a.image_id"
+)
+def mirror_symmetry(spark, sf_dir):
+    return spectral.mirror_symmetry(frames(spark, sf_dir)).select("image_id", r("asymmetry", "asymmetry"))
+
+
+@query()
+def random_phase_init(spark, sf_dir):
+    return _complex_pixels(spectral.random_phase(spectral.diffraction_magnitude(frames(spark, sf_dir))))
+
+
+# Iterative jobs
+
+_NORM = "no AS (SELECT image_id, iy, ix, abs(v) AS v FROM px)"
+
+
+@query(
+    f"WITH {PX}, {KERNEL}, {_NORM}, h AS ({_blurred('ix', 'no')}), b AS ({_blurred('iy', 'h')}), t AS (SELECT *, {SHARE} * max(v) OVER (PARTITION BY image_id) AS t FROM b) "
+    "SELECT image_id, iy, ix, round(t, 6) + 0.0 AS threshold, v < t AS masked FROM t"
+)
+def update_mask(spark, sf_dir):
+    real = frames(spark, sf_dir).withColumns({"re": vals(), "im": F.transform(vals(), lambda x: F.lit(0.0))})
+    out = retrieve.update_mask(real, SIGMA, SHARE)
+    out = layout.unpack(out, "masked").join(out.select("image_id", r("threshold", "threshold")), "image_id")
+    return out.select("image_id", "iy", "ix", "threshold", "masked")
+
+
+def _guess(spark, sf_dir):
+    """Pairs as a guess: g = (a, b), new = (b, a), masked where a is below its mean, magnitude |a|."""
+    df = masks(pairs(spark, sf_dir), "a")
+    names = {"g_re": "a", "g_im": "b", "re": "b", "im": "a"}
+    return df.withColumns({k: F.col(v) for k, v in names.items()} | {"mag": F.transform("a", F.abs)})
+
+
+@query(
+    f"WITH {PAIR}, m AS (SELECT *, a < avg(a) OVER (PARTITION BY image_id) AS masked FROM pr) SELECT image_id, iy, ix, "
+    f"round(CASE WHEN masked OR b < 0 THEN a - {BETA} * b ELSE b END, 6) + 0.0 AS re, round(CASE WHEN masked OR b < 0 THEN b - {BETA} * a ELSE a END, 6) + 0.0 AS im FROM m"
+)
+def hio_constraint(spark, sf_dir):
+    out = retrieve.hio_constraint(_guess(spark, sf_dir), BETA)
+    return _complex_pixels(out.withColumns({"re": F.col("g_re"), "im": F.col("g_im")}))
+
+
+@query(
+    f"WITH {PAIR}, n AS (SELECT *, sqrt(a * a + b * b) AS n FROM pr) SELECT image_id, iy, ix, round(b * abs(a) / CASE WHEN n = 0 THEN 1 ELSE n END, 6) + 0.0 AS re, "
+    "round(a * abs(a) / CASE WHEN n = 0 THEN 1 ELSE n END, 6) + 0.0 AS im FROM n"
+)
+def apply_modulus(spark, sf_dir):
+    return _complex_pixels(retrieve.apply_modulus(_guess(spark, sf_dir)))
+
+
+@query(
+    f"WITH {K8}, {MAG}, {_dft('mg', 'g', 1, 'v', '0')}, "
+    f"c AS MATERIALIZED (SELECT image_id, iy, ix, CASE WHEN ix < 2 OR re < 0 THEN re - {BETA} * re ELSE re END AS re, CASE WHEN ix < 2 OR re < 0 THEN im - {BETA} * im ELSE im END AS im FROM g), "
+    f"{_dft('c', 's', -1)}, m AS MATERIALIZED (SELECT s.image_id, s.iy, s.ix, re * v / CASE WHEN sqrt(re * re + im * im) = 0 THEN 1 ELSE sqrt(re * re + im * im) END AS re, "
+    f"im * v / CASE WHEN sqrt(re * re + im * im) = 0 THEN 1 ELSE sqrt(re * re + im * im) END AS im FROM s JOIN mg USING (image_id, iy, ix)), {_dft('m', 'o', 1)} {_COMPLEX} o"
+)
+def hio_step(spark, sf_dir):
+    start = spectral.diffraction_magnitude(frames(spark, sf_dir)).withColumn("mag", vals())
+    start = spectral.autocorrelation_guess(start)
+    start = start.withColumns({"g_re": F.col("re"), "g_im": F.col("im"), "masked": F.transform("mag", lambda _, p: (p % 8 < 2).cast("double"))})
+    return _complex_pixels(retrieve.hio_steps(start, 1, BETA))
+
+
+def _params(spark, sf_dir) -> DataFrame:
+    ids = frames(spark, sf_dir).select("image_id")
+    third = F.col("image_id") % 3
+    return ids.select("image_id", F.when(third == 1, 0).when(third == 2, 5).cast("int").alias("n_hio"), F.when(third == 0, 1.5).when(third == 1, -1.0).alias("sigma0"), F.lit(2).alias("n_cycles"))
+
+
+@query(
+    "SELECT vec_id AS image_id, CASE WHEN vec_id % 3 = 2 THEN 5 ELSE 20 END AS n_hio, CASE WHEN vec_id % 3 = 0 THEN 1.5::DOUBLE ELSE 3.0::DOUBLE END AS sigma0, 2 AS n_cycles, 1e-5::DOUBLE AS target_error, 0.9::DOUBLE AS beta FROM embeddings"
+)
+def resolve_params(spark, sf_dir):
+    out = retrieve.resolve_params(frames(spark, sf_dir), _params(spark, sf_dir))
+    return out.select("image_id", "n_hio", "sigma0", "n_cycles", "target_error", "beta")
+
+
+@query("SELECT vec_id AS image_id, (vec_id % 100)::INT AS cycle, round(CASE WHEN vec_id % 100 = 0 THEN 3.0 ELSE greatest(1.5, 3.0 * pow(1 - 0.01::DOUBLE, vec_id % 100)) END, 6) + 0.0 AS sigma FROM embeddings")
+def sigma_schedule(spark, sf_dir):
+    cycle = (F.col("image_id") % 100).cast("int")
+    return frames(spark, sf_dir).select("image_id", cycle.alias("cycle"), r(retrieve.sigma_at(F.lit(3.0), F.lit(0.01), cycle), "sigma"))
+
+
+def _magnitudes(spark, sf_dir) -> DataFrame:
+    return spectral.diffraction_magnitude(frames(spark, sf_dir).withColumn("values", F.transform(vals(), F.abs)))
+
+
+@query()
+def shrink_wrap(spark, sf_dir):
+    return retrieve.shrink_wrap(_magnitudes(spark, sf_dir), _params(spark, sf_dir))[0]
+
+
+@query()
+def iteration_trace(spark, sf_dir):
+    return retrieve.shrink_wrap(_magnitudes(spark, sf_dir), _params(spark, sf_dir))[1]
+
+
+@query()
+def run_batch(spark, sf_dir):
+    return jobs.run_batch(_magnitudes(spark, sf_dir), _params(spark, sf_dir))
+
+
+@query()
+def hybrid_input_output(spark, sf_dir):
+    given = masks(frames(spark, sf_dir)).select("image_id", "masked")
+    return retrieve.hybrid_input_output(_magnitudes(spark, sf_dir), given, _params(spark, sf_dir), steps_a_cycle=5)[0]
+
+
+# Generators: one frame per vector, with parameters by its id
+
+
+def _shapes(spark, sf_dir) -> DataFrame:
+    d = 0.2 + F.col("image_id") % 5 * 0.15
+    return frames(spark, sf_dir).select("image_id", "height", "width", d.alias("d"), (F.col("image_id") % 7 * 0.1).alias("phi"))
+
+
+GRID = "gr AS (SELECT vec_id AS image_id, i::INT AS iy, j::INT AS ix, i::DOUBLE AS y, j::DOUBLE AS x, 0.2::DOUBLE + vec_id % 5 * 0.15::DOUBLE AS d, vec_id % 7 * 0.1::DOUBLE AS phi FROM embeddings, (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j))"
+TURNED = GRID + ", tu AS (SELECT image_id, iy, ix, d, 4 + cos(phi) * (x - 4) - sin(phi) * (y - 4) AS x, 4 + sin(phi) * (x - 4) + cos(phi) * (y - 4) AS y FROM gr)"
+_RECTANGLE = "x BETWEEN trunc((0.5 - d / 2) * 8) AND trunc((0.5 + d / 2) * 8) AND y BETWEEN trunc(0.25 * 8) AND trunc(0.75 * 8)"
+
+
+@query(f"WITH {TURNED} SELECT image_id, iy, ix, CASE WHEN {_RECTANGLE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM tu")
+def gen_rectangle(spark, sf_dir):
+    return layout.unpack(generate.rectangle(_shapes(spark, sf_dir), F.col("d"), 0.5, phi=F.col("phi")))
+
+
+@query(f"WITH {TURNED} SELECT image_id, iy, ix, CASE WHEN floor(x / (d * 8) + ceil(8 / d)) % 2 = 0 AND floor(y / (0.3 * 8) + ceil(8 / 0.3)) % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM tu")
+def gen_checkerboard(spark, sf_dir):
+    return layout.unpack(generate.checkerboard(_shapes(spark, sf_dir), F.col("d"), 0.3, F.col("phi")))
+
+
+@query(f"WITH {GRID} SELECT image_id, iy, ix, CASE WHEN atan2((y - 4) / 8, (x - 4) / 8) + pi() BETWEEN 0.3 AND 5 AND ((x - 4) / 8) * ((x - 4) / 8) + ((y - 4) / 8) * ((y - 4) / 8) <= d * d THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM gr")
+def gen_circular_section(spark, sf_dir):
+    return layout.unpack(generate.circular_section(_shapes(spark, sf_dir), F.col("d"), phi0=0.3, phi1=5.0))
+
+
+def _disc_values() -> str:
+    x, y, rows = 0.0, 0.0, ["(0.0::DOUBLE, 0.0::DOUBLE)"]
+    for dx, dy in generate.DISC_STEPS:
+        x, y = x + dx * 2 * generate.RADIUS, y + dy * 2 * generate.RADIUS
+        rows.append(f"({x!r}::DOUBLE, {y!r}::DOUBLE)")
+    return "di AS (SELECT 0.45 * 8 + sx AS dx, 0.61 * 8 + sy AS dy FROM (VALUES " + ", ".join(rows) + ") t(sx, sy))"
+
+
+@query(
+    f"WITH {GRID}, {_disc_values()}, sh AS (SELECT image_id, iy, ix, CASE WHEN x >= floor(dx - 1.6) - 1 AND x < least(7, ceil(dx + 1.6) + 1) AND y >= floor(dy - 1.6) - 1 AND y < least(7, ceil(dy + 1.6) + 1) "
+    "AND pow(((x - dx) ** 2 + (y - dy) ** 2) / (1.6::DOUBLE * 1.6::DOUBLE), 3) < 1 THEN 1 - pow(((x - dx) ** 2 + (y - dy) ** 2) / (1.6::DOUBLE * 1.6::DOUBLE), 3) ELSE 0 END AS s FROM gr, di) "
+    "SELECT image_id, iy, ix, round(least(1.0::DOUBLE, sum(s)), 6) + 0.0 AS v FROM sh GROUP BY image_id, iy, ix"
+)
+def gen_atom_cluster(spark, sf_dir):
+    return _pixels(generate.atom_cluster(_shapes(spark, sf_dir)))
+
+
+@query(
+    f"WITH {TURNED}, ci AS (SELECT image_id, iy, ix, ((x - 4) / 8) ** 2 + ((y - 4) / 8) ** 2 <= 0.2::DOUBLE * 0.2::DOUBLE AS inside FROM gr) "
+    f"SELECT tu.image_id, tu.iy, tu.ix, CASE WHEN inside OR {_RECTANGLE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM tu JOIN ci USING (image_id, iy, ix)"
+)
+def gen_combo(spark, sf_dir):
+    return layout.unpack(generate.combo(_shapes(spark, sf_dir), 0.2, F.col("d"), 0.5, F.col("phi")))
