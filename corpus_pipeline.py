@@ -1,20 +1,66 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next.
+
+Every stage works on all that its predecessor kept. Documents rejected by the quality classifier go,
+then those whose language can't be told; of each group of near duplicates the document with the
+smallest id stays; sources are mixed to their targets, so that a document may appear twice; and the
+mix is encoded. SQL can't express the models, so there is no oracle: tests/llm compares the stages with
+plain Python.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumengrid.llm import jaccard, language, mixing, qualityclass
+from lumengrid.llm.common import crc_fold, materialise, table
+from lumengrid.llm.queries import GOOD, HELD_OUT, encoded_digests, quality_model
+
+#: Least share that a document's language must have among all languages.
+SURE = 0.5
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model, _ = quality_model(docs, table(spark, sf_dir, "labels"))
+    scored = qualityclass.score_texts(docs.withColumnRenamed("score", "__score"), model)
+    return scored.where(F.col("score") >= GOOD).drop("score").withColumnRenamed("__score", "score")
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of no or an unsure language, and fills in languages that are null."""
+    model = language.fit(docs.where(crc_fold("doc_id") != HELD_OUT))
+    found = language.predict(docs.withColumnRenamed("score", "__score"), model)
+    found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE))
+    found = found.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
+    return found.withColumnRenamed("__score", "score").select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = jaccard.join(docs).where("kept").select(F.col("id").alias("__id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encoded_digests(docs)
 
-from lumengrid.llm.common import materialise, table
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("language", keep_known_language),
+    ("near duplicates", keep_one_of_each_group),
+    ("source mix", mix_sources),
+    ("sentence pieces", encode),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = materialise(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumengrid.plans.checkpoint import materialise, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "WORD", "crc_fold", "join_checked", "map_text", "materialise", "shared_dir", "small_batches", "table"]
+
 #: Java and Python pattern of one word: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The separators of that pattern, for splitting in Python.
-SPACES = " \t\n\x0b\x0c\r"
 #: Rows of a table that may be broadcast; larger tables are joined by shuffling.
 BROADCAST_ROWS = 20_000
 
@@ -24,27 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumengrid-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back.
-
-    The lineage is cut, the rows survive a lost executor, later reads prune columns, and Spark knows
-    the table's size, so that it can pick the join strategy by it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/lumengrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join a materialised `right`: broadcast only if its counted rows are within BROADCAST_ROWS, else by shuffle."""
     n = right.count() if rows is None else rows
@@ -82,7 +61,10 @@ def map_text(
     carry = [c for c in carry if c not in names]
     schema = T.StructType([f for f in df.select(*carry).schema] + [T.StructField(n, t, True) for n, t in outputs])
     kinds = [_arrow_type(t) for _, t in outputs]
-    renamed = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("__text"))
+    sent = [F.col(f"`{c}`") for c in carry]
+    place = carry.index(text) if text in carry else len(carry)
+    if place == len(carry):
+        sent.append(F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -91,11 +73,11 @@ def map_text(
             step = max(1, min(rows, int(rows * slice_bytes / max(1, batch.nbytes))))
             for at in range(0, rows, step):
                 part = batch.slice(at, step)
-                results = fn(part.column(len(carry)).to_pylist())
+                results = fn(part.column(place).to_pylist())
                 arrays = [r if isinstance(r, pa.Array) else pa.array(r, k) for r, k in zip(results, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(part.columns[: len(carry)] + arrays, names=schema.names)
 
-    return renamed.mapInArrow(run, schema)
+    return df.select(*sent).mapInArrow(run, schema)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

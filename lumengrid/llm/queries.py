@@ -125,12 +125,15 @@ FROM d JOIN b USING (page_id)
 """
 
 
-def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+def encoded_digests(docs: DataFrame) -> DataFrame:
     out = sentencepieces.encode(docs, piece_model(), carry=["doc_id"], outputs=("n_tokens", "ids", "decoded"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html_text": op2_html_text,
