@@ -33,7 +33,8 @@ def word_statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...]
     """Carried columns, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals.
 
     A word of a three-word window that occurs twice or more in the text counts as repeated. Windows
-    are compared by 64-bit hashes within one text, sorted with their positions.
+    are compared by 64-bit hashes within one text, sorted with their positions. Write the result before
+    filtering by it: a filter would be pushed below, and repeat the array expressions inside each other.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals"]
     carry = [c for c in carry if c not in made]
