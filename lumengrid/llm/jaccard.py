@@ -161,9 +161,8 @@ def join(
 
     def rows_of(found: DataFrame) -> DataFrame:
         wanted = materialise(found.join(classes.select("node", "digest", "class_id", F.col("copies").alias("weight")), "node"))
-        n_wanted = wanted.count()
-        right = F.broadcast(wanted) if n_wanted <= 20_000 else wanted
-        texts = docs.join(right, docs["id"].eqNullSafe(right["class_id"]))
+        # One plan at every size: the texts of candidates are fetched by a sort-merge join.
+        texts = docs.join(wanted.hint("merge"), docs["id"].eqNullSafe(wanted["class_id"]))
 
         def sets():
             hashes = _WordHashes()
