@@ -26,6 +26,10 @@ from lumengrid.llm.common import join_checked, materialise, small_batches
 from lumengrid.llm.components import link
 
 
+#: Functions that a key joins at most; a vector has 2 to the power of their number keys a table.
+MOST_FUNCTIONS = 6
+
+
 @lru_cache(maxsize=8)
 def _signs(tables: int, functions: int, width: int) -> np.ndarray:
     return np.random.default_rng(40_009 + width).choice([-1.0, 1.0], (tables, functions, 3, width))
@@ -75,12 +79,13 @@ def plan(largest: int, width: int, miss: float = 1e-4, meet: float = 0.9) -> tup
     """(functions, tables): few chance meetings among `largest` vectors, and pairs missed with chance `miss`.
 
     `meet` is a lower bound for the chance that the nearest axis of one vector is among the two nearest
-    of another at the threshold.
+    of another at the threshold. Where the functions run out, as for very short vectors, buckets only get
+    fuller: what meets in them is compared exactly anyway.
     """
     functions = 1
     while True:
         tables = max(2, math.ceil(math.log(miss) / math.log(1 - meet**functions)))
-        if 2 * tables * largest / width**functions <= 0.3 or functions == 12:
+        if 2 * tables * largest / width**functions <= 0.3 or functions == MOST_FUNCTIONS:
             return functions, tables
         functions += 1
 
@@ -93,9 +98,8 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     classes = rows.where(valid).groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
     counts = classes.groupBy("label", F.size("v").alias("width")).agg(F.count("*").alias("n"))
-    largest, width = counts.agg(F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.min(F.greatest("width", F.lit(2))), F.lit(2))).first()
-    functions, tables = plan(largest, width)
-    combos = np.array(list(product((0, 1), repeat=functions)))
+    widths = counts.groupBy("width").agg(F.max("n").alias("n")).collect()  # one row for each length of vectors
+    plans = {r["width"]: plan(r["n"], 1 << max(1, (r["width"] - 1).bit_length())) for r in widths}
     small_batches(vectors.sparkSession, 200)
 
     def keys(batches):
@@ -106,6 +110,8 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
                 at = np.flatnonzero(lengths == size)
                 x = values.take(pa.array(at)).flatten().to_numpy().reshape(-1, size)
                 x = x / np.abs(x).max(1, keepdims=True)
+                functions, tables = plans[int(size)]
+                combos = np.array(list(product((0, 1), repeat=functions)))
                 found = axes(x, tables, functions)
                 key = np.repeat((labels[at] * np.int64(1_000_003) + size)[:, None, None], tables, 1) + np.arange(tables)[None, :, None]
                 key = np.repeat(key, len(combos), 2)
