@@ -174,7 +174,11 @@ def threshold(values: list[float]) -> float:
 
 def main_text(html: str | None) -> str:
     parser = Blocks()
-    parser.feed(html or "")
+    html = html or ""
+    last = html.rfind("<!--")
+    if last >= 0 and html.find("-->", last) < 0:  # a comment that never ends
+        html = html[:last]
+    parser.feed(html)
     parser.close()
     parser.flush()
     blocks = parser.blocks

@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
 Lines with a trigger word are joined, over gaps of up to `gap` lines, into candidate blocks. Each block
-is compressed with every template as a zstandard raw dictionary; templates are ranked by how much smaller
-that makes the block than without one. The best ones are confirmed by their exact wording: a word
+is compressed with every template as a zstandard raw dictionary; templates are ranked by how many bytes
+that saves, as a share of the template's own compressed size without the frame, and must reach the share `least`. The best ones are confirmed by their exact wording: a word
 alignment gives the words of the template that the text lacks and those it has besides, and a template
 counts as found if the similarity reaches `similarity`. Confirmed spans are taken out of the block, and
 the rest is scanned again, so that one block can hold several notices.
@@ -87,10 +87,10 @@ def blocks(text: str, gap: int = 2) -> list[tuple[int, int]]:
 class Scanner:
     """Templates with their dictionaries, in one task."""
 
-    def __init__(self, templates: list[tuple[str, str]] | None = None, best: int = 4, similarity: float = 0.9):
+    def __init__(self, templates: list[tuple[str, str]] | None = None, best: int = 6, similarity: float = 0.9, least: float = 0.25):
         import zstandard
 
-        self.best, self.similarity = best, similarity
+        self.best, self.similarity, self.least = best, similarity, least
         options = dict(level=3, write_content_size=False, write_checksum=False)
         self.plain = zstandard.ZstdCompressor(**options)
         self.templates = []
@@ -101,14 +101,19 @@ class Scanner:
             data = " ".join(w for w in words if w != ANY).encode()
             # A raw dictionary must have 8 bytes at least.
             raw = zstandard.ZstdCompressionDict(data.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((licence, words, zstandard.ZstdCompressor(dict_data=raw, write_dict_id=False, **options)))
+            own = len(self.plain.compress(data)) - len(self.plain.compress(b""))
+            self.templates.append((licence, words, zstandard.ZstdCompressor(dict_data=raw, write_dict_id=False, **options), own))
 
-    def ranked(self, words: list[str]) -> list[tuple[float, int, int]]:
-        """(reduction, -template, bytes saved), best first."""
+    def ranked(self, words: list[str]) -> list[tuple[float, int, float]]:
+        """(share of the template saved, template, share of the block saved) of the best templates."""
         data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
-        saved = [alone - len(c.compress(data)) for _, _, c in self.templates]
-        return sorted(((s / alone, -k, s) for k, s in enumerate(saved) if s > 0), key=lambda x: (-x[2], -x[1]))
+        found = []
+        for k, (_, _, compressor, own) in enumerate(self.templates):
+            saved = alone - len(compressor.compress(data))
+            if saved >= self.least * own:
+                found.append((saved / own, k, saved / alone))
+        return sorted(found, key=lambda x: (-x[0], x[1]))[: self.best]
 
     def align(self, template: list[str], words: list[str]) -> tuple[int, int, float, list[str], list[str]] | None:
         """Span of words that the template covers, similarity, and its missing and extra words there."""
@@ -130,27 +135,44 @@ class Scanner:
         kept = len(wanted) - len(missing)
         return first, last, kept / (len(wanted) + len(extra)), missing, extra
 
+    @staticmethod
+    def closer(text: str, start: int, end: int, level: int, reach: int = 200) -> list[tuple[int, int]]:
+        """Smaller spans with trigger words: the lines of a block, or what is near each word, overlaps joined."""
+        if level == 0:
+            cuts = [start, *[start + m.end() for m in re.finditer("\n", text[start:end])], end]
+            return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if TRIGGER.search(text, a, b)]
+        spans: list[list[int]] = []
+        if level == 1:
+            for m in TRIGGER.finditer(text, start, end):
+                a, b = max(start, m.start() - reach), min(end, m.end() + reach)
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+        return [tuple(s) for s in spans]
+
     def scan(self, text: str | None) -> list[dict]:
         found = []
         for lo, hi in blocks(text or ""):
-            todo = [(lo, hi)]
+            todo = [(lo, hi, 0)]
             while todo:
-                start, end = todo.pop()
+                start, end, level = todo.pop()
                 tokens = [(m.start() + start, m.end() + start) for m in _WORD.finditer(text[start:end])]
                 words = [text[a:b].lower() for a, b in tokens]
                 if not words:
                     continue
                 hits = []
-                for reduction, k, _ in self.ranked(words)[: self.best]:
-                    licence, template, _ = self.templates[-k]
+                for _, k, reduction in self.ranked(words):
+                    licence, template = self.templates[k][:2]
                     if (a := self.align(template, words)) and a[2] >= self.similarity:
                         hits.append((a[2] * len(template), reduction, licence, a))
-                if not hits:
+                if not hits:  # what surrounds a short notice may hide it: look at lines, then near the trigger words
+                    todo += [(a, b, level + 1) for a, b in self.closer(text, start, end, level) if (a, b) != (start, end)]
                     continue
                 _, reduction, licence, (first, last, similarity, missing, extra) = max(hits, key=lambda h: h[:2])
                 a, b = tokens[first][0], tokens[last - 1][1]
                 found.append({"licence": licence, "start": a, "end": b, "reduction": reduction, "similarity": similarity, "exact": not missing and not extra, "missing": missing, "extra": extra})
-                todo += [(start, a), (b, end)]
+                todo += [(start, a, level), (b, end, level)]
         return sorted(found, key=lambda n: n["start"])
 
 
