@@ -57,4 +57,9 @@ def sink_discard(df: DataFrame) -> None:
 
 def sink_callback(frames: DataFrame, fn: Callable) -> None:
     """Call fn(row) for every frame, in the tasks that hold them; a retried task calls again."""
-    frames.foreachPartition(lambda rows: [fn(row) for row in rows] and None)
+
+    def deliver(rows) -> None:
+        for row in rows:
+            fn(row)
+
+    frames.foreachPartition(deliver)
