@@ -76,6 +76,16 @@ def complex_norm(re: str = "re", im: str = "im") -> F.Column:
     return F.zip_with(re, im, lambda a, b: F.hypot(a, b))
 
 
+def to_complex(frames: DataFrame) -> DataFrame:
+    """Real frames as re and im, which is 0."""
+    return frames.withColumns({"re": F.col("values"), "im": F.transform("values", lambda _: F.lit(0.0))}).drop("values")
+
+
+def real_part(frames: DataFrame) -> DataFrame:
+    """The real part of re and im, as values."""
+    return frames.withColumn("values", F.col("re")).drop("re", "im")
+
+
 def diffraction_magnitude(frames: DataFrame) -> DataFrame:
     """The magnitude of the transform, as values; neither squared nor shifted."""
     return dft2(frames).withColumn("values", complex_norm()).drop("re", "im")

@@ -371,6 +371,19 @@ def autocorrelation_guess(spark, sf_dir):
     return _complex_pixels(spectral.autocorrelation_guess(spectral.diffraction_magnitude(frames(spark, sf_dir))))
 
 
+@query(f"WITH {PX} SELECT image_id, iy, ix, v AS re, 0.0::DOUBLE AS im FROM px")
+def to_complex(spark, sf_dir):
+    return layout.unpack(spectral.to_complex(frames(spark, sf_dir)), "re", "im")
+
+
+@query(f"WITH {PX} SELECT image_id, iy, ix, round(v, 6) + 0.0 AS v FROM px")
+def real_part(spark, sf_dir):
+    """The transform and back, without the factor that transforms leave."""
+    there = spectral.dft2(spectral.dft2(frames(spark, sf_dir)), "re", "im", inverse=True)
+    back = spectral.real_part(there)
+    return _pixels(back.withColumn("values", F.transform("values", lambda x: x / (F.col("height") * F.col("width")))))
+
+
 @query(f"WITH {PAIR} SELECT image_id, iy, ix, round(sqrt(a * a + b * b), 6) + 0.0 AS norm FROM pr")
 def complex_norm(spark, sf_dir):
     out = pairs(spark, sf_dir).withColumn("norm", spectral.complex_norm("a", "b"))
