@@ -75,19 +75,35 @@ def cosine_links(threshold: float):
     return linked
 
 
-def plan(largest: int, width: int, miss: float = 1e-4, meet: float = 0.9) -> tuple[int, int]:
-    """(functions, tables): few chance meetings among `largest` vectors, and pairs missed with chance `miss`.
+@lru_cache(maxsize=64)
+def meeting_chance(width: int, threshold: float, pairs: int = 2000) -> float:
+    """Chance that the nearest axis of one vector is among the two nearest of another, at the threshold.
 
-    `meet` is a lower bound for the chance that the nearest axis of one vector is among the two nearest
-    of another at the threshold. Where the functions run out, as for very short vectors, buckets only get
-    fuller: what meets in them is compared exactly anyway.
+    Estimated from seeded pairs at that cosine, less three standard errors.
     """
-    functions = 1
-    while True:
+    random = np.random.default_rng(70_001)
+    x, z = random.normal(size=(2, pairs, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = threshold * x + math.sqrt(1 - threshold**2) * z
+    share = float((axes(x, 1, 1)[..., :1] == axes(y, 1, 1)).any(-1).mean())
+    return min(0.999, max(0.05, share - 3 * math.sqrt(share * (1 - share) / pairs)))
+
+
+def plan(largest: int, width: int, threshold: float, miss: float = 1e-4, chance: float = 0.5) -> tuple[int, int]:
+    """(functions, tables): pairs at the threshold are missed with chance `miss` at most.
+
+    A vector meets fewer than `chance` others by chance among `largest` ones, which keeps components small.
+    Where the functions run out, as for very short vectors, buckets only get fuller: what meets in them
+    is compared exactly anyway.
+    """
+    meet = meeting_chance(width, threshold)
+    for functions in range(1, MOST_FUNCTIONS + 1):
         tables = max(2, math.ceil(math.log(miss) / math.log(1 - meet**functions)))
-        if 2 * tables * largest / width**functions <= 0.3 or functions == MOST_FUNCTIONS:
-            return functions, tables
-        functions += 1
+        if 2 * tables * largest / width**functions <= chance:
+            break
+    return functions, tables
 
 
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -99,7 +115,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
     counts = classes.groupBy("label", F.size("v").alias("width")).agg(F.count("*").alias("n"))
     widths = counts.groupBy("width").agg(F.max("n").alias("n")).collect()  # one row for each length of vectors
-    plans = {r["width"]: plan(r["n"], 1 << max(1, (r["width"] - 1).bit_length())) for r in widths}
+    plans = {r["width"]: plan(r["n"], 1 << max(1, (r["width"] - 1).bit_length()), threshold) for r in widths}
     small_batches(vectors.sparkSession, 200)
 
     def keys(batches):
