@@ -181,17 +181,28 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    blocks = parser.blocks
-    if any(b[2] and not b[3] for b in blocks):
-        chosen = [b[0] for b in blocks if b[2] and not b[3]]
-    else:
-        ratios = [0.0 if b[3] else len(b[0]) / max(1, b[1]) for b in blocks]
-        if not any(ratios):
-            return ""
-        smoothed = smooth(ratios)
-        cut = threshold([s for s, b in zip(smoothed, blocks, strict=True) if not b[3]])
-        chosen = [b[0] for b, s in zip(blocks, smoothed, strict=True) if not b[3] and s >= min(cut, max(smoothed))]
-    return "\n\n".join(chosen)
+    chosen = regions(parser.blocks)
+    return "\n\n".join(text for (text, *_), keep in zip(parser.blocks, chosen, strict=True) if keep)
+
+
+def regions(blocks: list[tuple[str, int, bool, bool]]) -> list[bool]:
+    """Which blocks are content: those whose smoothed ratio, with what structure says, reaches the clusters' threshold.
+
+    Boilerplate has no ratio and is never content. An element for content lifts its blocks to the upper
+    cluster, and leaves the blocks outside it in the lower one.
+    """
+    ratios = [0.0 if boilerplate else len(text) / max(1, tags) for text, tags, _, boilerplate in blocks]
+    if not any(ratios):
+        return [False] * len(blocks)
+    smoothed = smooth(ratios)
+    cut = min(max(smoothed), threshold([s for s, b in zip(smoothed, blocks, strict=True) if not b[3]]))
+    marked = any(content and not boilerplate for _, _, content, boilerplate in blocks)
+    chosen = []
+    for score, (_, _, content, boilerplate) in zip(smoothed, blocks, strict=True):
+        if marked:
+            score = max(score, cut) if content else 0.0
+        chosen.append(not boilerplate and score >= cut)
+    return chosen
 
 
 def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:
