@@ -84,7 +84,9 @@ def test_language_of_odd_rows(spark):
 def test_word_backoff_uses_shorter_grams():
     model = language.Model([("a", 0, "abc", 5), ("b", 0, "xyz", 5), ("a", 3, "<ab", 4), ("b", 3, "<xy", 4), ("a", 1, "q", 9), ("b", 1, "r", 9)])
     predict = language.Predictor(model).predict
-    assert [predict(w)[0] for w in ("abc", "abd", "xyd", "rrr", "qqq")] == ["a", "a", "b", "b", "a"]
+    assert [lang for lang, _ in predict(["abc", "abd", "xyd", "rrr", "qqq"])] == ["a", "a", "b", "b", "a"]
+    small = language.Predictor(model, cache_entries=2).predict
+    assert [small([w])[0] for w in ("abc", "abd", "xyd", "rrr", "qqq")] == predict(["abc", "abd", "xyd", "rrr", "qqq"])
 
 
 def test_quality_of_held_out_documents(spark, sf_dir):
