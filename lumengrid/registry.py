@@ -422,8 +422,8 @@ _NORM = "no AS (SELECT image_id, iy, ix, abs(v) AS v FROM px)"
 def update_mask(spark, sf_dir):
     real = frames(spark, sf_dir).withColumns({"re": vals(), "im": F.transform(vals(), lambda x: F.lit(0.0))})
     out = retrieve.update_mask(real, SIGMA, SHARE)
-    out = layout.unpack(out, "masked").join(out.select("image_id", r("threshold", "threshold")), "image_id")
-    return out.select("image_id", "iy", "ix", "threshold", "masked")
+    out = layout.unpack(out.withColumn("threshold", F.transform("masked", lambda _: F.col("threshold"))), "threshold", "masked")
+    return out.select("image_id", "iy", "ix", r("threshold", "threshold"), "masked")
 
 
 def _guess(spark, sf_dir):
