@@ -1,10 +1,11 @@
 """Main text of web pages from a stream of parser events.
 
 The standard library's parser turns a page into blocks in page order, each with its text and the tags
-that were met in it. The text-to-tag ratio of the blocks is smoothed with a Gaussian, and a threshold
-between its two clusters (two means in one dimension) selects the content regions. Structure guides
-it: blocks in navigation, page headers, footers, asides, forms and containers named as adverts,
-notices or comments have no ratio and are never text; blocks in an article or main element are content.
+that were met in it. The logarithm of the blocks' text-to-tag ratio is smoothed with a Gaussian, and a
+threshold between its two clusters (two means in one dimension) selects the content regions, on every
+page. Structure guides it by bounded factors on the smoothed ratio: FOR for blocks in an article or main
+element, 1 / AGAINST for those in navigation, page headers, footers, asides, forms and containers named
+as adverts, notices or comments.
 
 Nulls: a null page is empty. A page without text gives an empty string. Broken markup is read as far as
 it goes; very long pages are read whole.
@@ -33,6 +34,8 @@ NAMES = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentary disqus respond replies reply popup modal overlay widget widgets pagination pager toolbar search login copyright legal disclaimer skip alert teaser tags".split()
 )
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: Factors by which an article or main element raises a block's ratio and boilerplate lowers it, and the ratio of prose.
+FOR, AGAINST, PROSE = 32, 256, 40
 
 
 @lru_cache(maxsize=4096)
@@ -185,24 +188,17 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(text for (text, *_), keep in zip(parser.blocks, chosen, strict=True) if keep)
 
 
-def regions(blocks: list[tuple[str, int, bool, bool]]) -> list[bool]:
-    """Which blocks are content: those whose smoothed ratio, with what structure says, reaches the clusters' threshold.
+def regions(blocks: list[tuple[str, int, bool, bool]], sigma: float = 1.0) -> list[bool]:
+    """Which blocks are content: those whose smoothed log ratio, with the weight of their structure, reaches the clusters' threshold.
 
-    Boilerplate has no ratio and is never content. An element for content lifts its blocks to the upper
-    cluster, and leaves the blocks outside it in the lower one.
+    A boilerplate block without text and a paragraph of prose count as one block each, so that a page of
+    only one kind of blocks has two clusters too.
     """
-    ratios = [0.0 if boilerplate else len(text) / max(1, tags) for text, tags, _, boilerplate in blocks]
-    if not any(ratios):
-        return [False] * len(blocks)
-    smoothed = smooth(ratios)
-    cut = min(max(smoothed), threshold([s for s, b in zip(smoothed, blocks, strict=True) if not b[3]]))
-    marked = any(content and not boilerplate for _, _, content, boilerplate in blocks)
-    chosen = []
-    for score, (_, _, content, boilerplate) in zip(smoothed, blocks, strict=True):
-        if marked:
-            score = max(score, cut) if content else 0.0
-        chosen.append(not boilerplate and score >= cut)
-    return chosen
+    smoothed = smooth([math.log(len(text) / max(1, tags)) for text, tags, _, _ in blocks], sigma)
+    weights = [-math.log(AGAINST) if boilerplate else math.log(FOR) if content else 0.0 for _, _, content, boilerplate in blocks]
+    scores = [s + w for s, w in zip(smoothed, weights, strict=True)]
+    cut = threshold([-math.log(AGAINST), *scores, math.log(PROSE)])
+    return [score >= cut for score in scores]
 
 
 def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:

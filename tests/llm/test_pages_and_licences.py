@@ -52,6 +52,16 @@ def test_pages_of_the_tables(spark, sf_dir):
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_ratios_decide_on_pages_with_an_article_too():
+    links = [(f"l{k}", 40, True, False) for k in range(8)]
+    prose = [("word " * 60, 2, True, False)] * 8
+    outer, aside = [("word " * 60, 2, False, False)] * 8, [("See more", 6, False, True)] * 20
+    found = htmltext.regions([*links, *prose, *aside, *outer])
+    assert found[:6] == [False] * 6 and all(found[8:16]) and not any(found[17:35]) and all(found[37:])
+    assert htmltext.regions([*links, *prose, *aside, *outer], sigma=8.0) != found
+    assert htmltext.regions([("word " * 60, 2, True, False)] * 8 + prose + aside + outer)[:8] == [True] * 8
+
+
 def test_smoothing_and_clusters():
     assert htmltext.smooth([3.0] * 5) == pytest.approx([3.0] * 5)
     assert 2 < htmltext.threshold([1.0, 1.1, 0.9, 9.0, 10.0]) < 9
