@@ -33,6 +33,8 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup share sharing social related recommended recommendations "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentary disqus respond replies reply popup modal overlay widget widgets pagination pager toolbar search login copyright legal disclaimer skip alert teaser tags".split()
 )
+#: What may be in a head, which any other start tag ends, and so does text.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 #: Factors by which an article or main element raises a block's ratio and boilerplate lowers it, and the ratio of prose.
 FOR, AGAINST, PROSE = 32, 256, 40
@@ -93,6 +95,7 @@ class Blocks(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        self.leave_head(tag)
         if tag in BLOCKS:
             self.flush()
             if tag in ("article", "main") and not self.count["content"]:
@@ -107,6 +110,17 @@ class Blocks(HTMLParser):
             self.open.append((tag, kind))
             self.count[kind] += 1
 
+    def leave_head(self, tag: str) -> None:
+        """Close a head that lacks its end tag, where the tag (or text, if empty) can't be in it."""
+        if not self.count["hidden"] or tag in HEAD:
+            return
+        at = len(self.open) - 1
+        while at >= 0 and self.open[at][0] == "noscript":
+            at -= 1
+        if at >= 0 and self.open[at][0] == "head" and (tag or at == len(self.open) - 1):
+            while len(self.open) > at:
+                self.pop()
+
     def imply(self, tag: str) -> None:
         """Close what the start tag ends, as far as the nearest block around it."""
         ended = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}[tag]
@@ -144,6 +158,8 @@ class Blocks(HTMLParser):
                 return  # an inline end tag doesn't close blocks
 
     def handle_data(self, data: str) -> None:
+        if self.count["hidden"] and data.strip():
+            self.leave_head("")
         if not self.count["hidden"]:
             self.parts.append(data)
 
@@ -178,10 +194,9 @@ def threshold(values: list[float]) -> float:
 def main_text(html: str | None) -> str:
     parser = Blocks()
     html = html or ""
-    last = html.rfind("<!--")
-    if last >= 0 and html.find("-->", last) < 0:  # a comment that never ends
-        html = html[:last]
     parser.feed(html)
+    if parser.rawdata.startswith("<!--"):  # what the parser waits for is the end of a comment, which never comes
+        parser.rawdata = ""
     parser.close()
     parser.flush()
     chosen = regions(parser.blocks)

@@ -37,6 +37,24 @@ def test_pages_without_text(page):
     assert htmltext.main_text(page) == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script>var s = '<!--';</script><article><p>the text</article>",
+        "<style>/* <!-- */</style><article><p>the text</article>",
+        "<article><p title='<!--'>the text</article>",
+        "<article><p>the text</article><script>'<!--'</script><!-- open <p>no",
+        "<html><head><title>x</title><body><article><p>the text</article>",
+        "<head><meta charset=utf-8><noscript><link href=x></noscript><template><p>no</p></template><article><p>the text</article>",
+        "<head><noscript><style>no</style><body><article><p>the text</article>",
+        "<head><title>x</title>the text",
+        "<!-- <!-- --><p>the text",
+    ],
+)
+def test_pages_of_ordinary_markup_are_whole(page):
+    assert htmltext.main_text(page) == "the text"
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "own"), (2, "u", "<p>a", "own"), (2, "u", "<p>a", "own"), (3, "u", "<article>" + "<p>word</p>" * 30_000, "own"), (None, "u", "plain &lt; text <", "own")], "page_id long, url string, html string, text string")
     out = htmltext.extract(pages).collect()
