@@ -1,11 +1,14 @@
 """License scans by conditional compression.
 
-Lines with a trigger word are joined, over gaps of up to `gap` lines, into candidate blocks. Each block
-is compressed with every template as a zstandard raw dictionary; templates are ranked by how many bytes
-that saves, as a share of the template's own compressed size without the frame, and must reach the share `least`. The best ones are confirmed by their exact wording: a word
-alignment gives the words of the template that the text lacks and those it has besides, and a template
-counts as found if the similarity reaches `similarity`. Confirmed spans are taken out of the block, and
-the rest is scanned again, so that one block can hold several notices.
+Around each trigger word as many words are taken as the longest stretch of any template without one, and
+overlaps are joined into candidate blocks, so that line breaks, indents and comment marks don't matter.
+Each block (long ones in overlapping windows, in which every notice is whole once) is compressed with
+every template as a zstandard raw dictionary; templates are ranked by how many bytes that saves, as a
+share of the template's own compressed size without the frame, and must reach the share `least`. All that
+do, and whose words the block has, are confirmed by their exact wording: a word alignment gives the words
+of the template that the text lacks and those it has besides, and a template counts as found if the
+similarity reaches `similarity`. Confirmed spans are taken out of the block, and the rest is scanned
+again, so that one block can hold several notices.
 
 Nulls: a null text has no notices. A text's notices come in order of their start; repeated rows give
 repeated results, an empty table an empty one, and very long texts are scanned whole.
@@ -13,7 +16,10 @@ repeated results, an empty table an empty one, and very long texts are scanned w
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
@@ -21,7 +27,7 @@ from pyspark.sql import types as T
 
 from lumengrid.llm.common import map_text
 
-TRIGGER = re.compile(r"licen[sc]e|copyright|\(c\)|©|permission is|redistribut|warrant|as is|spdx|public domain|creative commons|\bcc0\b|\bcc by", re.I)
+TRIGGER = re.compile(r"licen[sc]e|copyright|\(c\)|©|permission[\W_]+is|redistribut|warrant|as[\W_]+is|spdx|public[\W_]+domain|creative[\W_]+commons|\bcc0\b|\bcc[\W_]+by", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.\-+'][^\W_]+)*\+?")
 #: A placeholder of a template, which stands for up to this many words.
 ANY, ANY_WORDS = "<any>", 8
@@ -68,32 +74,43 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str, gap: int = 2) -> list[tuple[int, int]]:
-    """Spans of candidate blocks in characters."""
+def stretch(wording: str) -> int:
+    """The most words of a template before, between or after its trigger words."""
+    text = wording.replace(ANY, " x" * ANY_WORDS)
+    starts = [m.start() for m in _WORD.finditer(text)]
+    cuts = [0, *[bisect_right(starts, m.start()) for m in TRIGGER.finditer(text)], len(starts)]
+    return max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def blocks(text: str, reach: int) -> list[list[tuple[int, int]]]:
+    """The words' spans in characters of each candidate block: trigger words and `reach` words around each."""
+    triggers = [m.start() for m in TRIGGER.finditer(text)]
+    if not triggers:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in words]
     spans: list[list[int]] = []
-    last = None
-    at = 0
-    for number, line in enumerate(text.split("\n")):
-        if TRIGGER.search(line):
-            if spans and number - last <= gap + 1:
-                spans[-1][1] = at + len(line)
-            else:
-                spans.append([at, at + len(line)])
-            last = number
-        at += len(line) + 1
-    return [tuple(s) for s in spans]
+    for t in triggers:
+        at = bisect_right(starts, t)
+        lo, hi = max(0, at - reach - 1), min(len(words), at + reach + 1)
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = hi
+        else:
+            spans.append([lo, hi])
+    return [words[lo:hi] for lo, hi in spans if lo < hi]
 
 
 class Scanner:
     """Templates with their dictionaries, in one task."""
 
-    def __init__(self, templates: list[tuple[str, str]] | None = None, best: int = 6, similarity: float = 0.9, least: float = 0.25):
+    def __init__(self, templates: list[tuple[str, str]] | None = None, similarity: float = 0.9, least: float = 0.25):
         import zstandard
 
-        self.best, self.similarity, self.least = best, similarity, least
+        self.similarity, self.least = similarity, least
         options = dict(level=3, write_content_size=False, write_checksum=False)
         self.plain = zstandard.ZstdCompressor(**options)
         self.templates = []
+        self.reach = self.longest = 1
         for licence, wording in TEMPLATES if templates is None else templates:
             parts = wording.replace(ANY, " \0 ")
             words = [ANY if w == "\0" else w for w in re.findall(r"\0|" + _WORD.pattern, parts)]
@@ -102,38 +119,54 @@ class Scanner:
             # A raw dictionary must have 8 bytes at least.
             raw = zstandard.ZstdCompressionDict(data.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             own = len(self.plain.compress(data)) - len(self.plain.compress(b""))
-            self.templates.append((licence, words, zstandard.ZstdCompressor(dict_data=raw, write_dict_id=False, **options), own))
+            self.templates.append((licence, words, zstandard.ZstdCompressor(dict_data=raw, write_dict_id=False, **options), own, Counter(w for w in words if w != ANY)))
+            # A text may have more words than the template, as far as the similarity allows.
+            self.reach = max(self.reach, math.ceil(stretch(wording) / similarity))
+            self.longest = max(self.longest, math.ceil(len(words) / similarity) + ANY_WORDS * words.count(ANY))
 
     def ranked(self, words: list[str]) -> list[tuple[float, int, float]]:
-        """(share of the template saved, template, share of the block saved) of the best templates."""
+        """(share of the template saved, template, share of the block saved) of the templates that reach `least`."""
         data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
         found = []
-        for k, (_, _, compressor, own) in enumerate(self.templates):
+        for k, (_, _, compressor, own, _) in enumerate(self.templates):
             saved = alone - len(compressor.compress(data))
             if saved >= self.least * own:
                 found.append((saved / own, k, saved / alone))
-        return sorted(found, key=lambda x: (-x[0], x[1]))[: self.best]
-
-    def align(self, template: list[str], words: list[str]) -> tuple[int, int, float, list[str], list[str]] | None:
-        """Span of words that the template covers, similarity, and its missing and extra words there."""
-        wanted = [w for w in template if w != ANY]
-        pieces = [m for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
+        return sorted(found, key=lambda x: (-x[0], x[1]))
+
+    def possible(self, k: int, counts: Counter) -> bool:
+        """Whether a text of these words can have so many of the template's that it is confirmed."""
+        wanted = self.templates[k][4]
+        return sum(min(n, counts[w]) for w, n in wanted.items()) >= self.similarity * wanted.total()
+
+    def align(self, template: list[str], words: list[str], matcher: SequenceMatcher | None = None) -> tuple[int, int, float, list[str], list[str]] | None:
+        """Span of words that the template covers best, similarity, and its missing and extra words there."""
+        matcher = matcher or SequenceMatcher(None, template, words, autojunk=False)
+        matcher.set_seq1(template)
+        pieces = [m for m in matcher.get_matching_blocks() if m.size]
         if not pieces:
             return None
-        first, last = pieces[0].b, pieces[-1].b + pieces[-1].size
-        missing, extra, at, to = [], [], 0, first
-        for m in [*pieces, None]:
-            gap = template[at : m.a] if m else template[at:]
-            more = words[to : m.b] if m else []
-            if ANY in gap:
-                more = more[ANY_WORDS:]
-            missing += [w for w in gap if w != ANY]
-            extra += more
-            if m:
-                at, to = m.a + m.size, m.b + m.size
-        kept = len(wanted) - len(missing)
-        return first, last, kept / (len(wanted) + len(extra)), missing, extra
+        wanted = sum(w != ANY for w in template)
+        more = [[]]  # what the text has before each piece
+        for m, n in zip(pieces, pieces[1:], strict=False):
+            between = words[m.b + m.size : n.b]
+            more.append(between[ANY_WORDS:] if ANY in template[m.a + m.size : n.a] else between)
+        best, ends = (-1.0, 0), (0, 0)
+        for i in range(len(pieces)):  # stray words before and after aren't part of the notice
+            kept = extra = 0
+            for j in range(i, len(pieces)):
+                kept += pieces[j].size
+                extra += len(more[j]) if j > i else 0
+                if (score := (kept / (wanted + extra), kept)) > best:
+                    best, ends = score, (i, j)
+        i, j = ends
+        at, missing = 0, []
+        for m in pieces[i : j + 1]:
+            missing += [w for w in template[at : m.a] if w != ANY]
+            at = m.a + m.size
+        missing += [w for w in template[at:] if w != ANY]
+        return pieces[i].b, pieces[j].b + pieces[j].size, best[0], missing, [w for x in more[i + 1 : j + 1] for w in x]
 
     @staticmethod
     def closer(text: str, start: int, end: int, level: int, reach: int = 200) -> list[tuple[int, int]]:
@@ -152,29 +185,49 @@ class Scanner:
         return [tuple(s) for s in spans]
 
     def scan(self, text: str | None) -> list[dict]:
-        found = []
-        for lo, hi in blocks(text or ""):
-            todo = [(lo, hi, 0)]
-            while todo:
-                start, end, level = todo.pop()
-                tokens = [(m.start() + start, m.end() + start) for m in _WORD.finditer(text[start:end])]
-                words = [text[a:b].lower() for a, b in tokens]
-                if not words:
-                    continue
-                hits = []
-                for _, k, reduction in self.ranked(words):
-                    licence, template = self.templates[k][:2]
-                    if (a := self.align(template, words)) and a[2] >= self.similarity:
-                        hits.append((a[2] * len(template), reduction, licence, a))
-                if not hits:  # what surrounds a short notice may hide it: look at lines, then near the trigger words
-                    todo += [(a, b, level + 1) for a, b in self.closer(text, start, end, level) if (a, b) != (start, end)]
-                    continue
-                _, reduction, licence, (first, last, similarity, missing, extra) = max(hits, key=lambda h: h[:2])
-                a, b = tokens[first][0], tokens[last - 1][1]
-                found.append({"licence": licence, "start": a, "end": b, "reduction": reduction, "similarity": similarity, "exact": not missing and not extra, "missing": missing, "extra": extra})
-                todo += [(start, a, level), (b, end, level)]
+        found: list[dict] = []
+        for words in blocks(text or "", self.reach):
+            lo, size = 0, 4 * self.longest
+            while lo < len(words):
+                hi = min(len(words), lo + size)
+                # What starts later may be cut by the window's end: it is left to the next one.
+                border = hi if hi == len(words) else hi - self.longest
+                last = words[border - 1][1]
+                kept = [n for n in self.window(text, words[lo][0], words[hi - 1][1]) if n["start"] < last]
+                found += kept
+                done = max([last, *[n["end"] for n in kept]])
+                lo = border
+                while lo < len(words) and words[lo][0] < done:
+                    lo += 1
         return sorted(found, key=lambda n: n["start"])
 
+    def window(self, text: str, lo: int, hi: int) -> list[dict]:
+        """The notices between two places of the text."""
+        found, todo = [], [(lo, hi, 0)]
+        while todo:
+            start, end, level = todo.pop()
+            tokens = [(m.start() + start, m.end() + start) for m in _WORD.finditer(text[start:end])]
+            words = [text[a:b].lower() for a, b in tokens]
+            if not words:
+                continue
+            hits = []
+            counts, matcher = Counter(words), None
+            for _, k, reduction in self.ranked(words):
+                if not self.possible(k, counts):
+                    continue
+                matcher = matcher or SequenceMatcher(None, "", words, autojunk=False)
+                licence, template = self.templates[k][:2]
+                if (a := self.align(template, words, matcher)) and a[2] >= self.similarity:
+                    hits.append((a[2] * len(template), reduction, licence, a))
+            if not hits:  # what surrounds a short notice may hide it: look at lines, then near the trigger words
+                todo += [(a, b, level + 1) for a, b in self.closer(text, start, end, level) if (a, b) != (start, end)]
+                continue
+            _, reduction, licence, (first, last, similarity, missing, extra) = max(hits, key=lambda h: h[:2])
+            a, b = tokens[first][0], tokens[last - 1][1]
+            found.append({"licence": licence, "start": a, "end": b, "reduction": reduction, "similarity": similarity, "exact": not missing and not extra, "missing": missing, "extra": extra})
+            todo += [(start, a, level), (b, end, level)]
+        return found
+
 
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """The carried columns (all but the text, if None) and `notices`, an array of NOTICE."""

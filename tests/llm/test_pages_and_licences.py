@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import html as entities
 import re
+import textwrap
 
 import pytest
 from oracle import run_sql, same
@@ -100,6 +101,25 @@ def test_every_wording_finds_itself():
         assert licence in [f[0] for f in found], licence
 
 
+@pytest.mark.parametrize("width", [60, 66, 72, 80])
+@pytest.mark.parametrize("mark", ["", "    ", "# ", " * "])
+def test_wrapped_wordings_are_found_whole(width, mark):
+    scanner = licences.Scanner()
+    for licence, wording in licences.TEMPLATES:
+        lines = textwrap.wrap(wording.replace(licences.ANY, "The Authors"), width, break_on_hyphens=False)
+        found = scanner.scan("intro\n\n" + "\n".join(mark + line for line in lines) + "\n\noutro")
+        assert licence in [n["licence"] for n in found], licence
+        if len(lines) > 2:
+            assert len(found) == 1 and found[0]["exact"], licence
+
+
+def test_long_blocks_and_stray_words():
+    one = licences.TEMPLATES[0][1]
+    text = f"the rights of the software\n{one}\nthe software and the rights to use, copy\n" * 20
+    found = licences.Scanner().scan(text)
+    assert [text[n["start"] : n["end"] + 1] for n in found] == [one] * 20 and all(n["exact"] for n in found)
+
+
 def test_changed_wording_is_told():
     wording = licences.TEMPLATES[0][1]
     found = licences.Scanner().scan(wording.replace("free of charge", "at no charge"))
