@@ -45,7 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encoded_digests(docs)
+    """Spans are projected, and checked to cover each text, for all documents; their digest isn't kept."""
+    return encoded_digests(docs).drop("spans_sha256")
 
 
 STAGES = [

@@ -126,8 +126,8 @@ FROM d JOIN b USING (page_id)
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
-    out = sentencepieces.encode(docs, piece_model(), carry=["doc_id"], outputs=("n_tokens", "ids", "decoded"))
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = sentencepieces.encode(docs, piece_model(), carry=["doc_id"], outputs=("n_tokens", "ids", "spans", "decoded"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("spans", 256).alias("spans_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

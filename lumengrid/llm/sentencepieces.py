@@ -30,6 +30,7 @@ _OUTPUTS = {
     "ids": T.BinaryType(),
     "begins": T.ArrayType(T.IntegerType()),
     "ends": T.ArrayType(T.IntegerType()),
+    "spans": T.BinaryType(),
     "decoded": T.StringType(),
 }
 
@@ -113,7 +114,6 @@ class Encoder:
             raise NotImplementedError("space marks as suffixes")
         self.map = CharMap(spec.get(2, b""))
         self.dummy, self.trim, self.escape = (bool(spec.get(n, 1)) for n in (3, 4, 5))
-        self.identity = not len(self.map.units) and not self.trim and self.escape
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         plain = _message([(1, b"identity"), (2, b""), (3, 0), (4, 0), (5, 0)])
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=_message_raw(fields, plain))
@@ -132,6 +132,8 @@ class Encoder:
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the byte of the original it comes from."""
         data = text.encode()
+        if data and not len(self.map.units) and not self.trim and self.escape:
+            return self.marked(text, data)
         mark = MARK.encode() if self.escape else b" "
         out, source = bytearray(), []
         at, end = 0, len(data)
@@ -175,6 +177,15 @@ class Encoder:
                 del source[-len(mark) :]
         return out.decode(), np.array([*source, stop])
 
+    def marked(self, text: str, data: bytes) -> tuple[str, np.ndarray]:
+        """normalise() of a model that has no map to match and only marks spaces."""
+        codes = np.frombuffer(data, np.uint8)
+        leads = np.maximum.accumulate(np.where(codes & 0xC0 != 0x80, np.arange(len(data)), 0))
+        size = len(MARK.encode())
+        source = np.repeat(leads, np.where(codes == 32, size, 1))
+        front = np.zeros(size if self.dummy else 0, source.dtype)
+        return (MARK if self.dummy else "") + text.replace(" ", MARK), np.concatenate([front, source, [len(data)]])
+
     def chunks(self, normal: str) -> list[str]:
         """The chunks without their first space mark; the whole text where it can't be cut so."""
         if not normal:
@@ -216,6 +227,8 @@ class Encoder:
         """Original byte spans. Of the byte pieces of one character the last has its span, those before an empty one."""
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes, dtype=np.int64)
+        if sizes.sum() != len(source) - 1:
+            raise ValueError("pieces that don't cover the normalised text")
         begins = ends - sizes
         first, last = source[begins].copy(), source[ends].copy()
         byte = self.is_byte[ids]
@@ -250,14 +263,15 @@ def encode(
     """Encode whole texts and decode the ids again; returns the carried columns and the chosen outputs.
 
     n_tokens counts all ids; ids holds them as little-endian unsigned 32-bit integers; begins and ends
-    are each id's span in the UTF-8 bytes of the text (begin and end ids: an empty span at its ends);
+    are each id's span in the UTF-8 bytes of the text (begin and end ids: an empty span at its ends),
+    and spans (not chosen by default) holds begin and end of each id in turn, encoded like ids;
     decoded is the library's decode of the ids. The model file is read on the driver and travels with
     the tasks. Nulls count as empty texts.
     """
     with open(model_path, "rb") as file:
         model = df.sparkSession.sparkContext.broadcast(file.read())
     carry = [c for c in df.columns if c != text] if carry is None else carry
-    spans, decode = {"begins", "ends"} & set(outputs), "decoded" in outputs
+    spans, decode = {"begins", "ends", "spans"} & set(outputs), "decoded" in outputs
 
     def make():
         encoder = _encoder(model.value)
@@ -266,25 +280,25 @@ def encode(
 
         def run(texts: list) -> list:
             texts = [t or "" for t in texts]
-            sources: list = []
-            if encoder.identity and not spans:
-                mark = MARK if encoder.dummy else ""
-                normal = [mark + t.replace(" ", MARK) if t else "" for t in texts]
-            else:
-                normal, sources = zip(*map(encoder.normalise, texts), strict=True)
+            normal, sources = zip(*map(encoder.normalise, texts), strict=True)
             found = encoder.encode(list(normal))
             ids = [head + i + tail for i in found]
             got: dict = {"n_tokens": [len(i) // 4 for i in ids], "ids": ids}
             if spans:
-                got["begins"], got["ends"] = [], []
+                places = []
                 for t, i, source in zip(texts, found, sources, strict=True):
                     first, last = encoder.spans(np.frombuffer(i, "<u4"), source)
                     end = len(t.encode())
-                    got["begins"].append([*[0] * bos, *first.tolist(), *[end] * eos])
-                    got["ends"].append([*[0] * bos, *last.tolist(), *[end] * eos])
+                    places.append((np.concatenate([[0] * bos, first, [end] * eos]), np.concatenate([[0] * bos, last, [end] * eos])))
+                if "begins" in outputs:
+                    got["begins"] = [b.astype(int).tolist() for b, _ in places]
+                if "ends" in outputs:
+                    got["ends"] = [e.astype(int).tolist() for _, e in places]
+                if "spans" in outputs:
+                    got["spans"] = [np.stack(p, 1).astype("<u4").tobytes() for p in places]
             if decode:
                 got["decoded"] = [encoder.library.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
-            return [pa.array(got[n], pa.binary()) if n == "ids" else got[n] for n in outputs]
+            return [pa.array(got[n], pa.binary()) if n in ("ids", "spans") else got[n] for n in outputs]
 
         return run
 

@@ -47,6 +47,37 @@ def test_pieces_of_the_tables(spark, sf_dir, library):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
 
 
+def test_spans_of_the_tables(spark, sf_dir, library):
+    docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents", "doc_id", "text").collect()}
+    for r in queries.op9_sentencepiece(spark, sf_dir).collect():
+        spans = [(p.begin, p.end) for p in library.encode(docs[r.doc_id], return_type="proto").pieces]
+        end = len(docs[r.doc_id].encode())
+        assert r.spans_sha256 == hashlib.sha256(np.array([(0, 0), *spans, (end, end)], "<u4").tobytes()).hexdigest()
+
+
+def test_alignment_without_a_character_map(model_path):
+    with open(model_path, "rb") as file:
+        encoder = sentencepieces.Encoder(file.read())
+    for text in filter(None, TEXTS):
+        wanted = [0] * 3 if encoder.dummy else []
+        at = 0
+        for c in text:
+            wanted += [at] * (3 if c == " " else len(c.encode()))
+            at += len(c.encode())
+        found, source = encoder.normalise(text)
+        assert found == ("▁" if encoder.dummy else "") + text.replace(" ", "▁") and source.tolist() == [*wanted, at]
+
+
+def test_spans_must_cover_the_text(model_path):
+    with open(model_path, "rb") as file:
+        encoder = sentencepieces.Encoder(file.read())
+    normal, source = encoder.normalise("some text")
+    ids = np.frombuffer(encoder.encode([normal])[0], "<u4")
+    assert encoder.spans(ids, source)[1][-1] == 9
+    with pytest.raises(ValueError):
+        encoder.spans(ids[:-1], source)
+
+
 def test_compiled_character_map():
     sentencepiece = pytest.importorskip("sentencepiece")
     normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf")
