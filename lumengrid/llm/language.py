@@ -3,7 +3,8 @@
 A known word is scored by its log frequency in each language. An unseen word falls back to the
 n-grams of the word between border marks, longest length first: the first length that has known
 n-grams scores it. No word counts more than `most` against a language, so that a few telling words don't
-outvote a text. A text's language is that of the largest sum; the score is its share of the softmax of
+outvote a text. An unseen run of letters longer than PIECE, as in text without spaces, is scored in
+pieces that hold each of its n-grams once, and each piece counts as a word. A text's language is that of the largest sum; the score is its share of the softmax of
 the mean per word, sharpened by the number of words up to a bound.
 
 The tables are fitted on a bounded sample: about `per_language` documents of each language, taken by
@@ -32,6 +33,8 @@ from lumengrid.llm.common import map_text
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+#: The longest unseen word that is scored as one.
+PIECE = 60
 
 
 def words_of(text: str) -> list[str]:
@@ -43,6 +46,25 @@ def grams_of(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)] or [word]
 
 
+def pieces_of(word: str) -> list[str]:
+    """A long word between border marks in pieces, whose first character tells the last one (1) from others (0).
+
+    PIECE n-grams of each length begin in a piece, and in the last one all that are left.
+    """
+    word = f"<{word}>"
+    starts = range(0, len(word) - LENGTHS[0] + 1, PIECE)
+    return ["0" + word[i : i + PIECE + LENGTHS[0] - 1] for i in starts[:-1]] + ["1" + word[starts[-1] :]]
+
+
+def scored_grams(word: str, n: int) -> list[str]:
+    """The n-grams of a word or of a piece of one."""
+    if word[0] not in "01":
+        return grams_of(word, n)
+    part = word[1:] if word[0] == "1" else word[1 : PIECE + n]
+    part = part if n > 1 else part.strip("<>")
+    return [part[i : i + n] for i in range(len(part) - n + 1)]
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of words (n 0) and n-grams for each language, flushed whenever they grow large."""
     counts: dict[str, Counter] = {}
@@ -88,7 +110,7 @@ class Model:
             self.rows[n] = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(table)))
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """One row for each word; the first 60 letters stand for a longer one that isn't known."""
+        """One row for each word or piece of a word."""
         out = np.zeros((len(words), len(self.languages)))
         known = self.tables[0]
         at = [k for k, w in enumerate(words) if w in known]
@@ -97,7 +119,7 @@ class Model:
         for n in LENGTHS:
             get, rest, at, sizes, found = self.tables[n].get, [], [], [], []
             for k in left:
-                if grams := [i for g in grams_of(words[k][:60], n) if (i := get(g)) is not None]:
+                if grams := [i for g in scored_grams(words[k], n) if (i := get(g)) is not None]:
                     at.append(k)
                     sizes.append(len(grams))
                     found += grams
@@ -129,10 +151,19 @@ class Predictor:
             self.places.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, found])
 
+    def parts(self, text: str) -> Counter:
+        """How often a text has each word, and each piece of the long ones that aren't known."""
+        counts = Counter(words_of(text))
+        for word in [w for w in counts if len(w) > PIECE and w not in self.model.tables[0]]:
+            n = counts.pop(word)
+            for piece in pieces_of(word):
+                counts[piece] += n
+        return counts
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        counted = [Counter(words_of(t or "")) for t in texts]
+        counted = [self.parts(t or "") for t in texts]
         self.learn(set().union(*counted))
         out = []
         for counts in counted:

@@ -120,6 +120,16 @@ def test_word_backoff_uses_shorter_grams():
     assert [small([w])[0] for w in ("abc", "abd", "xyd", "rrr", "qqq")] == predict(["abc", "abd", "xyd", "rrr", "qqq"])
 
 
+def test_long_runs_of_letters_are_scored_whole():
+    model = language.Model([("a", 4, "abab", 5), ("b", 4, "xyxy", 5), ("a", 1, "a", 9), ("b", 1, "x", 9)])
+    predict = language.Predictor(model).predict
+    assert [lang for lang, _ in predict(["ab" * 35 + "xy" * 300, "xy" * 35 + "ab" * 300, "ab" * 20])] == ["b", "a", "a"]
+    for size in (*range(61, 70), 119, 120, 121, 122, 500):
+        word = "".join(chr(0x4E00 + k) for k in range(size))
+        for n in language.LENGTHS:
+            assert [g for p in language.pieces_of(word) for g in language.scored_grams(p, n)] == language.grams_of(word, n)
+
+
 def test_quality_of_held_out_documents(spark, sf_dir):
     out = queries.op10_quality(spark, sf_dir).join(table(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id").toPandas()
     held = out[out.held_out]
