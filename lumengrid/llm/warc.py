@@ -8,7 +8,7 @@ separators, put together again by Content-Length, with one record in memory at a
 
 Of captures with equal payloads of at least `least` bytes the one with the smallest id is the response.
 Nulls: a null payload is empty; a null URL leaves out WARC-Target-URI; a null id is a value of its own.
-Rows that repeat both id and payload are one capture. An empty table gives archives without records
+Rows that repeat both id and payload are one capture, with the smallest URL. An empty table gives archives without records
 and an empty result. Line breaks in URLs are percent-encoded.
 """
 
@@ -60,8 +60,12 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "u
     """Write the captures of all rows as archives in the folder `path`."""
     df = pages.select(F.col(id_column).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     df = df.withColumn("digest", base32_sha1(F.col("html")))
-    seen = df.where(F.octet_length("html") >= least).select("id", "digest")
-    repeated = materialise(seen.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    captures = df.groupBy("id", "digest").agg(F.count("*").alias("copies"), F.max(F.octet_length("html")).alias("size"))
+    by_digest = captures.groupBy("digest").agg(F.min("id").alias("first"), F.sum("copies").alias("n"), F.max("copies").alias("copies"), F.max("size").alias("size"))
+    shared = materialise(by_digest.where("n > 1").drop("n"))
+    if shared.where("copies > 1").limit(1).count():  # one capture for rows that repeat id and payload
+        df = df.groupBy("id", "digest").agg(F.min("url").alias("url"), F.first("html").alias("html"))
+    repeated = shared.where(F.col("size") >= least).select("digest", "first")
     if (n := repeated.count()) > 0:
         df = df.join(F.broadcast(repeated) if n <= 20_000 else repeated, "digest", "left")
     else:

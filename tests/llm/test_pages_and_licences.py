@@ -162,6 +162,12 @@ def test_round_trip_of_odd_pages(spark, tmp_path):
     assert out[200].refers_to == 0 and out[200].response.target_uri == "u%0D%0Av"
 
 
+def test_repeated_rows_are_one_capture(spark, tmp_path):
+    out = archive(spark, [(0, "u", ""), (0, "u", ""), (100, "v", ""), (0, "u", "x"), (None, "n", "y"), (None, "n", "y")], f"{tmp_path}/w")
+    found = [((r.metadata.fields.get("captureId")), r.response.type, r.refers_to) for r in out]
+    assert sorted(found, key=str) == sorted([("0", "response", None), ("0", "response", None), ("100", "revisit", 0), (None, "response", None)], key=str)
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     out = archive(spark, [(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")], f"{tmp_path}/w", least=4)
     assert sorted((int(r.metadata.fields["captureId"]), r.response.type) for r in out) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
