@@ -1,4 +1,11 @@
-"""Connected components, and exact comparison of all pairs within candidate components in blocks."""
+"""Connected components, comparison of all pairs of a group in blocks, and of what meets in hash buckets.
+
+Near-duplicate search goes in two steps. `bucket_links` compares whoever meets in a bucket of a hash family, and
+gives edges only for pairs that are similar enough. `link` then takes the components of those edges
+and compares all their pairs exactly. A bucket is never turned into pairs: small ones are compared
+whole, once for all buckets with the same members, and crowded ones are left to the caller, who
+compares them with their hub (`to_hub`) and hashes the rest more finely.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import materialise, small_batches
+from lumengrid.llm.common import join_checked, materialise, small_batches
+
+#: A bucket with more members is crowded; also the nodes in one side of a comparison.
+CROWD = 512
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
@@ -41,7 +51,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 def compare_blocks(
     rows: DataFrame,
     linked: Callable[[list[bytes], list[bytes]], np.ndarray],
-    block: int = 512,
+    block: int = CROWD,
 ) -> DataFrame:
     """Compare all pairs of nodes within each component exactly.
 
@@ -69,6 +79,8 @@ def compare_blocks(
         lw, rw = np.array([x[1] for x in left]), np.array([x[1] for x in right])
         if i == j:
             match = match & ~np.eye(len(left), dtype=bool)
+        if not match.any():
+            return None
         ll, rl = ln.copy(), (ln.copy() if i == j else rn.copy())
         top = np.iinfo(np.int64).max
         while True:  # smallest label over the links of this group
@@ -100,7 +112,74 @@ def compare_blocks(
     return dealt.mapInArrow(run, "node long, links long, root long")
 
 
-def link(candidates: DataFrame, rows_of: Callable[[DataFrame], DataFrame], linked: Callable, block: int = 512) -> tuple[DataFrame, DataFrame]:
+def bucket_links(buckets: DataFrame, payloads: DataFrame, linked: Callable, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) among the members of small buckets, and the members (key, node, c, hub) of crowded ones.
+
+    `buckets` has key and node, and may have own, of which one must be true in a bucket that counts; `payloads` has
+    node and payload. c is a bucket's size and hub its smallest node. The lists of small buckets have
+    `crowd` nodes at most, and equal lists are compared once.
+    """
+    own = F.max("own") if "own" in buckets.columns else F.lit(True)
+    shared = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub"), own.alias("own")).where("c > 1 and own").drop("own")
+    members = materialise(buckets.select("key", "node").join(shared, "key"))
+    lists = members.where(F.col("c") <= crowd).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
+    lists = materialise(lists.select("nodes").distinct().withColumn("component", F.monotonically_increasing_id()))
+    rows = lists.select("component", F.size("nodes").alias("members"), F.explode("nodes").alias("node")).join(payloads, "node")
+    found = compare_blocks(rows.withColumn("weight", F.lit(1)), linked, crowd)
+    return materialise(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), members.where(F.col("c") > crowd)
+
+
+def to_hub(crowded: DataFrame, payloads: DataFrame, similarity: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+    """(node, hub, similarity) of members of crowded buckets: one comparison each."""
+    pairs = crowded.select("node", "hub").distinct()
+    hubs = materialise(payloads.join(pairs.select(F.col("hub").alias("node")).distinct(), "node").select(F.col("node").alias("hub"), F.col("payload").alias("other")))
+    both = join_checked(pairs.join(payloads, "node"), hubs, ["hub"]).select("node", "hub", "payload", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = similarity(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["node", "hub", "similarity"])
+
+    return materialise(both.mapInArrow(run, "node long, hub long, similarity double"))
+
+
+def crowded_links(crowded: DataFrame, payloads: DataFrame, linked: Callable, block: int = CROWD) -> DataFrame:
+    """Edges (a, b) among the members of crowded buckets, compared in pairs of blocks."""
+    rows = crowded.select(F.col("key").alias("component"), F.col("c").alias("members"), "node").join(payloads, "node")
+    found = compare_blocks(rows.withColumn("weight", F.lit(1)), linked, block)
+    return materialise(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def candidate_edges(
+    buckets: DataFrame,
+    payloads: DataFrame,
+    linked: Callable,
+    similarity: Callable,
+    finer: Callable[[DataFrame], DataFrame],
+    near: float,
+    settled: float,
+    crowd: int = CROWD,
+) -> DataFrame:
+    """Edges (a, b) whose components hold every pair of `linked` nodes that meets in a bucket.
+
+    In a crowded bucket a member within `near` of the hub gets an edge to it. One within `settled` needs no
+    more: whatever is linked to it lies within `near` of the hub, by the triangle inequality. The others
+    meet again in the buckets of `finer` (their payloads), a family with the same recall whose buckets
+    hold fewer by chance; what is crowded there too is compared in blocks.
+    """
+    edges, crowded = bucket_links(buckets, payloads, linked, crowd)
+    if crowded.isEmpty():
+        return edges
+    measured = to_hub(crowded, payloads, similarity)
+    edges = edges.unionAll(measured.where((F.col("similarity") >= near) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    loose = materialise(payloads.join(measured.where(F.col("similarity") < settled).select("node").distinct(), "node"))
+    if loose.isEmpty():
+        return edges
+    more, crowded = bucket_links(finer(loose), loose, linked, crowd)
+    return edges.unionAll(more).unionAll(crowded_links(crowded, loose, linked, crowd))
+
+
+def link(candidates: DataFrame, rows_of: Callable[[DataFrame], DataFrame], linked: Callable, block: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Exact links among candidate edges (a, b).
 
     `rows_of` turns (component, members, node) into rows for `compare_blocks`. Returns (node, links) and

@@ -4,11 +4,16 @@ Equal vectors of one label form a class. Class vectors are rotated by three roun
 and a fast Hadamard transform; a hash function is the signed axis nearest to the rotated vector, and a
 table's key joins several functions, as many as keep chance meetings within a label rare at the given
 number of vectors. Each vector is also looked up under the keys in which functions give their second
-nearest axis. Whoever meets the vectors of a bucket is linked to the smallest as a candidate (never
-all pairs); all pairs within candidate components are then compared exactly, in blocks.
+nearest axis. Whoever meets in a bucket is compared exactly there. In a crowded bucket, as where all
+vectors point one way, members are compared with the smallest one, and those that this doesn't settle are hashed
+again with as many functions as keys may join. Only links found give candidate edges, and in a crowded bucket
+also what is so near to its smallest vector that its links may go through that one. All pairs of the
+components are then compared exactly, in blocks.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link
-with nothing and stay. Vectors of different length do not link. Rows that repeat an id share its verdict.
+with nothing and stay. Vectors of different length do not link; long ones are only padded to a power
+of two. Rows that repeat an id share its verdict; of equal vectors the smallest id stands for them. An
+empty table gives an empty result. Only the three columns named are read, so that others may have any name.
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumengrid.llm.common import join_checked, materialise, small_batches
-from lumengrid.llm.components import link
+from lumengrid.llm.components import CROWD, candidate_edges, link
 
 
 #: Functions that a key joins at most; a vector has 2 to the power of their number keys a table.
@@ -91,41 +97,40 @@ def meeting_chance(width: int, threshold: float, pairs: int = 2000) -> float:
     return min(0.999, max(0.05, share - 3 * math.sqrt(share * (1 - share) / pairs)))
 
 
-def plan(largest: int, width: int, threshold: float, miss: float = 1e-4, chance: float = 0.5) -> tuple[int, int]:
+def plan(largest: int, width: int, threshold: float, miss: float = 1e-4, chance: float = 0.5, least: int = 1) -> tuple[int, int]:
     """(functions, tables): pairs at the threshold are missed with chance `miss` at most.
 
-    A vector meets fewer than `chance` others by chance among `largest` ones, which keeps components small.
-    Where the functions run out, as for very short vectors, buckets only get fuller: what meets in them
-    is compared exactly anyway.
+    With at least `least` functions, a vector meets fewer than `chance` others by chance among `largest`
+    ones that point anywhere. Where the functions run out, as for very short vectors, buckets only get fuller.
     """
     meet = meeting_chance(width, threshold)
-    for functions in range(1, MOST_FUNCTIONS + 1):
+    for functions in range(least, MOST_FUNCTIONS + 1):
         tables = max(2, math.ceil(math.log(miss) / math.log(1 - meet**functions)))
         if 2 * tables * largest / width**functions <= chance:
             break
     return functions, tables
 
 
-def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:
-    """One row per vector: id, n_links, component_id and kept, among vectors of equal label."""
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    valid = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & fine, F.lit(False))
-    classes = rows.where(valid).groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
-    counts = classes.groupBy("label", F.size("v").alias("width")).agg(F.count("*").alias("n"))
-    widths = counts.groupBy("width").agg(F.max("n").alias("n")).collect()  # one row for each length of vectors
-    plans = {r["width"]: plan(r["n"], 1 << max(1, (r["width"] - 1).bit_length()), threshold) for r in widths}
-    small_batches(vectors.sparkSession, 200)
+def cosine(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Cosine of each left vector and the right one beside it."""
+    out = np.empty(len(left))
+    for k, (p, q) in enumerate(zip(left, right, strict=True)):
+        a, b = np.frombuffer(p), np.frombuffer(q)
+        out[k] = a @ b / (math.sqrt(a @ a) * math.sqrt(b @ b))
+    return out
+
+
+def buckets(classes: DataFrame, plans: dict[int, tuple[int, int]]) -> DataFrame:
+    """(key, node) of all keys of (node, label, payload): own ones and probes."""
 
-    def keys(batches):
+    def run(batches):
         for batch in batches:
-            nodes, labels, values = batch.column(0).to_numpy(), np.array([hash_label(x) for x in batch.column(1).to_pylist()]), batch.column(2)
-            lengths = np.diff(values.offsets.to_numpy())
-            for size in np.unique(lengths):
-                at = np.flatnonzero(lengths == size)
-                x = values.take(pa.array(at)).flatten().to_numpy().reshape(-1, size)
-                x = x / np.abs(x).max(1, keepdims=True)
+            nodes, payloads = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            labels = np.array([hash_label(x) for x in batch.column(1).to_pylist()])
+            sizes = np.array([len(p) // 8 for p in payloads])
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                x = np.frombuffer(b"".join(payloads[k] for k in at)).reshape(-1, size)
                 functions, tables = plans[int(size)]
                 combos = np.array(list(product((0, 1), repeat=functions)))
                 found = axes(x, tables, functions)
@@ -135,41 +140,62 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
                     key = (key ^ found[:, :, f, combos[:, f]]) * np.int64(-7046029254386353131)
                     key ^= key >> np.int64(29)
                 shape = key.shape
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.broadcast_to(nodes[at][:, None, None], shape).ravel()),
-                        pa.array(np.broadcast_to(np.arange(tables, dtype=np.int32)[None, :, None], shape).ravel()),
-                        pa.array(key.ravel()),
-                        pa.array(np.broadcast_to((combos.sum(1) == 0)[None, None, :], shape).ravel()),
-                    ],
-                    names=["node", "table", "key", "own"],
-                )
-
-    with_bytes = classes.select("node", F.col("label").cast("string"), "v")
-    buckets = with_bytes.mapInArrow(keys, "node long, table int, key long, own boolean")
-    least = buckets.groupBy("table", "key").agg(F.min(F.when(F.col("own"), F.col("node"))).alias("b"), F.count("*").alias("c")).where("c > 1 and b is not null").drop("c")
-    candidates = buckets.join(least, ["table", "key"]).where("node <> b").select(F.col("node").alias("a"), "b")
+                own = np.broadcast_to((combos.sum(1) == 0)[None, None, :], shape).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.broadcast_to(nodes[at][:, None, None], shape).ravel()), pa.array(own)], names=["key", "node", "own"])
 
-    def rows_of(found: DataFrame) -> DataFrame:
-        chosen = found.join(classes.select("node", "weight", "v"), "node")
-        return chosen.mapInArrow(to_bytes, "component long, members long, node long, weight long, payload binary")
+    return classes.select("node", "label", "payload").mapInArrow(run, "key long, node long, own boolean")
 
-    def to_bytes(batches):
-        names = ["component", "members", "node", "weight", "payload"]
-        for batch in batches:
-            payload = [np.array(v, np.float64).tobytes() for v in batch.column(batch.schema.get_field_index("v")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names[:-1]], pa.array(payload, pa.binary())], names=names)
 
-    links, groups = link(candidates, rows_of, cosine_links(threshold))
+def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, crowd: int = CROWD) -> DataFrame:
+    """One row per vector: id, n_links, component_id and kept, among vectors of equal label."""
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    valid = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & fine, F.lit(False))
+    classes = rows.where(valid).groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    small_batches(vectors.sparkSession, 200)
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()).mapInArrow(with_bytes, _with_payload(classes)))
+    counts = classes.groupBy("label", F.size("v").alias("width")).agg(F.count("*").alias("n"))
+    widths = counts.groupBy("width").agg(F.max("n").alias("n")).collect()  # one row for each length of vectors
+    padded = {r["width"]: 1 << max(1, (r["width"] - 1).bit_length()) for r in widths}
+    plans = {r["width"]: plan(r["n"], padded[r["width"]], threshold) for r in widths}
+    finest = {r["width"]: plan(r["n"], padded[r["width"]], threshold, least=MOST_FUNCTIONS) for r in widths}
+    hashed = materialise(classes.select("node", F.col("label").cast("string").alias("label"), "payload"))
+    angle = math.acos(threshold)
+    candidates = candidate_edges(
+        buckets(hashed, plans),
+        hashed.select("node", "payload"),
+        cosine_links(threshold),
+        cosine,
+        lambda loose: buckets(hashed.join(loose.select("node"), "node", "left_semi"), finest),
+        near=math.cos(min(math.pi, 1.5 * angle)) - 1e-9,
+        settled=math.cos(angle / 2) + 1e-9,
+        crowd=crowd,
+    )
+
+    def rows_of(found: DataFrame) -> DataFrame:
+        return found.join(classes.select("node", "weight", "payload"), "node")
+
+    links, groups = link(candidates, rows_of, cosine_links(threshold), crowd)
     known = classes.select("label", "v", "least", "weight", "node").join(links, "node", "left").join(groups, "node", "left")
     known = materialise(known.withColumn("component", F.coalesce("component", "node")))
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(smallest, "component").select(F.col("label"), F.col("v"), "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = materialise(known)
-    rows = rows.withColumn("label", F.when(valid, F.col("label"))).withColumn("v", F.when(F.col("label").isNotNull(), F.col("v")))
-    out = join_checked(rows, known, ["label", "v"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    out = join_checked(rows.where(valid), known, ["label", "v"]).select("id", "n_links", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+    alone = rows.where(~valid).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionAll(alone)
+
+
+def _with_payload(classes: DataFrame) -> T.StructType:
+    return T.StructType([*classes.schema, T.StructField("node", T.LongType()), T.StructField("payload", T.BinaryType())])
+
+
+def with_bytes(batches):
+    """Add payload: the doubles of `v`, scaled by a power of two so that squares stay finite."""
+    for batch in batches:
+        v = batch.column(batch.schema.get_field_index("v"))
+        payload = [np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).tobytes() for x in map(np.array, v.to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.binary())], names=[*batch.schema.names, "payload"])
 
 
 def hash_label(label: str) -> int:

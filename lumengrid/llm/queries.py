@@ -95,6 +95,20 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: hash(array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS s FROM w WHERE len(w) > 0),
+h AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM h a JOIN h b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT a, b, shared = na AND shared = nb AS equal FROM c WHERE shared >= 0.8::DOUBLE * (na + nb - shared)),
+r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.reach),
+g AS (SELECT id, min(reach) AS group_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n_links, min(b) FILTER (equal) AS smallest FROM p GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, n.smallest) AS class_id, coalesce(n.n_links, 0)::BIGINT AS n_links, g.group_id, g.group_id = d.doc_id AS kept
+FROM documents d JOIN g ON g.id = d.doc_id LEFT JOIN n ON n.a = d.doc_id
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = qualityrules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return out.withColumnRenamed("id", "doc_id")
@@ -104,6 +118,21 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")).withColumnRenamed("id", "vec_id")
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98 END),
+r AS (SELECT vec_id AS id, vec_id AS reach FROM embeddings UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.reach),
+g AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, g.component_id, g.component_id = e.vec_id AS kept
+FROM embeddings e JOIN g ON g.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lumengrid-warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
@@ -147,4 +176,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op8_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_warc": OP8_SQL}

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from oracle import run_sql, same
 
 from lumengrid.llm import components, embeddings, jaccard, queries
 from lumengrid.llm.common import table
@@ -59,7 +60,7 @@ def test_join_finds_every_link(spark):
     check(spark, texts)
 
 
-def test_large_groups_in_small_blocks(spark, monkeypatch):
+def test_large_groups_in_crowded_nodes(spark):
     rng = np.random.default_rng(9)
     base = [f"w{k}" for k in range(120)]
     texts = []
@@ -67,9 +68,35 @@ def test_large_groups_in_small_blocks(spark, monkeypatch):
         copy = list(base)
         copy[int(rng.integers(0, 120))] = f"x{k}"
         texts.append(" ".join(copy))
-    compare = components.compare_blocks
-    monkeypatch.setattr(components, "compare_blocks", lambda rows, linked, block: compare(rows, linked, 16))
-    check(spark, texts + [" ".join(base)] * 60)
+    for k in range(60):  # shared passages, far below the threshold, and a few links among them
+        own = [f"p{k}_{x}" for x in range(80)]
+        texts += [" ".join(base + own)] + [" ".join(base + own + ["more"])] * (k % 10 == 0)
+    check(spark, texts + [" ".join(base)] * 60, crowd=16)
+
+
+def boilerplate(n, seed=3):
+    return [(k, " ".join([f"w{x}" for x in range(180)] + [f"d{seed}_{k}_{x}" for x in range(120)])) for k in range(n)]
+
+
+def test_shared_boilerplate_makes_no_candidates(spark, monkeypatch):
+    seen = []
+    edges = jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda *a, **k: seen.append(edges(*a, **k)) or seen[-1])
+    docs = spark.createDataFrame(boilerplate(600), "doc_id long, text string")
+    assert jaccard.join(docs, crowd=16).where("n_links > 0 or not kept").count() == 0
+    assert seen[0].count() == 0
+
+
+def test_trees_and_sketches():
+    assert 97 < jaccard.more_trees(0.8, 288, 12, 0.999) < 300
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    for shared in (500, 600, 800, 850):
+        b = np.concatenate([a[:shared], rng.integers(0, 1 << 63, 900 - shared, dtype=np.uint64)])
+        found = jaccard.sketch_similarity([jaccard.sketch(a, 288)], [jaccard.sketch(b, 288)])[0]
+        wanted = shared / (1800 - shared)
+        assert abs(found - wanted) < 0.1
+        assert jaccard.sketch_links(0.8)([jaccard.sketch(a, 288)], [jaccard.sketch(b, 288)])[0, 0] == (wanted >= 0.8)
 
 
 def test_join_of_odd_rows(spark):
@@ -79,6 +106,10 @@ def test_join_of_odd_rows(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_join_agrees_with_sql(spark, sf_dir):
+    same(queries.op5_ngram_jaccard(spark, sf_dir).toPandas(), run_sql(sf_dir, queries.OP5_SQL))
+
+
 def test_prefix_is_shortened_until_the_recall():
     assert jaccard.prefix_length(0.8, 24, 0.999, 12) == 6
     assert jaccard.prefix_length(0.99, 24, 0.999, 12) == 12
@@ -106,6 +137,39 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
+def test_vectors_agree_with_sql(spark, sf_dir):
+    same(queries.op7_embedding_near_dedup(spark, sf_dir).toPandas(), run_sql(sf_dir, queries.OP7_SQL))
+
+
+def test_columns_of_results_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 1, 2)], "doc_id long, text string, id long, group_id long")
+    assert sorted(map(tuple, jaccard.join(docs).collect())) == [(1, 1, 1, 1, True), (2, 1, 1, 1, False)]
+    rows = spark.createDataFrame([(1, [1.0, 2.0], 0, 5), (2, [1.0, 2.0], 0, 5)], "vec_id long, embedding array<double>, label int, n_links int")
+    assert sorted(map(tuple, embeddings.near_duplicates(rows).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_vectors_that_point_one_way(spark, monkeypatch):
+    """Mean cosine about 0.83, so that buckets are crowded, with planted links."""
+    seen = []
+    edges = embeddings.candidate_edges
+    monkeypatch.setattr(embeddings, "candidate_edges", lambda *a, **k: seen.append(edges(*a, **k)) or seen[-1])
+    rng = np.random.default_rng(12)
+    way = rng.normal(size=64)
+    way /= np.linalg.norm(way)
+    x = way + 0.45 * rng.normal(size=(500, 64)) / 8
+    x[400:] = x[:100] + 0.06 * rng.normal(size=(100, 64)) / 8
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    assert 0.8 < cos.mean() < 0.86
+    pairs = [(a, b) for a, b in zip(*np.nonzero(cos >= 0.98), strict=True) if b < a]
+    assert len(pairs) >= 90
+    links, groups = collections.Counter(x for p in pairs for x in p), smallest_reachable(len(rows), pairs)
+    out = {r.id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), crowd=32).collect()}
+    assert out == {k: (links[k], groups[k]) for k in range(len(rows))}
+    assert seen[0].distinct().count() < 3 * len(pairs)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(6)
     rows, k = [], 0
