@@ -1,4 +1,7 @@
-"""Series: ordered values of a key, and running reductions over them."""
+"""Series: ordered values of a key, and running reductions over them.
+
+No step gathers a whole series in one task: rows are numbered by ranges, and windows reach over chunks.
+"""
 
 from __future__ import annotations
 
@@ -8,37 +11,64 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumengrid.functions import arrays as A
+from lumengrid.plans.checkpoint import materialise
+
+
+#: Positions of a series that one window holds at most.
+CHUNK = 10_000
 
 
 def series(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """(series_id, pos, v), with positions from 0 in the given order."""
-    pos = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return df.select(F.col(key).alias("series_id"), pos.alias("pos"), F.col(value).cast("double").alias("v"))
+    """(series_id, pos, v), with positions from 0 in the given order.
+
+    Rows are dealt by ranges of key and order, so that a long series lies in several ranges; they are numbered
+    within a range and key, and what the ranges before hold of the key is added.
+    """
+    places = [f"__place{k}" for k in range(len(order))]
+    rows = df.select(F.col(key).alias("series_id"), F.col(value).cast("double").alias("v"), *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)])
+    rows = materialise(rows.repartitionByRange("series_id", *places).withColumn("__range", F.spark_partition_id()))
+    sizes = rows.groupBy("series_id", "__range").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("series_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("series_id").alias("__id"), F.col("__range").alias("__at"), F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy("series_id", "__range").orderBy(*places)) - 1
+    rows = rows.withColumn("__inside", inside).join(sizes, F.col("series_id").eqNullSafe(F.col("__id")) & (F.col("__range") == F.col("__at")))
+    return rows.select("series_id", (F.col("__ahead") + F.col("__inside")).cast("int").alias("pos"), "v")
+
+
+def _chunks(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """Rows by chunks of CHUNK positions, each with the last `before` of the chunk before and the first `after` of the next."""
+    own, place = F.floor(F.col("pos") / CHUNK), F.col("pos") % CHUNK
+    to = F.array(own, F.when(place >= CHUNK - before, own + 1), F.when(place < after, own - 1))
+    dealt = rows.withColumn("__chunk", F.explode(F.filter(to, lambda c: c >= 0)))
+    return dealt.withColumn("__own", F.col("__chunk") == own)
 
 
 def step_profile(rows: DataFrame) -> DataFrame:
     """(series_id, max_step, total_variation): differences of neighbours; both are 0 for equal values."""
-    before = F.lag("v").over(Window.partitionBy("series_id").orderBy("pos"))
-    step = rows.select("series_id", F.abs(F.col("v") - before).alias("step"))
+    before = F.lag("v").over(Window.partitionBy("series_id", "__chunk").orderBy("pos"))
+    step = _chunks(rows, 1, 0).select("series_id", "__own", F.abs(F.col("v") - before).alias("step")).where("__own")
     return step.groupBy("series_id").agg(F.max("step").alias("max_step"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("total_variation"))
 
 
 def blur_series(rows: DataFrame, sigma: float) -> DataFrame:
     """(series_id, pos, v) smoothed with extended borders.
 
-    Weighted lags and leads in one window, so that a long series is streamed and not gathered in a row;
-    beyond an end the first or last value counts.
+    Weighted lags and leads in windows over chunks with their border rows; beyond an end of the series the
+    first or last value counts. A kernel must not be longer than a chunk.
     """
     weights = A.gaussian_weights(sigma)
     half = len(weights) // 2
-    w = Window.partitionBy("series_id").orderBy("pos")
-    ends = Window.partitionBy("series_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("__first", F.first("v").over(ends)).withColumn("__last", F.last("v").over(ends))
+    if half > CHUNK:
+        raise ValueError("the kernel is longer than a chunk")
+    w = Window.partitionBy("series_id", "__chunk").orderBy("pos")
+    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = _chunks(rows, half, half).withColumn("__first", F.first("v").over(ends)).withColumn("__last", F.last("v").over(ends))
     total = F.lit(0.0)
     for k, weight in zip(range(-half, half + 1), weights, strict=True):
-        near = F.col("v") if k == 0 else F.coalesce(F.lead("v", k).over(w), F.col("__last")) if k > 0 else F.coalesce(F.lag("v", -k).over(w), F.col("__first"))
+        beyond = F.col("__last") if k > 0 else F.col("__first")
+        near = F.col("v") if k == 0 else F.when((F.lead if k > 0 else F.lag)("pos", abs(k)).over(w).isNull(), beyond).otherwise((F.lead if k > 0 else F.lag)("v", abs(k)).over(w))
         total = total + near * weight
-    return rows.select("series_id", "pos", total.alias("v"))
+    return rows.select("series_id", "pos", "__own", total.alias("v")).where("__own").drop("__own")
 
 
 def log_spaced(start: int, end: int, n: int) -> list[int]:
@@ -55,8 +85,12 @@ def log_spaced(start: int, end: int, n: int) -> list[int]:
 
 
 def prefix_profile(rows: DataFrame, points: list[int]) -> DataFrame:
-    """(series_id, n, max, min, sum) over the first n elements, for each n of `points` that the series has."""
-    w = Window.partitionBy("series_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """(series_id, n, max, min, sum) over the first n elements, for each n of `points` that the series has.
+
+    One aggregation with a condition for each point, combined before the shuffle.
+    """
     number = F.when(~F.isnan("v"), F.col("v"))
-    run = rows.select("series_id", (F.col("pos") + 1).alias("n"), F.max(number).over(w).alias("max"), F.min(number).over(w).alias("min"), F.sum("v").over(w).alias("sum"))
-    return run.where(F.col("n").isin(points))
+    first = lambda n, x: F.when(F.col("pos") < n, x)
+    of = lambda n: F.struct(F.lit(n).alias("n"), F.max(first(n, number)).alias("max"), F.min(first(n, number)).alias("min"), F.sum(first(n, F.col("v"))).alias("sum"))
+    found = rows.groupBy("series_id").agg(F.count("*").alias("__size"), F.array(*map(of, points)).alias("__all"))
+    return found.select("series_id", F.explode(F.filter("__all", lambda x: x["n"] <= F.col("__size"))).alias("__one")).select("series_id", "__one.*")

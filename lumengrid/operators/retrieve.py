@@ -63,30 +63,47 @@ def apply_modulus(frames: DataFrame, magnitude: str = "mag") -> DataFrame:
     return out.withColumns({"re": new("re"), "im": new("im")}).drop("__safe")
 
 
-def hio_steps(frames: DataFrame, steps: int | str, beta: float | str) -> DataFrame:
-    """Repeat constraint, transform, modulus and inverse transform; steps and beta are numbers or columns."""
+def hio_steps(frames: DataFrame, steps: int | str, beta: float | str, target: str | None = None) -> DataFrame:
+    """Repeat constraint, transform, modulus and inverse transform; steps and beta are numbers or columns.
+
+    With a column `target`, a frame whose error in the masked cells is below it takes no further step, and the
+    column `cycles` is raised by the steps that a frame took. Frames that aren't whole get NULL.
+    """
     schema = frames.schema
     kept = ["mag", "g_re", "g_im", "re", "im"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
-            n_steps = column(steps).to_numpy(zero_copy_only=False) if isinstance(steps, str) else np.full(batch.num_rows, steps)
-            betas = column(beta).to_numpy(zero_copy_only=False) if isinstance(beta, str) else np.full(batch.num_rows, beta)
+            column = lambda n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            n_steps = column(steps) if isinstance(steps, str) else np.full(batch.num_rows, steps)
+            betas = column(beta) if isinstance(beta, str) else np.full(batch.num_rows, beta)
             results = {n: [None] * batch.num_rows for n in kept[1:]}
+            taken = np.zeros(batch.num_rows, np.int64)
             for rows, (mag, g_re, g_im, re, im, masked) in spectral.by_shape(batch, [*kept, "masked"]):
                 g, new, masked, b = g_re + 1j * g_im, re + 1j * im, masked.astype(bool), betas[rows][:, None, None]
+                on = np.ones(len(rows), bool)
                 for step in range(int(n_steps[rows].max(initial=0))):
-                    on = n_steps[rows] > step
+                    on &= n_steps[rows] > step
+                    if target:
+                        with np.errstate(invalid="ignore", divide="ignore"):
+                            error = np.sqrt((np.abs(new) * masked).sum((1, 2))) / masked.sum((1, 2))
+                        on &= ~(error < column(target)[rows])
+                    if not on.any():
+                        break
                     kept_g = np.where(masked | (new.real < 0), g - b * new, new)
                     spectrum = np.fft.fft2(kept_g)
                     norm = np.abs(spectrum)
                     moved = np.fft.ifft2(spectrum * (mag / np.where(norm == 0, 1, norm)), norm="forward")
                     g, new = np.where(on[:, None, None], kept_g, g), np.where(on[:, None, None], moved, new)
+                    taken[rows] += on
                 for k, r in enumerate(rows):
                     for n, x in zip(kept[1:], (g[k].real, g[k].imag, new[k].real, new[k].imag), strict=True):
                         results[n][r] = x.ravel()
-            yield spectral.with_frames(batch, schema, results)
+            out = spectral.with_frames(batch, schema, results)
+            if target:
+                at = schema.names.index("cycles")
+                out = out.set_column(at, "cycles", pa.array((column("cycles") + taken).astype(np.int32)))
+            yield out
 
     return frames.mapInArrow(run, schema)
 
@@ -97,16 +114,19 @@ def with_error(frames: DataFrame) -> DataFrame:
     return frames.withColumns({"total_error": total, "n_masked": count, "error": error})
 
 
-def _loop(state: DataFrame, max_cycles: int, cycle_plan) -> tuple[DataFrame, DataFrame]:
-    """Run cycles until every frame has converged or had its cycles; returns the last state and the trace."""
+def _loop(state: DataFrame, max_cycles: int, cycle_plan, steps: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Run cycles until every frame has converged or had its cycles; returns the last state and the trace.
+
+    `steps` is how many of a frame's n_cycles one turn of the loop takes.
+    """
     finished, traces = [], []
     for cycle in range(max_cycles):
         state = materialise(cycle_plan(state, cycle))
         traces.append(state.select("image_id", F.lit(cycle).alias("cycle"), "sigma", "threshold", "n_masked", "total_error", "error", "converged"))
-        over = F.col("converged") | (F.col("n_cycles") <= cycle + 1)
+        over = F.col("converged") | (F.col("n_cycles") <= (cycle + 1) * steps)
         finished.append(state.where(over))
         state = state.where(~over)
-        if state.isEmpty():
+        if cycle + 1 < max_cycles and state.isEmpty():
             break
     return reduce(DataFrame.unionByName, finished), reduce(DataFrame.unionByName, traces)
 
@@ -134,23 +154,25 @@ def shrink_wrap(frames: DataFrame, params: DataFrame | None = None) -> tuple[Dat
     return done.select("image_id", "height", "width", F.col("re").alias("values"), "cycles", "error", "converged"), trace
 
 
-def hybrid_input_output(frames: DataFrame, masks: DataFrame, params: DataFrame | None = None, seed: int = 0, steps_a_cycle: int = 20) -> tuple[DataFrame, DataFrame]:
+def hybrid_input_output(frames: DataFrame, masks: DataFrame, params: DataFrame | None = None, seed: int = 0, steps_a_job: int = 20) -> tuple[DataFrame, DataFrame]:
     """The same with a fixed mask (image_id, masked) and a random-phase start; n_cycles counts steps.
 
-    Errors are tested after every `steps_a_cycle` steps.
+    The error is tested before each step, and a frame takes exactly n_cycles steps unless it falls below the
+    target. The state is written, and the trace has a row, after every `steps_a_job` steps.
     """
     start = resolve_params(frames, params).join(masks, "image_id")
     start = spectral.random_phase(start).withColumnRenamed("values", "mag")
     start = spectral.dft2(start, "re", "im", inverse=True)
-    start = materialise(start.withColumns({"g_re": F.col("re"), "g_im": F.col("im"), "n_cycles": F.ceil(F.col("n_cycles") / steps_a_cycle).cast("int")}).withColumns({k: v for k, v in _blank().items() if k != "masked"}))
+    start = materialise(start.withColumns({"g_re": F.col("re"), "g_im": F.col("im")}).withColumns({k: v for k, v in _blank().items() if k != "masked"}))
 
     def plan(state: DataFrame, cycle: int) -> DataFrame:
-        state = hio_steps(_bits(state), steps_a_cycle, "beta")
+        state = state.withColumn("__steps", F.least(F.lit(steps_a_job), F.col("n_cycles") - cycle * steps_a_job))
+        state = hio_steps(_bits(state), "__steps", "beta", "target_error").drop("__steps")
         state = with_error(state.withColumn("masked", F.transform("masked", lambda m: m > 0)))
-        return state.withColumns({"converged": F.coalesce(F.col("error") < F.col("target_error"), F.lit(False)), "cycles": F.lit((cycle + 1) * steps_a_cycle)})
+        return state.withColumn("converged", F.coalesce(F.col("error") < F.col("target_error"), F.lit(False)))
 
     most = start.agg(F.max("n_cycles")).first()[0] or 1
-    done, trace = _loop(start, most, plan)
+    done, trace = _loop(start, -(-most // steps_a_job), plan, steps_a_job)
     return done.select("image_id", "height", "width", F.col("re").alias("values"), "cycles", "error", "converged"), trace
 
 

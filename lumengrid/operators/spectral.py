@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +20,17 @@ DOUBLES = T.ArrayType(T.DoubleType())
 
 
 def by_shape(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(row numbers, stacks of frames) for each shape in a batch."""
+    """(row numbers, stacks of frames) for each shape in a batch, without frames that are NULL, hold one, or have too many or few cells."""
     at = {n: batch.column(batch.schema.get_field_index(n)) for n in ("height", "width", *columns)}
-    shapes = np.stack([at["height"].to_numpy(zero_copy_only=False), at["width"].to_numpy(zero_copy_only=False)], 1)
-    for h, w in np.unique(shapes, axis=0):
-        rows = np.flatnonzero((shapes == (h, w)).all(1))
+    shapes = np.stack([pc.fill_null(at[n], 0).to_numpy(zero_copy_only=False) for n in ("height", "width")], 1)
+    whole = shapes.min(1) > 0
+    for c in columns:
+        whole &= pc.fill_null(pc.list_value_length(at[c]), -1).to_numpy(zero_copy_only=False) == shapes[:, 0] * shapes[:, 1]
+        if at[c].flatten().null_count:
+            holes = pc.list_parent_indices(at[c]).filter(at[c].flatten().is_null())
+            whole[np.unique(holes.to_numpy(zero_copy_only=False))] = False
+    for h, w in np.unique(shapes[whole], axis=0):
+        rows = np.flatnonzero(whole & (shapes == (h, w)).all(1))
         yield rows, [at[c].take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, h, w) for c in columns]
 
 
@@ -36,7 +43,7 @@ def with_frames(batch: pa.RecordBatch, schema: T.StructType, results: dict[str,
 def dft2(frames: DataFrame, re: str = "values", im: str | None = None, inverse: bool = False) -> DataFrame:
     """Add re and im (replacing the inputs): the transform of the frames; im None means real frames.
 
-    Every frame must have height * width cells. The inverse has no factor 1 / N.
+    A frame that is NULL, holds a NULL or hasn't height * width cells gets NULL. The inverse has no factor 1 / N.
     """
     kept = [f for f in frames.schema if f.name not in (re, im, "re", "im")]
     schema = T.StructType([*kept, T.StructField("re", DOUBLES), T.StructField("im", DOUBLES)])
@@ -96,9 +103,21 @@ def autocorrelation_guess(frames: DataFrame) -> DataFrame:
     return dft2(frames, inverse=True)
 
 
+#: Modulus and factors of the draws: a Mersenne prime and primitive roots of it.
+PRIME, FACTORS = (1 << 31) - 1, (48_271, 69_621, 16_807)
+
+
+def _draw(number: F.Column, place: F.Column, seed: int) -> F.Column:
+    """A number in [0, 1) for a frame, a cell and a seed, by squaring modulo PRIME: the same in any system."""
+    x = (F.pmod(number.cast("long"), F.lit(PRIME)) * FACTORS[0] + place.cast("long") * FACTORS[1] + F.lit((seed * FACTORS[2] + 1) % PRIME)) % PRIME
+    for factor in FACTORS:
+        x = (x * x + factor) % PRIME
+    return x.cast("double") / float(PRIME)
+
+
 def random_phase(frames: DataFrame, seed: int = 0) -> DataFrame:
     """Add re and im: the magnitudes in `values` with the phases of a random real frame, drawn from seed and image_id."""
-    draw = F.transform("values", lambda _, i: F.pmod(F.xxhash64(F.lit(seed), F.col("image_id"), i), F.lit(1 << 52)).cast("double") / float(1 << 52))
+    draw = F.transform("values", lambda _, i: _draw(F.col("image_id"), i, seed))
     phased = dft2(frames.withColumn("__draw", draw), "__draw")
     phase = F.zip_with("re", "im", lambda a, b: F.atan2(b, a))
     phased = phased.withColumn("__phase", phase)

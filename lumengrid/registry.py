@@ -6,14 +6,19 @@ rounded to 6 digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lumengrid import iterative_sql
 from lumengrid.functions import arrays as A
 from lumengrid.operators import generate, layout, ordered, retrieve, smooth, spectral
 from lumengrid.plans import jobs
+from lumengrid.plans.checkpoint import shared_dir
+from lumengrid.sources import frames as io
+from lumengrid.streaming.jobs import run_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +32,7 @@ def vals():
 
 PX = "px AS (SELECT vec_id AS image_id, ((p - 1) // 8)::INT AS iy, ((p - 1) % 8)::INT AS ix, embedding[p]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS p))"
 #: Neighbouring pairs: a is the frame, b the one with the next id.
-PAIR = PX + ", pr AS (SELECT a.image_id, a.iy, a.ix, a.v AS a, b.v AS b FROM px a JOIN px b ON b.image_id = a.image_id + 1 AND b.iy = a.iy AND b.ix = a.ix)"
+PAIR = PX.replace("px AS (", "px AS MATERIALIZED (") + ", pr AS MATERIALIZED (SELECT a.image_id, a.iy, a.ix, a.v AS a, b.v AS b FROM px a JOIN px b ON b.image_id = a.image_id + 1 AND b.iy = a.iy AND b.ix = a.ix)"
 SERIES = "se AS (SELECT user_id AS series_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS pos, value::DOUBLE AS v FROM events)"
 KERNEL = "ker AS (SELECT * FROM (VALUES " + ", ".join(f"({k - 4}, {w!r}::DOUBLE)" for k, w in enumerate(A.gaussian_weights(SIGMA))) + ") t(k, w))"
 
@@ -405,7 +410,7 @@ def mirror_symmetry(spark, sf_dir):
     return spectral.mirror_symmetry(frames(spark, sf_dir)).select("image_id", r("asymmetry", "asymmetry"))
 
 
-@query()
+@query(f"WITH {K8}, {MAG}, {iterative_sql.random_phase(_dft)} {_COMPLEX} ph")
 def random_phase_init(spark, sf_dir):
     return _complex_pixels(spectral.random_phase(spectral.diffraction_magnitude(frames(spark, sf_dir))))
 
@@ -487,25 +492,153 @@ def _magnitudes(spark, sf_dir) -> DataFrame:
     return spectral.diffraction_magnitude(frames(spark, sf_dir).withColumn("values", F.transform(vals(), F.abs)))
 
 
+def _lengths(spark, sf_dir) -> DataFrame:
+    """Parameters of whole runs: default widths, cut-offs and targets, and as many cycles as the default or fewer."""
+    fewer = F.when(F.col("image_id") % 4 == 0, F.lit(10)).when(F.col("image_id") % 4 == 1, F.lit(15))
+    return frames(spark, sf_dir).select("image_id", fewer.alias("n_cycles"))
+
+
 @query()
 def shrink_wrap(spark, sf_dir):
-    return retrieve.shrink_wrap(_magnitudes(spark, sf_dir), _params(spark, sf_dir))[0]
+    return retrieve.shrink_wrap(_magnitudes(spark, sf_dir), _lengths(spark, sf_dir))[0]
 
 
 @query()
 def iteration_trace(spark, sf_dir):
-    return retrieve.shrink_wrap(_magnitudes(spark, sf_dir), _params(spark, sf_dir))[1]
+    return retrieve.shrink_wrap(_magnitudes(spark, sf_dir), _lengths(spark, sf_dir))[1]
 
 
 @query()
+def hybrid_input_output(spark, sf_dir):
+    given = masks(frames(spark, sf_dir)).select("image_id", "masked")
+    return retrieve.hybrid_input_output(_magnitudes(spark, sf_dir), given, _lengths(spark, sf_dir))[0]
+
+
+# The same jobs for one or two turns, after which rounding still leaves what SQL computes
+
+_FEW = "pa AS (SELECT vec_id AS image_id, 1 + vec_id % 2 AS n_hio, 1 + vec_id // 2 % 2 AS n_cycles, CASE WHEN vec_id % 5 = 0 THEN 0.5::DOUBLE ELSE 1e-5::DOUBLE END AS target, 0.5::DOUBLE AS share FROM embeddings)"
+_WRAPPED = f"WITH {K8}, {iterative_sql.shrink_wrap(_dft, lambda axis, source: _blurred(axis, source), KERNEL, _FEW, 2, 2, BETA)}, fi AS (SELECT image_id, n_cycles = 1 OR coalesce(e1.error < target, false) AS first FROM pa JOIN e1 USING (image_id))"
+_OBJECTS = (
+    f"{_WRAPPED} SELECT image_id, iy, ix, round(CASE WHEN first THEN s2.re ELSE s4.re END, 6) + 0.0 AS v, CASE WHEN first THEN 1 ELSE 2 END AS cycles, round(CASE WHEN first THEN e1.error ELSE e2.error END, 6) + 0.0 AS error, "
+    "coalesce(CASE WHEN first THEN e1.error ELSE e2.error END < target, false) AS converged FROM s2 JOIN s4 USING (image_id, iy, ix) JOIN pa USING (image_id) JOIN fi USING (image_id) JOIN e1 USING (image_id) JOIN e2 USING (image_id)"
+)
+
+
+def _few(spark, sf_dir) -> DataFrame:
+    i = F.col("image_id")
+    target = F.when(i % 5 == 0, 0.5)
+    two = lambda x: (1 + x % 2).cast("int")
+    return frames(spark, sf_dir).select("image_id", two(i).alias("n_hio"), two(F.floor(i / 2)).alias("n_cycles"), target.alias("target_error"), F.lit(SIGMA).alias("sigma0"), F.lit(SHARE).alias("cutoff_auto"), F.lit(SHARE).alias("cutoff"))
+
+
+def _cells(objects: DataFrame) -> DataFrame:
+    cells = objects.select("image_id", "width", "cycles", "error", "converged", F.posexplode("values").alias("p", "v"))
+    return cells.select("image_id", F.floor(F.col("p") / F.col("width")).cast("int").alias("iy"), (F.col("p") % F.col("width")).alias("ix"), r("v", "v"), "cycles", r("error", "error"), "converged")
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/lumengrid-{uuid.uuid4().hex}"
+
+
+@query(_OBJECTS)
+def shrink_wrap_few_cycles(spark, sf_dir):
+    return _cells(retrieve.shrink_wrap(_magnitudes(spark, sf_dir), _few(spark, sf_dir))[0])
+
+
+@query(
+    f"{_WRAPPED}, tr AS (SELECT image_id, 0 AS cycle, any_value(threshold) AS threshold FROM k1 GROUP BY image_id UNION ALL SELECT image_id, 1, any_value(threshold) FROM k2 JOIN fi USING (image_id) WHERE NOT first GROUP BY image_id), "
+    "er AS (SELECT 0 AS cycle, * FROM e1 UNION ALL SELECT 1, * FROM e2) "
+    "SELECT image_id, cycle, 1.5::DOUBLE AS sigma, round(threshold, 6) + 0.0 AS threshold, n_masked, round(total_error, 6) + 0.0 AS total_error, round(error, 6) + 0.0 AS error, coalesce(error < target, false) AS converged FROM tr JOIN er USING (image_id, cycle) JOIN pa USING (image_id)"
+)
+def iteration_trace_few_cycles(spark, sf_dir):
+    trace = retrieve.shrink_wrap(_magnitudes(spark, sf_dir), _few(spark, sf_dir))[1]
+    return trace.select("image_id", "cycle", "sigma", r("threshold", "threshold"), "n_masked", r("total_error", "total_error"), r("error", "error"), "converged")
+
+
+@query(_OBJECTS)
 def run_batch(spark, sf_dir):
-    return jobs.run_batch(_magnitudes(spark, sf_dir), _params(spark, sf_dir))
+    """Batch retrieval into a folder, read back from there."""
+    path = _folder(spark)
+    jobs.run_batch(_magnitudes(spark, sf_dir), _few(spark, sf_dir), path)
+    return _cells(io.read_frames(spark, path))
 
 
-@query()
-def hybrid_input_output(spark, sf_dir):
+@query(_OBJECTS)
+def run_stream_once(spark, sf_dir):
+    """The same for frames that arrive as files: all that are there, some files at a time."""
+    path = _folder(spark)
+    io.write_frames(_magnitudes(spark, sf_dir).select("image_id", "height", "width", "values").repartition(4), f"{path}/in")
+    run_stream(spark, f"{path}/in", io.read_frames(spark, f"{path}/in").schema, f"{path}/out", f"{path}/checkpoint", _few(spark, sf_dir), files=2, once=True).awaitTermination()
+    return _cells(io.read_frames(spark, f"{path}/out"))
+
+
+_STEPS_TAKEN = "pa AS (SELECT vec_id AS image_id, 1 + vec_id % 3 AS n_cycles, CASE WHEN vec_id % 5 = 0 THEN 0.3::DOUBLE ELSE 1e-5::DOUBLE END AS target FROM embeddings)"
+
+
+@query(
+    f"WITH {K8}, {iterative_sql.hybrid(_dft, _STEPS_TAKEN, 'ma AS MATERIALIZED (SELECT image_id, iy, ix, v < avg(v) OVER (PARTITION BY image_id) AS masked FROM px)', 3, BETA)} "
+    "SELECT image_id, iy, ix, round(s3.re, 6) + 0.0 AS v, w0.due::INT + w1.due::INT + w2.due::INT AS cycles, round(w3.error, 6) + 0.0 AS error, coalesce(w3.error < target, false) AS converged "
+    "FROM s3 JOIN pa USING (image_id) JOIN w0 USING (image_id) JOIN w1 USING (image_id) JOIN w2 USING (image_id) JOIN w3 USING (image_id)"
+)
+def hybrid_input_output_few_steps(spark, sf_dir):
+    """One to three steps, in jobs of two, so that the state is written in between."""
+    i = F.col("image_id")
+    params = frames(spark, sf_dir).select("image_id", (1 + i % 3).cast("int").alias("n_cycles"), F.when(i % 5 == 0, 0.3).alias("target_error"))
     given = masks(frames(spark, sf_dir)).select("image_id", "masked")
-    return retrieve.hybrid_input_output(_magnitudes(spark, sf_dir), given, _params(spark, sf_dir), steps_a_cycle=5)[0]
+    return _cells(retrieve.hybrid_input_output(_magnitudes(spark, sf_dir), given, params, steps_a_job=2)[0])
+
+
+# Files and sinks
+
+
+@query(f"WITH {PX} SELECT image_id, iy, ix, v FROM px")
+def matrix_text_roundtrip(spark, sf_dir):
+    """Each frame written as a file of text, and read again."""
+    path = _folder(spark)
+    line = lambda y: F.array_join(F.transform(F.slice("values", y * 8 + 1, F.lit(8)), lambda v: v.cast("string")), " ")
+    lines = frames(spark, sf_dir).select("image_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), line), "\n").alias("value"))
+    lines.write.partitionBy("image_id").text(path)
+    back = io.read_matrix_text(spark, path)
+    return layout.unpack(back.withColumn("image_id", F.regexp_extract("path", "image_id=(-?[0-9]+)", 1).cast("long")))
+
+
+@query(f"WITH {PX} SELECT image_id, iy, ix, v FROM px")
+def frames_roundtrip(spark, sf_dir):
+    path = _folder(spark)
+    io.write_frames(frames(spark, sf_dir).withColumn("part", F.col("image_id") % 4), path, by="part")
+    return layout.unpack(io.read_frames(spark, path))
+
+
+@query("SELECT count(*) AS n_frames, sum(len(embedding))::BIGINT AS n_cells FROM embeddings WHERE len(embedding) = 64")
+def sink_callback(spark, sf_dir):
+    """Frames given to a function, which counts them and their cells."""
+    seen, cells = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def count(row) -> None:
+        seen.add(1)
+        cells.add(len(row["values"]))
+
+    io.sink_callback(frames(spark, sf_dir), count)
+    return spark.range(1).select(F.lit(seen.value).cast("long").alias("n_frames"), F.lit(cells.value).cast("long").alias("n_cells"))
+
+
+@query("SELECT count(*) AS n_frames, sum(len(embedding))::BIGINT AS n_cells FROM embeddings WHERE len(embedding) = 64")
+def sink_discard(spark, sf_dir):
+    """Frames computed whole and thrown away, observed on their way."""
+    seen = Observation()
+    io.sink_discard(frames(spark, sf_dir).observe(seen, F.count("*").alias("n_frames"), F.sum(F.size("values")).alias("n_cells")))
+    return spark.range(1).select(F.lit(seen.get["n_frames"]).cast("long").alias("n_frames"), F.lit(seen.get["n_cells"]).cast("long").alias("n_cells"))
+
+
+@query("SELECT vec_id AS image_id, ((vec_id % 7 + 3) % 7)::INT AS odd, ((vec_id % 8 + 4) % 8)::INT AS even FROM embeddings")
+def fft_shift_index(spark, sf_dir):
+    place = lambda n: A.fft_shift_index((F.col("image_id") % n).cast("int"), F.lit(n))
+    return frames(spark, sf_dir).select("image_id", place(7).alias("odd"), place(8).alias("even"))
+
+
+@query(f"WITH {PX}, st AS (SELECT image_id, abs(v - lag(v) OVER (PARTITION BY image_id ORDER BY iy, ix)) AS step FROM px) SELECT image_id, max(step) AS max_step, round(sum(step), 6) + 0.0 AS total_variation FROM st GROUP BY image_id")
+def frame_steps(spark, sf_dir):
+    return frames(spark, sf_dir).select("image_id", A.max_step(vals()).alias("max_step"), r(A.total_variation(vals()), "total_variation"))
 
 
 # Generators: one frame per vector, with parameters by its id

@@ -14,7 +14,7 @@ def read_matrix_text(spark: SparkSession, path: str) -> DataFrame:
     Blank lines are skipped. A file whose lines differ in length, or with a word that isn't a number, has NULL values.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     files = files.withColumn("rows", F.transform(lines, lambda x: F.split(x, r"\s+")))
     width = F.size(F.get("rows", F.lit(0)))
     cells = F.transform(F.flatten("rows"), lambda x: x.try_cast("double"))
@@ -25,14 +25,16 @@ def read_matrix_text(spark: SparkSession, path: str) -> DataFrame:
 def read_gray_images(spark: SparkSession, path: str) -> DataFrame:
     """One frame per 8-bit image: the red channel over 255. Raises if a PNG has another bit depth.
 
-    Spark's image source stores rows of blue, green, red; gray images have one channel.
+    The headers are read when this is called. Spark's image source stores rows of blue, green, red; gray images
+    have one channel. A file that can't be decoded has NULL height, width and values.
     """
     depth = F.conv(F.hex(F.substring("content", 25, 1)), 16, 10).cast("int")
     files = spark.read.format("binaryFile").load(path).select("path", F.hex(F.substring("content", 1, 4)).alias("magic"), depth.alias("depth"))
     odd = files.where((F.col("magic") == "89504E47") & (F.col("depth") != 8)).select("path").first()
     if odd:
         raise ValueError(f"only 8-bit images can be read, not {odd[0]}")
-    at = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    at = spark.read.format("image").load(path).select("image.*")
+    at = at.withColumns({n: F.when(F.col(n) > 0, F.col(n)) for n in ("height", "width", "nChannels")})
     channels = F.col("nChannels")
     red = F.when(channels == 1, F.lit(0)).otherwise(F.lit(2))
     byte = lambda p: F.conv(F.hex(F.substring(F.col("data"), p * channels + red + 1, F.lit(1))), 16, 10).cast("double") / 255

@@ -115,3 +115,29 @@ def test_series(spark):
     assert [r.v for r in ordered.blur_series(s, 3.0).where("series_id = 'a'").collect()] == pytest.approx([1.0] * 3)
     points = ordered.log_spaced(2, 50, 20)
     assert points == sorted(set(points)) and len(points) == 20 and points[0] == 2 and points[-1] == 50
+
+
+def test_long_series_in_ranges_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK", 7)
+    rng = random.Random(11)
+    rows = [("hot", k, rng.uniform(-1, 1)) for k in range(200)] + [(None, k, float(k)) for k in range(9)] + [("one", 0, 4.0)] + [("tie", 1, 2.0)] * 15
+    rng.shuffle(rows)
+    s = ordered.series(spark.createDataFrame(rows, "k string, t int, v double").repartition(5), "k", ["t"], "v")
+    found = {}
+    for r in s.collect():
+        found.setdefault(r.series_id, {})[r.pos] = r.v
+    wanted = {key: [v for k, _, v in sorted((x for x in rows if x[0] == key), key=lambda x: x[1])] for key in ("hot", None, "one", "tie")}
+    assert {key: [v[k] for k in range(len(v))] for key, v in found.items()} == wanted
+    for r in ordered.step_profile(s).collect():
+        v = wanted[r.series_id]
+        steps = [abs(b - a) for a, b in zip(v, v[1:], strict=False)]
+        assert r.max_step == (max(steps) if steps else None) and r.total_variation == pytest.approx(sum(steps))
+    weights = A.gaussian_weights(1.5)
+    for r in ordered.blur_series(s, 1.5).collect():
+        v = wanted[r.series_id]
+        assert r.v == pytest.approx(sum(w * v[max(0, min(len(v) - 1, r.pos + k - 4))] for k, w in enumerate(weights)))
+    for r in ordered.prefix_profile(s, [1, 2, 50, 200, 201]).collect():
+        v = wanted[r.series_id][: r.n]
+        assert len(v) == r.n and (r.max, r.min) == (max(v), min(v)) and r.sum == pytest.approx(sum(v))
+    with pytest.raises(ValueError, match="chunk"):
+        ordered.blur_series(s, 9.0)

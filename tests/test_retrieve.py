@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumengrid.functions import arrays
 from lumengrid.operators import generate, retrieve, spectral
 from lumengrid.plans import jobs
 from lumengrid.sources import frames as io
@@ -81,6 +82,8 @@ def test_files_and_sinks(spark, tmp_path):
     rows = {r.path.rsplit("/", 1)[1]: r for r in io.read_matrix_text(spark, str(tmp_path)).collect()}
     assert (rows["a.txt"].height, rows["a.txt"].width, rows["a.txt"]["values"]) == (2, 3, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])
     assert rows["b.txt"]["values"] is None
+    (tmp_path / "c.txt").write_text("0 0\n1 1\n2 2\n3 33\n")
+    assert io.read_matrix_text(spark, f"{tmp_path}/c.txt").first()["values"] == [0.0, 0.0, 1.0, 1.0, 2.0, 2.0, 3.0, 33.0]
     frames = generate.rectangle(shapes(spark, 4, 6, 5), 0.5, 0.5)
     io.write_frames(frames, f"{tmp_path}/frames")
     assert sorted(map(tuple, io.read_frames(spark, f"{tmp_path}/frames").collect())) == sorted(map(tuple, frames.collect()))
@@ -110,6 +113,76 @@ def test_gray_images(spark, tmp_path):
         io.read_gray_images(spark, str(tmp_path))
 
 
+def test_broken_images_are_null(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png([[0, 51, 255], [102, 204, 153]]))
+    (tmp_path / "b.png").write_bytes(png([[1, 2], [3, 4]])[:30])
+    rows = {r.path.rsplit("/", 1)[1]: r for r in io.read_gray_images(spark, str(tmp_path)).collect()}
+    assert len(rows) == 2 and rows["a.png"]["values"] is not None and (rows["b.png"].height, rows["b.png"]["values"]) == (None, None)
+
+
+def test_frames_that_are_not_whole_stay_null(spark):
+    rows = [(0, 2, 2, None), (1, 2, 2, [1.0, None, 2.0, 3.0]), (2, 2, 2, [1.0]), (3, 2, 2, [1.0, 2.0, 3.0, 5.0]), (4, None, 2, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "image_id long, height int, width int, values array<double>").coalesce(1)
+    found = {r.image_id: r for r in spectral.dft2(df).collect()}
+    assert found[3].re == [11.0, -3.0, -5.0, 1.0] and all(found[k].re is None and found[k].im is None for k in (0, 1, 2, 4))
+    objects, _ = retrieve.shrink_wrap(df, spark.createDataFrame([(k, 1) for k in range(5)], "image_id long, n_cycles int"))
+    assert {r.image_id for r in objects.collect() if r["values"] is not None} == {3}
+
+
+def numpy_step(mag, g, new, masked, beta=0.9):
+    g = np.where(masked | (new.real < 0), g - beta * new, new)
+    spectrum = np.fft.fft2(g)
+    return g, np.fft.ifft2(mag * spectrum / np.where(np.abs(spectrum) == 0, 1, np.abs(spectrum)), norm="forward")
+
+
+def numpy_error(new, masked):
+    return np.sqrt(np.abs(new)[masked].sum()) / masked.sum()
+
+
+def numpy_blur(x, sigma):
+    weights = np.array(arrays.gaussian_weights(sigma))
+    half = len(weights) // 2
+    for axis in (1, 0):
+        x = np.apply_along_axis(lambda v: np.convolve(np.pad(v, half, mode="edge"), weights, "valid"), axis, x)
+    return x
+
+
+def test_shrink_wrap_follows_numpy(spark):
+    objects = generate.circular_section(shapes(spark, 3, 24, 32), 0.2, 0.4, 0.6, 0.3, 5.0)
+    magnitudes = spectral.diffraction_magnitude(objects)
+    params = spark.createDataFrame([(0, 3, 2), (1, 1, 4), (2, 2, 3)], "image_id long, n_cycles int, n_hio int")
+    found = {r.image_id: r for r in retrieve.shrink_wrap(magnitudes, params)[0].collect()}
+    mag = np.array(magnitudes.first()["values"]).reshape(24, 32)
+    for image, cycles, steps in params.collect():
+        new = np.fft.ifft2(mag, norm="forward")
+        g = new
+        for cycle in range(cycles):
+            blurred = numpy_blur(np.abs(new), 3.0 if cycle == 0 else max(1.5, 3.0 * 0.99**cycle))
+            masked = blurred < (0.04 if cycle == 0 else 0.2) * blurred.max()
+            for _ in range(steps):
+                g, new = numpy_step(mag, g, new, masked)
+        assert found[image].cycles == cycles and found[image].error == pytest.approx(numpy_error(new, masked), rel=1e-6)
+        assert np.allclose(found[image]["values"], new.real.ravel(), atol=1e-6 * np.abs(new).max())
+
+
+def test_hybrid_input_output_takes_the_steps_asked_for(spark):
+    magnitudes = spectral.diffraction_magnitude(generate.rectangle(shapes(spark, 4, 12, 10), 0.4, 0.5))
+    masks = magnitudes.select("image_id", F.transform("values", lambda _, p: ~(p % 10).between(3, 6)).alias("masked"))
+    asked = [(0, 1, None), (1, 7, None), (2, 50, 0.05), (3, 3, 1e9)]
+    params = spark.createDataFrame(asked, "image_id long, n_cycles int, target_error double")
+    found = {r.image_id: r for r in retrieve.hybrid_input_output(magnitudes, masks, params, steps_a_job=3)[0].collect()}
+    starts = {r.image_id: np.fft.ifft2((np.array(r.re) + 1j * np.array(r.im)).reshape(12, 10), norm="forward") for r in spectral.random_phase(magnitudes).collect()}
+    mag, masked = np.array(magnitudes.first()["values"]).reshape(12, 10), np.array(masks.first().masked).reshape(12, 10)
+    for image, steps, target in asked:
+        g = new = starts[image]
+        taken = 0
+        while taken < steps and not numpy_error(new, masked) < (target or 1e-5):
+            g, new = numpy_step(mag, g, new, masked)
+            taken += 1
+        assert found[image].cycles == taken and np.allclose(found[image]["values"], new.real.ravel(), atol=1e-6 * np.abs(new).max())
+    assert found[1].cycles == 7 and found[3].cycles == 0 and found[3].converged
+
+
 def test_batch_and_stream_agree(spark, tmp_path):
     frames = spectral.diffraction_magnitude(generate.rectangle(shapes(spark, 3, 8, 8), 0.4, 0.4)).select("image_id", "height", "width", "values")
     params = spark.createDataFrame([(k, 1, 2) for k in range(3)], "image_id long, n_cycles int, n_hio int")
