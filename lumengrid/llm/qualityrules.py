@@ -1,31 +1,39 @@
 """Quality rules: base rules, then robust multivariate outliers, in DataFrame functions only.
 
 Word statistics come from arrays inside each row. For the documents that pass the base rules a
-minimum-covariance-determinant estimate is made for each language and source: medians and median
-absolute deviations start it, then concentration steps refit mean and covariance to the share `half`
-of rows that lie nearest. Quantiles come from histograms of bounded size for each group, sums of
+minimum-covariance-determinant estimate is made for each language and source: three deterministic
+starts take concentration steps to the share `half` of rows that lie nearest, the start with the least
+determinant goes on, and a last estimate over all rows within its TRUSTED share, made consistent at the normal
+distribution, gives the distances. A document goes if a clean one would lie so far with chance `tail`
+(a chi-squared quantile). Quantiles come from histograms of bounded size for each group, sums of
 products are pre-aggregated before the shuffle, and the small matrices are factored as columns, so
 that a group with a third of all rows is never gathered.
 
-A group of fewer than `least` rows joins the pool of its language, and a pool that is still too small
-joins one common pool; if even that is too small its rows pass. Nulls: a null text has no words and
-fails the base rules; null languages and sources are values of their own. Repeated rows get repeated
-verdicts; an empty table gives an empty one. Columns of the input that have a result's name are not carried.
+Small groups are judged too: every estimate shrinks towards the whole corpus by PRIOR_ROWS rows. Nulls:
+a null text has no words and fails the base rules; null languages and sources are values of their own.
+Very long texts are read whole. Rows in the bin of a quantile count as near together, so that ties don't
+depend on an order; repeated rows get repeated verdicts; an empty table gives an empty one. Only the four
+columns named are read, so that others may have any name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumengrid.llm.common import WORD, join_checked, materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Names of the transformed statistics, and the least standard deviation that each is given.
+#: Names of the transformed statistics, and the least standard deviation that each is given: many are 0 in
+#: most texts, and a spread of 0 would reject whatever differs at all.
 VECTOR = {"word_length": 0.06, "symbols": 0.08, "dup_lines": 0.12, "repeats": 0.08, "capitals": 0.06}
 D = len(VECTOR)
-#: Median of the chi-squared distribution with D = 5 degrees of freedom, for consistency at the normal.
-CHI2_MEDIAN = 4.351
+#: Rows that the whole corpus counts as in the estimates of a group.
+PRIOR_ROWS = 10
+#: Share of a normal distribution that the last estimate takes in.
+TRUSTED = 0.975
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
@@ -93,12 +101,17 @@ def _distance(x: F.Column, mean: F.Column, inverse: F.Column) -> F.Column:
     return total
 
 
-def _factor(moments: DataFrame) -> DataFrame:
-    """(group, mean, inverse) from (group, n, s: sums, p: sums of products), with the least deviations added."""
+def _factor(moments: DataFrame, prior: dict[str, list[float]], keys: tuple[str, ...] = ("group", "start")) -> DataFrame:
+    """(keys, mean, inverse, log_det) from (keys, n, mean, cov): shrunk estimates and their Cholesky factors.
+
+    Mean and covariance shrink towards the prior's as if it had PRIOR_ROWS rows, and every variance gets
+    the least one.
+    """
+    weight = F.col("n") / (F.col("n") + PRIOR_ROWS)
     floors = list(VECTOR.values())
-    df = moments.select("group", *[(F.get("s", F.lit(i)) / F.col("n")).alias(f"m{i}") for i in range(D)], "n", "p")
-    cov = {(i, j): F.get("p", F.lit(k)) / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (floors[i] ** 2 if i == j else 0.0) for k, (i, j) in enumerate(PAIRS)}
-    df = df.select("group", *[f"m{i}" for i in range(D)], *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
+    df = moments.select(*keys, *[(weight * F.get("mean", F.lit(i)) + (1 - weight) * prior["mean"][i]).alias(f"m{i}") for i in range(D)], weight.alias("w"), "cov")
+    cov = {(i, j): F.col("w") * F.get("cov", F.lit(k)) + ((1 - F.col("w")) * prior["sd"][i] ** 2 + floors[i] ** 2 if i == j else 0.0) for k, (i, j) in enumerate(PAIRS)}
+    df = df.select(*keys, *[f"m{i}" for i in range(D)], *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
     for j in range(D):  # Cholesky by columns
         left = F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(left, F.lit(floors[j] ** 2 / 4))))
@@ -107,11 +120,21 @@ def _factor(moments: DataFrame) -> DataFrame:
     for i in range(D):  # the inverse, by rows
         row = {f"v{i}{j}": -sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}") for j in range(i)}
         df = df.withColumns(row | {f"v{i}{i}": 1 / F.col(f"l{i}{i}")})
-    return df.select("group", F.array(*[f"m{i}" for i in range(D)]).alias("mean"), F.array(*[f"v{i}{j}" for i, j in PAIRS]).alias("inverse"))
+    log_det = 2 * sum((F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0))
+    return df.select(*keys, F.array(*[f"m{i}" for i in range(D)]).alias("mean"), F.array(*[f"v{i}{j}" for i, j in PAIRS]).alias("inverse"), log_det.alias("log_det"))
+
 
+def _moments(rows: DataFrame, x: str = "x", keys: tuple[str, ...] = ("group", "start")) -> DataFrame:
+    """(keys, n, mean, cov) of the vectors; sums are pre-aggregated before they meet."""
+    at = [F.get(x, F.lit(i)) for i in range(D)]
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*map(F.sum, at)).alias("s"), F.array(*[F.sum(at[i] * at[j]) for i, j in PAIRS]).alias("p"))
+    mean = lambda i: F.get("s", F.lit(i)) / F.col("n")
+    cov = [F.get("p", F.lit(k)) / F.col("n") - mean(i) * mean(j) for k, (i, j) in enumerate(PAIRS)]
+    return sums.select(*keys, "n", F.array(*map(mean, range(D))).alias("mean"), F.array(*cov).alias("cov"))
 
-def _start(rows: DataFrame, width: float = 0.01) -> DataFrame:
-    """(group, mean, inverse) from medians and median absolute deviations, by histograms of `width`."""
+
+def _robust(rows: DataFrame, width: float = 0.01) -> DataFrame:
+    """(group, n, median, sd) with deviations from median absolute ones, by histograms of `width`."""
     at = rows.select("group", F.posexplode("x").alias("i", "v")).withColumn("bin", F.round(F.col("v") / width).cast("long"))
     bins = materialise(at.groupBy("group", "i", "bin").agg(F.count("*").alias("c")))
 
@@ -119,57 +142,94 @@ def _start(rows: DataFrame, width: float = 0.01) -> DataFrame:
         inside = Window.partitionBy("group", "i")
         upto = F.sum("c").over(inside.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
         half = table.withColumn("upto", upto).withColumn("all", F.sum("c").over(inside))
-        return half.where(2 * F.col("upto") >= F.col("all")).groupBy("group", "i").agg(F.min(by).alias("middle"))
+        return half.where(2 * F.col("upto") >= F.col("all")).groupBy("group", "i").agg(F.min(by).alias("middle"), F.max("all").alias("n"))
 
     median = middle(bins, "bin")
-    away = bins.join(median, ["group", "i"]).withColumn("away", F.abs(F.col("bin") - F.col("middle")))
-    spread = middle(away.groupBy("group", "i", "away").agg(F.sum("c").alias("c")), "away").withColumnRenamed("middle", "mad")
-    floors = F.array(*map(F.lit, VECTOR.values()))
+    away = bins.join(median.drop("n"), ["group", "i"]).withColumn("away", F.abs(F.col("bin") - F.col("middle")))
+    spread = middle(away.groupBy("group", "i", "away").agg(F.sum("c").alias("c")), "away").withColumnRenamed("middle", "mad").drop("n")
     both = median.join(spread, ["group", "i"])
-    sd = F.sqrt(F.pow(1.4826 * width * F.col("mad"), 2) + F.pow(F.get(floors, F.col("i")), 2))
-    parts = both.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("i", (F.col("middle") * width).alias("m"), sd.alias("sd")))).alias("p"))  # D entries
-    inverse = [1 / F.get("p", F.lit(i))["sd"] if i == j else F.lit(0.0) for i, j in PAIRS]
-    return parts.select("group", F.transform("p", lambda e: e["m"]).alias("mean"), F.array(*inverse).alias("inverse"))
+    parts = both.groupBy("group").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", (F.col("middle") * width).alias("m"), (1.4826 * width * F.col("mad")).alias("sd")))).alias("p"))  # D entries
+    return parts.select("group", "n", F.transform("p", lambda e: e["m"]).alias("median"), F.transform("p", lambda e: e["sd"]).alias("sd"))
 
 
-def _near(rows: DataFrame, model: DataFrame, n_groups: int, share: float) -> tuple[DataFrame, DataFrame]:
-    """Rows with the bin of their distance, and (group, limit): the bin in which the share's quantile lies."""
-    far = join_checked(rows, model, ["group"], rows=n_groups)
+def _starts(rows: DataFrame, prior: dict[str, list[float]]) -> DataFrame:
+    """(group, start, mean, inverse, log_det) of three starts: medians and deviations of each statistic, the
+    plain mean and covariance, and the correlation of tanh-scores about the medians."""
+    robust = materialise(_robust(rows))
+    floors = F.array(*map(F.lit, VECTOR.values()))
+    apart = [F.pow(F.get("sd", F.lit(i)), 2) if i == j else F.lit(0.0) for i, j in PAIRS]
+    first = robust.select("group", F.lit(0).alias("start"), "n", F.col("median").alias("mean"), F.array(*apart).alias("cov"))
+    second = _moments(rows.withColumn("start", F.lit(1)))
+    scaled = join_checked(rows, robust, ["group"]).withColumn("start", F.lit(2))
+    score = F.transform("x", lambda v, i: F.tanh((v - F.get("median", i)) / (F.get("sd", i) + F.get(floors, i))))
+    scores = _moments(scaled.select("group", "start", score.alias("x")))
+    root = lambda i: F.sqrt(F.greatest(F.get("z", F.lit(i * (i + 3) // 2)), F.lit(1e-12)))
+    shape = [F.get("z", F.lit(k)) / (root(i) * root(j)) * F.get("sd", F.lit(i)) * F.get("sd", F.lit(j)) for k, (i, j) in enumerate(PAIRS)]
+    third = scores.select("group", "start", F.col("cov").alias("z")).join(robust, "group")
+    third = third.select("group", "start", "n", F.col("median").alias("mean"), F.array(*shape).alias("cov"))
+    return materialise(_factor(materialise(first.unionByName(second).unionByName(third)), prior))
+
+
+def _near(rows: DataFrame, model: DataFrame, n_models: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with the bin of their distance, and (group, start, limit): the bin in which the share's quantile lies."""
+    far = join_checked(rows, model, ["group"], rows=n_models)
     far = far.withColumn("bin", F.floor(16 * F.log2(1 + _distance(F.col("x"), F.col("mean"), F.col("inverse")))).cast("long"))
-    counts = far.groupBy("group", "bin").agg(F.count("*").alias("c"))
-    inside = Window.partitionBy("group")
+    counts = far.groupBy("group", "start", "bin").agg(F.count("*").alias("c"))
+    inside = Window.partitionBy("group", "start")
     upto = F.sum("c").over(inside.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     limit = counts.withColumn("upto", upto).withColumn("all", F.sum("c").over(inside)).where(F.col("upto") >= share * F.col("all"))
-    return far, materialise(limit.groupBy("group").agg(F.min("bin").alias("limit")))
+    return far.select("group", "start", "x", "bin"), materialise(limit.groupBy("group", "start").agg(F.min("bin").alias("limit")))
 
 
-def outlier_models(rows: DataFrame, steps: int = 4, half: float = 0.75) -> tuple[DataFrame, int]:
-    """(group, mean, inverse, scale) from materialised (group, x), and the number of groups.
+def outlier_models(rows: DataFrame, steps: int = 3, half: float = 0.75) -> tuple[DataFrame, int]:
+    """(group, mean, inverse, spread) from materialised (group, x), and the number of groups.
 
-    scale makes the median squared distance that of the normal distribution.
+    Each start takes two concentration steps; the one with the least determinant takes `steps` more. Mean and
+    covariance are then taken again over all rows within the TRUSTED share of that estimate. Squared distances are
+    divided by spread, the consistency factor at the normal distribution.
     """
     n_groups = rows.select("group").distinct().count()
-    model = materialise(_start(rows))
-    for _ in range(steps):
-        far, limit = _near(rows, model, n_groups, half)
-        near = join_checked(far, limit, ["group"], rows=n_groups).where(F.col("bin") <= F.col("limit"))
-        x = [F.get("x", F.lit(i)) for i in range(D)]
-        sums = near.groupBy("group").agg(F.count("*").alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i, j in PAIRS]).alias("p"))
-        model = materialise(_factor(materialise(sums)))
-    _, middle = _near(rows, model, n_groups, 0.5)
-    scale = CHI2_MEDIAN / (F.pow(F.lit(2.0), (F.col("limit") + 0.5) / 16) - 1 + 1e-9)
-    return materialise(model.join(middle, "group").withColumn("scale", F.least(scale, F.lit(1.0))).drop("limit")), n_groups
-
-
-def groups_of(stats: DataFrame, lang: str, source: str, least: int) -> DataFrame:
-    """(key, group) for each language and source of the rows that pass; group is null where too few are left."""
-    own = stats.groupBy("key", lang).agg(F.count("*").alias("n"))
-    own = own.withColumn("large", F.col("n") >= least)
-    pool = F.sum(F.when(~F.col("large"), F.col("n"))).over(Window.partitionBy(lang))
-    own = materialise(own.withColumn("pooled", F.coalesce(pool, F.lit(0)) >= least))
-    rest = own.where("not large and not pooled").agg(F.sum("n")).first()[0] or 0
-    group = F.when(F.col("large"), F.concat(F.lit("1"), "key")).when(F.col("pooled"), F.concat(F.lit("2"), F.coalesce(lang, F.lit("\0"))))
-    return materialise(own.select("key", group.otherwise(F.lit("3") if rest >= least else F.lit(None)).alias("group")))
+    whole = _robust(rows.withColumn("group", F.lit(""))).first()  # one row
+    prior = {"mean": list(whole["median"]), "sd": list(whole["sd"])} if whole else {"mean": [0.0] * D, "sd": [0.0] * D}
+    model = _starts(rows, prior)
+    for step in range(2 + steps):
+        n_models = n_groups * (3 if step < 2 else 1)
+        far, limit = _near(rows, model, n_models, half)
+        near = join_checked(far, limit, ["group", "start"], rows=n_models).where(F.col("bin") <= F.col("limit"))
+        model = materialise(_factor(materialise(_moments(near)), prior))
+        if step == 1:
+            best = model.groupBy("group").agg(F.min(F.struct("log_det", "start", "mean", "inverse")).alias("best"))
+            model = materialise(best.select("group", "best.*"))
+    distance = _distance(F.col("x"), F.col("mean"), F.col("inverse")) / consistency(half)
+    trusted = join_checked(rows, model, ["group"], rows=n_groups).where(distance <= chi_squared(TRUSTED))
+    last = materialise(_factor(materialise(_moments(trusted)), prior))
+    out = model.select("group").join(last.select("group", "mean", "inverse", F.lit(consistency(TRUSTED)).alias("spread")), "group", "left")
+    # A group without trusted rows keeps its estimate.
+    own = model.select("group", F.col("mean").alias("mean_0"), F.col("inverse").alias("inverse_0"))
+    out = out.join(own, "group").select("group", F.coalesce("mean", "mean_0").alias("mean"), F.coalesce("inverse", "inverse_0").alias("inverse"), F.coalesce("spread", F.lit(consistency(half))).alias("spread"))
+    return materialise(out), n_groups
+
+
+def _beyond(x: float, degrees: int) -> float:
+    """Share of the chi-squared distribution with an odd number of degrees of freedom above x."""
+    share = math.erfc(math.sqrt(x / 2))
+    for k in range(1, degrees, 2):
+        share += (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+    return share
+
+
+def chi_squared(share: float, degrees: int = D) -> float:
+    """Quantile of the chi-squared distribution, by bisection."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        x = (low + high) / 2
+        low, high = (x, high) if _beyond(x, degrees) > 1 - share else (low, x)
+    return low
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the nearest share of a normal distribution must be multiplied by."""
+    return share / (1 - _beyond(chi_squared(share), D + 2))
 
 
 def judge(
@@ -178,23 +238,18 @@ def judge(
     text: str = "text",
     lang: str = "lang",
     source: str = "source",
-    least: int = 50,
-    cutoff: float = 45.0,
-    steps: int = 4,
+    tail: float = 1e-7,
+    steps: int = 3,
     half: float = 0.75,
 ) -> DataFrame:
     """One row per document: id, the word statistics, base_failed, distance (null if not judged) and kept."""
     stats = word_statistics(docs.select(F.col(id_column).alias("id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")), "text", ("id", "lang", "source"))
     stats = stats.withColumn("base_failed", base_failed()).withColumn("x", F.when(~F.col("base_failed"), vector()))
-    stats = stats.withColumn("key", F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}))
+    stats = stats.withColumn("group", F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}))
     stats = materialise(stats)
-    passed = stats.where(~F.col("base_failed"))
-    groups = groups_of(passed, "lang", "source", least)
-    n_keys = groups.count()
-    rows = materialise(join_checked(passed.select("key", "x"), groups, ["key"], rows=n_keys).where("group is not null").select("group", "x"))
+    rows = materialise(stats.where(~F.col("base_failed")).select("group", "x"))
     model, n_groups = outlier_models(rows, steps, half)
-    out = join_checked(stats, groups, ["key"], "left", rows=n_keys)
-    out = join_checked(out, model, ["group"], "left", rows=n_groups)
-    out = out.withColumn("distance", F.col("scale") * _distance(F.col("x"), F.col("mean"), F.col("inverse")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    out = join_checked(stats, model, ["group"], "left", rows=n_groups)
+    out = out.withColumn("distance", _distance(F.col("x"), F.col("mean"), F.col("inverse")) / F.col("spread"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_squared(1 - tail), F.lit(True))
     return out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

@@ -74,6 +74,18 @@ def test_mixed_documents_repeat_whole_rows(spark):
     assert mixing.mixed_documents(rows).columns == rows.columns
 
 
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+i AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, hash(w[i], w[i + 1], w[i + 2])) AS c FROM i),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
+b AS (SELECT l.doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN r ON r.doc_id = l.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+"""
+
+
 def word_statistics(text):
     words = WORD.findall(text or "")
     windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
@@ -90,21 +102,41 @@ def test_word_statistics(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == word_statistics(texts[r.doc_id])
 
 
-def reference_mcd(x, steps=4, half=0.75):
-    """The same estimate in NumPy: medians first, then concentration; distances scaled by their median."""
-    floors = np.array(list(qualityrules.VECTOR.values()))
+def robust(x):
+    """Medians and deviations from the bins of the histograms."""
     bins = np.sign(x) * np.floor(np.abs(x) / 0.01 + 0.5)
     lower = lambda v: np.sort(v)[(len(v) - 1) // 2]
     median = np.apply_along_axis(lower, 0, bins)
-    mad = np.apply_along_axis(lower, 0, np.abs(bins - median))
-    mean, cov = median * 0.01, np.diag((1.4826 * 0.01 * mad) ** 2 + floors**2)
-    distance = lambda: np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
-    limit = lambda share: np.sort(np.floor(16 * np.log2(1 + distance())))[math.ceil(share * len(x)) - 1]
+    return median * 0.01, 1.4826 * 0.01 * np.apply_along_axis(lower, 0, np.abs(bins - median))
+
+
+def reference_mcd(x, everything, steps=3, half=0.75):
+    """The same estimate in NumPy."""
+    floors = np.array(list(qualityrules.VECTOR.values()))
+    prior_mean, prior_sd = robust(everything)
+
+    def shrunk(n, mean, cov):
+        w = n / (n + qualityrules.PRIOR_ROWS)
+        return w * mean + (1 - w) * prior_mean, w * cov + (1 - w) * np.diag(prior_sd**2) + np.diag(floors**2)
+
+    moments = lambda rows: shrunk(len(rows), rows.mean(0), np.cov(rows.T, bias=True) if len(rows) > 1 else np.zeros((5, 5)))
+    distance = lambda mean, cov: np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+
+    def step(mean, cov):
+        bins = np.floor(16 * np.log2(1 + distance(mean, cov)))
+        return moments(x[bins <= np.sort(bins)[math.ceil(half * len(x)) - 1]])
+
+    median, sd = robust(x)
+    z = np.cov(np.tanh((x - median) / (sd + floors)).T, bias=True) if len(x) > 1 else np.zeros((5, 5))
+    root = np.sqrt(np.maximum(np.diag(z), 1e-12))
+    models = [shrunk(len(x), median, np.diag(sd**2)), moments(x), shrunk(len(x), median, z / np.outer(root, root) * np.outer(sd, sd))]
+    best = min((step(*step(*m)) for m in models), key=lambda m: np.linalg.slogdet(m[1])[1])
     for _ in range(steps):
-        near = x[np.floor(16 * np.log2(1 + distance())) <= limit(half)]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(floors**2)
-    scale = min(1.0, qualityrules.CHI2_MEDIAN / (2 ** ((limit(0.5) + 0.5) / 16) - 1 + 1e-9))
-    return scale * distance()
+        best = step(*best)
+    trusted = x[distance(*best) / qualityrules.consistency(half) <= qualityrules.chi_squared(qualityrules.TRUSTED)]
+    if not len(trusted):
+        return distance(*best) / qualityrules.consistency(half)
+    return distance(*moments(trusted)) / qualityrules.consistency(qualityrules.TRUSTED)
 
 
 def prose(rng, n, junk=False):
@@ -121,15 +153,32 @@ def test_verdicts_match_numpy(spark):
     x = docs(spark, rows)
     stats = materialise(qualityrules.word_statistics(x, carry=("doc_id", "lang", "source")).withColumn("x", qualityrules.vector()))
     stats = stats.where(~qualityrules.base_failed()).toPandas()
-    for (lang, source), group in stats.groupby(["lang", "source"]):
-        if len(group) >= 50:
-            for i, d in zip(group.doc_id, reference_mcd(np.stack(group.x)), strict=True):
-                assert out[i].distance == pytest.approx(d, rel=1e-6, abs=1e-9), (lang, source)
+    for (lang, source), group in stats.groupby(["lang", "source"], dropna=False):
+        for i, d in zip(group.doc_id, reference_mcd(np.stack(group.x), np.stack(stats.x)), strict=True):
+            assert out[i].distance == pytest.approx(d, rel=1e-6, abs=1e-9), (lang, source)
     assert not out[1000].kept and not out[1001].kept and out[1003].base_failed and not out[1003].kept
-    assert out[1002].kept and out[1002].distance is None
+    assert out[1002].kept and out[1002].distance is not None
     assert all(out[k].kept == (k % 10 != 0) for k in range(600))
 
 
+def test_chi_squared_and_consistency():
+    assert qualityrules.chi_squared(0.5) == pytest.approx(4.3515, abs=1e-3) and qualityrules.chi_squared(0.975) == pytest.approx(12.8325, abs=1e-3) and qualityrules.chi_squared(0.95, 7) == pytest.approx(14.0671, abs=1e-3)
+    assert qualityrules.consistency(0.75) == pytest.approx(1.412, abs=1e-3)
+
+
+def test_a_small_group_is_judged_by_all(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, prose(rng, 90), "en", "hot") for k in range(200)] + [(500, prose(rng, 90, junk=True), "en", "own"), (501, prose(rng, 90), "en", "own")] + [(502, prose(rng, 90), "fr", None)] * 2
+    wide = docs(spark, rows).withColumn("distance", F.lit("own")).withColumn("id", F.lit(0)).withColumn("group", F.lit(1)).withColumn("n_words", F.lit(1))
+    out = collections.Counter((r.id, r.kept) for r in qualityrules.judge(wide).collect() if r.id >= 500 or not r.kept)
+    assert out == {(500, False): 1, (501, True): 1, (502, True): 2}
+
+
+def test_base_rules_agree_with_sql(spark, sf_dir):
+    got = queries.op6_quality_rules(spark, sf_dir).drop("distance", "kept").toPandas()
+    same(got, run_sql(sf_dir, BASE_SQL))
+
+
 def test_rules_without_rows(spark):
     assert qualityrules.judge(docs(spark, [])).count() == 0
     repeated = qualityrules.judge(docs(spark, [(5, prose(np.random.default_rng(0), 60), "en", "a")] * 3)).collect()
