@@ -1,15 +1,16 @@
 """Connected components, comparison of all pairs of a group in blocks, and of what meets in hash buckets.
 
-Near-duplicate search goes in two steps. `bucket_links` compares whoever meets in a bucket of a hash family, and
-gives edges only for pairs that are similar enough. `link` then takes the components of those edges
-and compares all their pairs exactly. A bucket is never turned into pairs: small ones are compared
-whole, once for all buckets with the same members, and crowded ones are left to the caller, who
-compares them with their hub (`to_hub`) and hashes the rest more finely.
+Near-duplicate search goes in two steps. `candidate_edges` compares whoever meets in a bucket of a hash
+family, and gives edges only for pairs that are similar enough. `link` then takes the components of
+those edges and compares all their pairs exactly. A bucket is never turned into pairs: a small one is
+compared whole, once for all buckets with the same members; in a crowded one all are compared with its
+hub, and only those unlike the hub with the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +67,18 @@ def compare_blocks(
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     pairs = rows.select("component", "node", "weight", "payload", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
     pairs = pairs.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "payload")
-    dealt = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    return compare_dealt(pairs, linked)
 
-    def finish(key: tuple, items: dict[int, tuple[int, int, bytes]]) -> pa.RecordBatch | None:
+
+def compare_dealt(pairs: DataFrame, linked: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+    """Compare the rows (component, i, j, own, node, weight, payload) whose own is i with those whose own is j, in each group."""
+    small_batches(pairs.sparkSession)
+    dealt = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "node")
+
+    def finish(key: tuple, items: dict[tuple[int, int], tuple[int, bytes]]) -> pa.RecordBatch | None:
         _, i, j = key
-        left = [(n, w, p) for n, (o, w, p) in items.items() if o == i]
-        right = left if i == j else [(n, w, p) for n, (o, w, p) in items.items() if o == j]
+        left = [(n, w, p) for (o, n), (w, p) in items.items() if o == i]
+        right = left if i == j else [(n, w, p) for (o, n), (w, p) in items.items() if o == j]
         if not left or not right or i == j and len(left) < 2:
             return None
         match = linked([x[2] for x in left], [x[2] for x in right])
@@ -105,7 +112,7 @@ def compare_blocks(
                     if key and (out := finish(key, items)):
                         yield out
                     key, items = (c, i, j), {}
-                items[node] = (o, w, p)
+                items[o, node] = (w, p)
         if key and (out := finish(key, items)):
             yield out
 
@@ -143,11 +150,18 @@ def to_hub(crowded: DataFrame, payloads: DataFrame, similarity: Callable[[list[b
     return materialise(both.mapInArrow(run, "node long, hub long, similarity double"))
 
 
-def crowded_links(crowded: DataFrame, payloads: DataFrame, linked: Callable, block: int = CROWD) -> DataFrame:
-    """Edges (a, b) among the members of crowded buckets, compared in pairs of blocks."""
-    rows = crowded.select(F.col("key").alias("component"), F.col("c").alias("members"), "node").join(payloads, "node")
-    found = compare_blocks(rows.withColumn("weight", F.lit(1)), linked, block)
-    return materialise(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+def far_links(members: DataFrame, payloads: DataFrame, linked: Callable, block: int = CROWD) -> DataFrame:
+    """Edges (a, b) between the far members of buckets and all others, in pairs of blocks.
+
+    `members` has key, node, c, far and n_far; the groups on either side have about `block` nodes.
+    """
+    rows = members.join(payloads, "node").withColumn("weight", F.lit(1))
+    n, n_far = F.ceil(F.col("c") / block).cast("int"), F.ceil(F.col("n_far") / block).cast("int")
+    place = lambda size: F.pmod(F.xxhash64("node"), size).cast("int")
+    one = rows.where("far").select(F.col("key").alias("component"), (-1 - place(n_far)).alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"), "node", "weight", "payload").withColumn("own", F.col("i"))
+    other = rows.select(F.col("key").alias("component"), F.explode(F.sequence(-n_far, F.lit(-1))).alias("i"), place(n).alias("j"), "node", "weight", "payload").withColumn("own", F.col("j"))
+    found = compare_dealt(one.unionByName(other).select("component", "i", "j", "own", "node", "weight", "payload"), linked)
+    return materialise(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 def candidate_edges(
@@ -155,28 +169,39 @@ def candidate_edges(
     payloads: DataFrame,
     linked: Callable,
     similarity: Callable,
-    finer: Callable[[DataFrame], DataFrame],
     near: float,
-    settled: float,
+    finer: Callable[[DataFrame], DataFrame],
     crowd: int = CROWD,
 ) -> DataFrame:
     """Edges (a, b) whose components hold every pair of `linked` nodes that meets in a bucket.
 
-    In a crowded bucket a member within `near` of the hub gets an edge to it. One within `settled` needs no
-    more: whatever is linked to it lies within `near` of the hub, by the triangle inequality. The others
-    meet again in the buckets of `finer` (their payloads), a family with the same recall whose buckets
-    hold fewer by chance; what is crowded there too is compared in blocks.
+    In a crowded bucket a member of similarity `near` to the hub gets an edge to it; two of those need no
+    comparison, since one component has both. The others are far, and are compared with all members, if
+    there are `crowd` or fewer. With more of them the bucket says little: its members meet again in
+    the buckets of `finer` (their payloads), a family with the same recall whose buckets hold fewer by
+    chance, and what is crowded and far there too is compared in blocks.
     """
-    edges, crowded = bucket_links(buckets, payloads, linked, crowd)
-    if crowded.isEmpty():
-        return edges
-    measured = to_hub(crowded, payloads, similarity)
-    edges = edges.unionAll(measured.where((F.col("similarity") >= near) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    loose = materialise(payloads.join(measured.where(F.col("similarity") < settled).select("node").distinct(), "node"))
-    if loose.isEmpty():
-        return edges
-    more, crowded = bucket_links(finer(loose), loose, linked, crowd)
-    return edges.unionAll(more).unionAll(crowded_links(crowded, loose, linked, crowd))
+    edges: list[DataFrame] = []
+    for last in (False, True):
+        found, crowded = bucket_links(buckets, payloads, linked, crowd)
+        edges.append(found)
+        if crowded.isEmpty():
+            break
+        measured = to_hub(crowded, payloads, similarity)
+        edges.append(measured.where((F.col("similarity") >= near) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        placed = crowded.join(measured, ["node", "hub"]).select("key", "node", "c", (F.col("similarity") < near).alias("far"))
+        placed = materialise(placed)
+        counts = materialise(placed.where("far").groupBy("key").agg(F.count("*").alias("n_far")))
+        placed = materialise(join_checked(placed, counts, ["key"]))
+        if placed.isEmpty():
+            break
+        many = F.lit(False) if last else F.col("n_far") > crowd
+        edges.append(far_links(placed.where(~many), payloads, linked, crowd))
+        loose = materialise(payloads.join(placed.where(many).select("node").distinct(), "node"))
+        if last or loose.isEmpty():
+            break
+        buckets = finer(loose)
+    return reduce(DataFrame.unionAll, edges)
 
 
 def link(candidates: DataFrame, rows_of: Callable[[DataFrame], DataFrame], linked: Callable, block: int = CROWD) -> tuple[DataFrame, DataFrame]:

@@ -5,10 +5,9 @@ and a fast Hadamard transform; a hash function is the signed axis nearest to the
 table's key joins several functions, as many as keep chance meetings within a label rare at the given
 number of vectors. Each vector is also looked up under the keys in which functions give their second
 nearest axis. Whoever meets in a bucket is compared exactly there. In a crowded bucket, as where all
-vectors point one way, members are compared with the smallest one, and those that this doesn't settle are hashed
-again with as many functions as keys may join. Only links found give candidate edges, and in a crowded bucket
-also what is so near to its smallest vector that its links may go through that one. All pairs of the
-components are then compared exactly, in blocks.
+vectors point one way, members are compared with the smallest one, and those that it isn't linked to with the
+others; if these are many, all members are hashed again with as many functions as keys may join. Only
+links found so give edges, and all pairs of the edges' components are then compared exactly, in blocks.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link
 with nothing and stay. Vectors of different length do not link; long ones are only padded to a power
@@ -160,16 +159,14 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     plans = {r["width"]: plan(r["n"], padded[r["width"]], threshold) for r in widths}
     finest = {r["width"]: plan(r["n"], padded[r["width"]], threshold, least=MOST_FUNCTIONS) for r in widths}
     hashed = materialise(classes.select("node", F.col("label").cast("string").alias("label"), "payload"))
-    angle = math.acos(threshold)
     candidates = candidate_edges(
         buckets(hashed, plans),
         hashed.select("node", "payload"),
         cosine_links(threshold),
         cosine,
+        threshold,
         lambda loose: buckets(hashed.join(loose.select("node"), "node", "left_semi"), finest),
-        near=math.cos(min(math.pi, 1.5 * angle)) - 1e-9,
-        settled=math.cos(angle / 2) + 1e-9,
-        crowd=crowd,
+        crowd,
     )
 
     def rows_of(found: DataFrame) -> DataFrame:

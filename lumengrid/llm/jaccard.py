@@ -3,8 +3,8 @@
 Documents with the same set of n-grams form a class, and one of them stands for it. A class has a
 sketch: `trees` strings of `longest` MinHash bytes, the keys of as many prefix tries. The matched prefix is
 shortened from `longest` until the chance that a pair at the threshold shares one in some tree reaches
-`recall`, but not in a crowded node of a trie: what isn't settled there by its hub keeps the whole
-length, in as many more trees (other choices among the same bytes) as that takes to the same recall.
+`recall`, but not in a crowded node of a trie with many unlike its hub: its classes keep the whole length,
+in as many more trees (other choices among the same bytes) as that takes to the same recall.
 Whoever meets is compared by sketches, and only pairs that may reach the threshold give candidate
 edges. Within the components of those every pair is then compared exactly, in blocks.
 
@@ -117,11 +117,18 @@ def sketch_similarity(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return _jaccard((_matrix(left) == _matrix(right)).mean(1))
 
 
-def sketch_links(threshold: float, deviations: float = 4.3):
+#: Standard deviations below the threshold down to which an estimate doesn't rule out a pair.
+DEVIATIONS = 4.3
+
+
+def sketch_cut(threshold: float, values: int) -> float:
+    return threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / values)
+
+
+def sketch_links(threshold: float):
     """The boolean matrix of pairs whose sketches don't rule out the threshold.
 
-    What is estimated to lie `deviations` standard deviations below goes. One bit of each value is compared
-    first, then the bytes of the pairs that this leaves.
+    One bit of each value is compared first, then the bytes of the pairs that this leaves.
     """
 
     def linked(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -132,8 +139,8 @@ def sketch_links(threshold: float, deviations: float = 4.3):
         for word in range(bits[0].shape[1]):
             unequal += np.bitwise_count(bits[0][:, word][:, None] ^ bits[1][:, word][None, :])
         agree = (1 + threshold) / 2
-        match = 1 - unequal / values >= agree - deviations * math.sqrt(agree * (1 - agree) / values)
-        cut = threshold - deviations * math.sqrt(threshold * (1 - threshold) / values)
+        match = 1 - unequal / values >= agree - DEVIATIONS * math.sqrt(agree * (1 - agree) / values)
+        cut = sketch_cut(threshold, values)
         rows, columns = np.nonzero(match)
         for at in range(0, len(rows), 1 << 16):
             i, j = rows[at : at + (1 << 16)], columns[at : at + (1 << 16)]
@@ -246,10 +253,9 @@ def join(
         classes.select("node", "payload"),
         sketch_links(threshold),
         sketch_similarity,
+        sketch_cut(threshold, trees * longest),
         lambda sketches: whole_prefixes(sketches, more_trees(threshold, trees * longest, longest, recall), longest),
-        near=threshold - 0.2,
-        settled=1 - (1 - threshold) * 0.4,
-        crowd=crowd,
+        crowd,
     )
 
     def rows_of(found: DataFrame) -> DataFrame:
