@@ -5,16 +5,21 @@ that were met in it. The logarithm of the blocks' text-to-tag ratio is smoothed
 threshold between its two clusters (two means in one dimension) selects the content regions, on every
 page. Structure guides it by bounded factors on the smoothed ratio: FOR for blocks in an article or main
 element, 1 / AGAINST for those in navigation, page headers, footers, asides, forms and containers named
-as adverts, notices or comments.
+as adverts, notices or comments. Blocks of one container (a division, section, cell or the body) are a region:
+where most of its text is selected all its blocks are, so that short paragraphs and headings stay, but
+for those that the factor against boilerplate puts in the lower cluster.
 
 Nulls: a null page is empty. A page without text gives an empty string. Broken markup is read as far as
-it goes; very long pages are read whole.
+it goes; very long pages are read whole, in time that grows with their length. Blocks with equal scores
+have the same verdict; repeated rows give repeated results, an empty table an empty one. A carried column
+named text is replaced by the result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -24,6 +29,8 @@ from pyspark.sql import types as T
 from lumengrid.llm.common import map_text
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose blocks are a region.
+CONTAINERS = frozenset("article aside body details div footer form header main nav section td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text of the page.
 HIDDEN = frozenset("script style head title noscript template svg math iframe object canvas audio video select textarea button datalist".split())
@@ -35,6 +42,8 @@ NAMES = frozenset(
 )
 #: What may be in a head, which any other start tag ends, and so does text.
 HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
+#: Open elements that a start tag ends.
+ENDED = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 #: Factors by which an article or main element raises a block's ratio and boilerplate lowers it, and the ratio of prose.
 FOR, AGAINST, PROSE = 32, 256, 40
@@ -53,20 +62,23 @@ def _named(value: str) -> tuple[bool, bool]:
 
 
 class Blocks(HTMLParser):
-    """Collects blocks: [text parts, tags, in content element, in boilerplate]."""
+    """Collects blocks: (text, tags, in content element, in boilerplate, number of the container)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.named: Counter = Counter()  # open elements by name
+        self.containers = [0]  # numbers of the open containers
+        self.seen = 0
         self.open: list[tuple[str, str]] = []  # element and what it adds: "", "hidden", "boilerplate" or "content"
         self.count = {"": 0, "hidden": 0, "boilerplate": 0, "content": 0}
-        self.blocks: list[tuple[str, int, bool, bool]] = []
+        self.blocks: list[tuple[str, int, bool, bool, int]] = []
         self.parts: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            self.blocks.append((text, self.tags, self.count["content"] > 0, self.count["boilerplate"] > 0))
+            self.blocks.append((text, self.tags, self.count["content"] > 0, self.count["boilerplate"] > 0, self.containers[-1]))
             self.tags = 0
         self.parts = []
 
@@ -101,7 +113,7 @@ class Blocks(HTMLParser):
             if tag in ("article", "main") and not self.count["content"]:
                 while self.count["boilerplate"]:  # left open before the content
                     self.pop()
-            elif self.open and (tag == "p" or tag == "li" or tag in ("dd", "dt") or tag in ("td", "th", "tr")):
+            elif tag in ENDED:
                 self.imply(tag)
         elif tag == "br":
             self.parts.append(" ")
@@ -109,6 +121,10 @@ class Blocks(HTMLParser):
             kind = self.kind(tag, attrs)
             self.open.append((tag, kind))
             self.count[kind] += 1
+            self.named[tag] += 1
+            if tag in CONTAINERS:
+                self.seen += 1
+                self.containers.append(self.seen)
 
     def leave_head(self, tag: str) -> None:
         """Close a head that lacks its end tag, where the tag (or text, if empty) can't be in it."""
@@ -123,7 +139,9 @@ class Blocks(HTMLParser):
 
     def imply(self, tag: str) -> None:
         """Close what the start tag ends, as far as the nearest block around it."""
-        ended = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}[tag]
+        if not any(self.named[name] for name in ENDED[tag]):
+            return
+        ended = ENDED[tag]
         for at in range(len(self.open) - 1, -1, -1):
             name = self.open[at][0]
             if name in ended:
@@ -143,12 +161,18 @@ class Blocks(HTMLParser):
                 self.handle_endtag(tag)
 
     def pop(self) -> None:
-        self.count[self.open.pop()[1]] -= 1
+        tag, kind = self.open.pop()
+        self.count[kind] -= 1
+        self.named[tag] -= 1
+        if tag in CONTAINERS:
+            self.containers.pop()
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+        if not self.named[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 while len(self.open) > at:
@@ -203,17 +227,23 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(text for (text, *_), keep in zip(parser.blocks, chosen, strict=True) if keep)
 
 
-def regions(blocks: list[tuple[str, int, bool, bool]], sigma: float = 1.0) -> list[bool]:
-    """Which blocks are content: those whose smoothed log ratio, with the weight of their structure, reaches the clusters' threshold.
+def regions(blocks: list[tuple[str, int, bool, bool, int]], sigma: float = 1.0) -> list[bool]:
+    """Which blocks are content.
 
-    A boilerplate block without text and a paragraph of prose count as one block each, so that a page of
-    only one kind of blocks has two clusters too.
+    A block is selected if its smoothed log ratio, with the weight of its structure, reaches the clusters'
+    threshold. A boilerplate block without text and a paragraph of prose count as one block each, so that a
+    page of only one kind of blocks has two clusters too. Then whole regions are taken.
     """
-    smoothed = smooth([math.log(len(text) / max(1, tags)) for text, tags, _, _ in blocks], sigma)
-    weights = [-math.log(AGAINST) if boilerplate else math.log(FOR) if content else 0.0 for _, _, content, boilerplate in blocks]
+    smoothed = smooth([math.log(len(text) / max(1, tags)) for text, tags, *_ in blocks], sigma)
+    weights = [-math.log(AGAINST) if boilerplate else math.log(FOR) if content else 0.0 for _, _, content, boilerplate, _ in blocks]
     scores = [s + w for s, w in zip(smoothed, weights, strict=True)]
     cut = threshold([-math.log(AGAINST), *scores, math.log(PROSE)])
-    return [score >= cut for score in scores]
+    chosen = [score >= cut for score in scores]
+    found: Counter = Counter()
+    for (text, _, _, boilerplate, container), keep in zip(blocks, chosen, strict=True):
+        if keep or not boilerplate:
+            found[container] += len(text) if keep else -len(text)
+    return [keep or not boilerplate and found[container] > 0 for (_, _, _, boilerplate, container), keep in zip(blocks, chosen, strict=True)]
 
 
 def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:

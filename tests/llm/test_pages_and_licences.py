@@ -5,6 +5,7 @@ import hashlib
 import html as entities
 import re
 import textwrap
+import time
 
 import pytest
 from oracle import run_sql, same
@@ -71,14 +72,50 @@ def test_pages_of_the_tables(spark, sf_dir):
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def chosen_blocks(page, **options):
+    parser = htmltext.Blocks()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    return [b[0] for b, keep in zip(parser.blocks, htmltext.regions(parser.blocks, **options), strict=True) if keep]
+
+
+def test_ratios_find_the_article_without_its_tag(spark, sf_dir):
+    found = wanted = right = exact = 0
+    rows = table(spark, sf_dir, "pages", "html").collect()
+    for r in rows:
+        blocks = collections.Counter(chosen_blocks(r.html))
+        plain = collections.Counter(chosen_blocks(r.html.replace("<article", "<div").replace("</article", "</div")))
+        wanted, found, right, exact = wanted + blocks.total(), found + plain.total(), right + (blocks & plain).total(), exact + (blocks == plain)
+    assert right >= 0.98 * wanted and right >= 0.98 * found and exact >= 0.9 * len(rows)
+
+
+def test_smoothing_matters(spark, sf_dir):
+    rows = [r.html.replace("<article", "<div").replace("</article", "</div") for r in table(spark, sf_dir, "pages", "html").collect()]
+    assert any(chosen_blocks(h) != chosen_blocks(h, sigma=0.01) for h in rows)
+
+
+def test_regions_are_taken_whole():
+    prose, link = ("word " * 60, 2), ("l", 12)
+    page = [(*link, False, False, 1)] * 8 + [(*prose, False, False, 2), ("short", 2, False, False, 2), (*link, False, False, 2), ("Advert", 2, False, True, 3), *[(*prose, False, False, 2)] * 6] + [(*link, False, False, 4)] * 8
+    assert htmltext.regions(page) == [False] * 8 + [True, True, True, False] + [True] * 6 + [False] * 8
+
+
 def test_ratios_decide_on_pages_with_an_article_too():
-    links = [(f"l{k}", 40, True, False) for k in range(8)]
-    prose = [("word " * 60, 2, True, False)] * 8
-    outer, aside = [("word " * 60, 2, False, False)] * 8, [("See more", 6, False, True)] * 20
+    links = [(f"l{k}", 40, True, False, 1) for k in range(8)]
+    prose = [("word " * 60, 2, True, False, 2)] * 8
+    outer, aside = [("word " * 60, 2, False, False, 3)] * 8, [("See more", 6, False, True, 4)] * 20
     found = htmltext.regions([*links, *prose, *aside, *outer])
     assert found[:6] == [False] * 6 and all(found[8:16]) and not any(found[17:35]) and all(found[37:])
     assert htmltext.regions([*links, *prose, *aside, *outer], sigma=8.0) != found
-    assert htmltext.regions([("word " * 60, 2, True, False)] * 8 + prose + aside + outer)[:8] == [True] * 8
+    assert htmltext.regions([("word " * 60, 2, True, False, 5)] * 8 + prose + aside + outer)[:8] == [True] * 8
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000 + "</i>" * 20_000, "<ul><li>" * 5_000 + "</td>" * 20_000])
+def test_deep_pages_take_no_squares(page):
+    began = time.perf_counter()
+    htmltext.main_text(page)
+    assert time.perf_counter() - began < 5
 
 
 def test_smoothing_and_clusters():
