@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumengrid.plans.checkpoint import materialise, shared_dir
+from lumengrid.plans.checkpoint import discard, materialise, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD", "crc_fold", "join_checked", "map_text", "materialise", "shared_dir", "small_batches", "table"]
+__all__ = ["BROADCAST_ROWS", "WORD", "crc_fold", "discard", "join_checked", "join_split", "map_text", "materialise", "shared_dir", "small_batches", "table"]
 
 #: Java and Python pattern of one word: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,21 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
 
 
+def join_split(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join materialised tables where a few keys may hold most rows of `left`; keys of `right` are unique.
+
+    Fewer than BROADCAST_ROWS keys can hold more than one in BROADCAST_ROWS of the rows each: what `right` has for
+    those is broadcast, and only the other keys are dealt by shuffling.
+    """
+    total = left.count()
+    heavy = materialise(left.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") * BROADCAST_ROWS > total).select(*on, F.lit(True).alias("__heavy")))
+    marked = left.join(F.broadcast(heavy), on, "left")
+    known = right.join(F.broadcast(heavy.select(*on)), on, "left_semi")
+    of_heavy = marked.where("__heavy").drop("__heavy").join(F.broadcast(known), on, how)
+    of_others = marked.where("__heavy is null").drop("__heavy").join(right, on, how)
+    return of_heavy.unionByName(of_others)
+
+
 def crc_fold(id_column: str) -> F.Column:
     """crc32 of the id's text, modulo 4; fold 2 is held out."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 4

@@ -136,7 +136,7 @@ FROM embeddings e JOIN g ON g.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lumengrid-warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
-    captures = warc.assemble(warc.read(spark, path, payload=False))
+    captures = materialise(warc.assemble(materialise(warc.read(spark, path, payload=False))))
     page_id = F.col("metadata.fields")["captureId"].cast("long")
     captures = warc.resolve_revisits(captures, page_id)
     size = F.coalesce("response.payload_bytes", F.col("metadata.fields")["payloadBytes"].cast("long"))

@@ -8,8 +8,10 @@ separators, put together again by Content-Length, with one record in memory at a
 
 Of captures with equal payloads of at least `least` bytes the one with the smallest id is the response.
 Nulls: a null payload is empty; a null URL leaves out WARC-Target-URI; a null id is a value of its own.
-Rows that repeat both id and payload are one capture, with the smallest URL. An empty table gives archives without records
-and an empty result. Line breaks in URLs are percent-encoded.
+Rows that repeat both id and payload are one capture, with the smallest URL; of equal payloads the smallest id
+is the response. Very long payloads are one record, held in memory once. An empty table gives archives without
+records and an empty result. Line breaks in URLs are percent-encoded. Only the three columns named are
+read, so that others may have any name.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumengrid.llm.common import materialise, small_batches
+from lumengrid.llm.common import BROADCAST_ROWS, join_split, materialise, small_batches
 
 END = "\r\n\r\n"
 #: Captures in one archive file at most.
 CAPTURES_A_FILE = 20_000
+#: Parts in which the rows of one payload are dealt.
+SALTS = 16
 RECORD = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("record_id", "type", "date", "target_uri", "concurrent_to", "refers_to", "content_type")]
     + [T.StructField("fields", T.MapType(T.StringType(), T.StringType()))]
@@ -67,7 +71,12 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "u
         df = df.groupBy("id", "digest").agg(F.min("url").alias("url"), F.first("html").alias("html"))
     repeated = shared.where(F.col("size") >= least).select("digest", "first")
     if (n := repeated.count()) > 0:
-        df = df.join(F.broadcast(repeated) if n <= 20_000 else repeated, "digest", "left")
+        if n <= BROADCAST_ROWS:
+            df = df.join(F.broadcast(repeated), "digest", "left")
+        else:  # one payload may be that of very many rows
+            df = df.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+            repeated = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            df = df.join(repeated, ["digest", "salt"], "left").drop("salt")
     else:
         df = df.withColumn("first", F.lit(None).cast("long"))
     revisit = F.coalesce((F.octet_length("html") >= least) & (F.col("id") != F.col("first")), F.lit(False))
@@ -104,31 +113,36 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "u
 
 
 class RecordStream:
-    """Puts records together from the pieces of one file between separators."""
+    """Puts records together from the pieces of one file between separators; each byte is copied a fixed number of times."""
 
     def __init__(self, payload: bool):
-        self.held, self.length, self.payload = b"", 0, payload
+        self.payload = payload
+        self.fields: dict[str, str] | None = None  # of the record whose block is being read
+        self.parts: list[bytes] = []
+        self.have = self.need = 0
 
     def add(self, piece: bytes) -> Iterator[tuple]:
         """Take the next piece, and give the records that are now complete."""
-        self.held += piece + END.encode()
-        while True:
-            if not self.length:
-                start = len(self.held) - len(self.held.lstrip(b"\r\n"))
-                if start:
-                    self.held = self.held[start:]
-                at = self.held.find(END.encode())
-                if at < 0:
-                    return
-                self.head = self.held[:at].decode("utf-8", "replace").split("\r\n")
-                if not self.head[0].startswith("WARC/"):
-                    raise ValueError(f"no record at {self.head[0][:60]!r}")
-                self.fields = dict(x.split(": ", 1) for x in self.head[1:] if ": " in x)
-                self.start, self.length = at + 4, at + 4 + int(self.fields["Content-Length"])
-            if len(self.held) < self.length:
+        if self.fields is not None:
+            self.parts.append(piece)
+            self.have += len(piece) + len(END)
+            if self.have < self.need:
                 return
-            block, self.held, self.length = self.held[self.start : self.length], self.held[self.length :], 0
+            whole = END.encode().join([*self.parts, b""])
+            block, piece = whole[: self.need], whole[self.need : -len(END)]
             yield self.record(self.fields, block)
+            self.fields = None
+        head = piece.lstrip(b"\r\n")
+        if not head:
+            return
+        lines = head.decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"no record at {lines[0][:60]!r}")
+        self.fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+        self.parts, self.have, self.need = [], 0, int(self.fields["Content-Length"])
+        if not self.need:
+            yield self.record(self.fields, b"")
+            self.fields = None
 
     def record(self, f: dict[str, str], block: bytes) -> tuple:
         kind, content_type = f.get("WARC-Type"), f.get("Content-Type", "")
@@ -183,9 +197,14 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def resolve_revisits(captures: DataFrame, key: F.Column) -> DataFrame:
-    """Add refers_to: the key of the capture that a revisit refers to (null for others)."""
-    keyed = captures.withColumn("__key", key).withColumn("__to", F.col("response.refers_to"))
-    revisits, others = keyed.where("__to is not null"), keyed.where("__to is null")
-    known = others.select(F.col("record_id").alias("__to"), F.col("__key").alias("refers_to"))
-    found = revisits.join(known, "__to", "left").select(*captures.columns, "refers_to")
-    return found.unionByName(others.select(*captures.columns, F.lit(None).cast(others.schema["__key"].dataType).alias("refers_to")))
+    """Add refers_to: the key of the capture that a revisit refers to (null for others, and where there is none).
+
+    Reads `captures` several times: best a materialised table. A column refers_to of its own is replaced.
+    """
+    captures = captures.drop("refers_to")
+    to = F.col("response.refers_to")
+    revisits = captures.where(to.isNotNull()).select("*", to.alias("__to"))
+    others = captures.where(to.isNull()).select("*", key.alias("refers_to"))
+    known = others.groupBy(F.col("record_id").alias("__to")).agg(F.min("refers_to").alias("refers_to"))
+    found = join_split(revisits, known, ["__to"], "left").select(*captures.columns, "refers_to")
+    return found.unionByName(others.withColumn("refers_to", F.lit(None).cast(known.schema["refers_to"].dataType)))

@@ -205,6 +205,26 @@ def test_repeated_rows_are_one_capture(spark, tmp_path):
     assert sorted(found, key=str) == sorted([("0", "response", None), ("0", "response", None), ("100", "revisit", 0), (None, "response", None)], key=str)
 
 
+def test_long_records_of_many_pieces_take_no_squares():
+    block = b"short paragraph\r\n\r\n" * 1_000_000
+    stream = warc.RecordStream(payload=True)
+    head = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r>\r\nContent-Type: text/plain\r\nContent-Length: %d" % len(block)
+    began = time.perf_counter()
+    found = [r for piece in (head + b"\r\n\r\n" + block + b"\r\n\r\n" + head).split(b"\r\n\r\n") for r in stream.add(piece)]
+    assert time.perf_counter() - began < 10 and len(found) == 1 and found[0][-1] == block
+
+
+def test_revisits_of_a_hot_payload(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 1)
+    rows = [(k, "u", None if k % 3 else f"page {k}") for k in range(90)] + [(100 + k, "v", f"page {3 * k}") for k in range(20)]
+    wide = spark.createDataFrame([(*r, "own", 5, 6) for r in rows], "page_id long, url string, html string, refers_to string, digest int, first int")
+    warc.write(wide, f"{tmp_path}/w")
+    captures = warc.assemble(warc.read(spark, f"{tmp_path}/w"))
+    out = warc.resolve_revisits(captures, captures["metadata.fields"]["captureId"].cast("long")).collect()
+    found = sorted((int(r.metadata.fields["captureId"]), r.refers_to) for r in out)
+    assert found == sorted([(k, None if k % 3 == 0 or k == 1 else 1) for k in range(90)] + [(100 + k, 3 * k) for k in range(20)])
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     out = archive(spark, [(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")], f"{tmp_path}/w", least=4)
     assert sorted((int(r.metadata.fields["captureId"]), r.response.type) for r in out) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
