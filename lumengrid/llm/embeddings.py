@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumengrid.llm.common import join_checked, materialise, small_batches
+from lumengrid.llm.common import join_split, materialise, small_batches
 from lumengrid.llm.components import CROWD, candidate_edges, link
 
 
@@ -178,7 +178,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(smallest, "component").select(F.col("label"), F.col("v"), "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = materialise(known)
-    out = join_checked(rows.where(valid), known, ["label", "v"]).select("id", "n_links", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+    out = join_split(rows.where(valid), known, ["label", "v"]).select("id", "n_links", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
     alone = rows.where(~valid).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionAll(alone)
 

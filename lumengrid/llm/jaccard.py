@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumengrid.llm.common import WORD, join_checked, map_text, materialise
+from lumengrid.llm.common import WORD, join_split, map_text, materialise
 from lumengrid.llm.components import CROWD, candidate_edges, link
 
 _WORD = re.compile(WORD)
@@ -282,6 +282,6 @@ def join(
     least = known.groupBy("component").agg(F.min("class_id").alias("group_id"))
     known = materialise(known.join(least, "component").select("digest", "class_id", "group_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     named = signed.where("digest is not null").select("id", "digest")
-    out = join_checked(named, known, ["digest"]).select("id", "class_id", "n_links", "group_id", F.col("group_id").eqNullSafe(F.col("id")).alias("kept"))
+    out = join_split(named, known, ["digest"]).select("id", "class_id", "n_links", "group_id", F.col("group_id").eqNullSafe(F.col("id")).alias("kept"))
     alone = signed.where("digest is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("group_id"), F.lit(True).alias("kept"))
     return out.unionAll(alone)
