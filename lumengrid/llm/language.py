@@ -4,16 +4,18 @@ A known word is scored by its log frequency in each language. An unseen word fal
 n-grams of the word between border marks, longest length first: the first length that has known
 n-grams scores it. No word counts more than `most` against a language, so that a few telling words don't
 outvote a text. An unseen run of letters longer than PIECE, as in text without spaces, is scored in
-pieces that hold each of its n-grams once, and each piece counts as a word. A text's language is that of the largest sum; the score is its share of the softmax of
-the mean per word, sharpened by the number of words up to a bound.
+pieces that hold each of its n-grams once, and each piece counts as a word. A text's language is that of
+the largest sum; the score is its share of the softmax of the mean per word, sharpened by the number of
+words up to `evidence`, since the words of one text aren't independent.
 
-The tables are fitted on a bounded sample: about `per_language` documents of each language, taken by
-a hash of the id (documented parameter), and keep the `words` most frequent words and `grams` n-grams of
-each length and language, so that what is broadcast has a fixed bound. Predictions read whole texts.
+The tables are fitted on a bounded sample, taken by a hash of the id: about `per_language` documents of
+each language and `rows` in all, which bounds what is broadcast. They hold every word and n-gram that
+the sample has `least` times or more. Predictions read whole texts, very long ones in one go.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Training rows with a null text or
-language are skipped. Ties go to the smaller language by code point. Without training rows every text
-is `und`.
+language are skipped. Ties go to the smaller language by code point. Repeated rows count as often as
+they come, and get the same prediction. Without training rows every text is `und`; an empty table to
+predict gives an empty result. Carried columns named lang_pred or score are replaced by the results.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,16 +100,12 @@ class Model:
         self.languages = sorted({r[0] for r in counted})
         at = {lang: i for i, lang in enumerate(self.languages)}
         self.tables: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
-        for _, n, item, _ in counted:
-            self.tables[n].setdefault(item, len(self.tables[n]))
-        self.rows: dict[int, np.ndarray] = {}
-        for n, table in self.tables.items():
-            counts = np.zeros((len(table), len(at)))
-            for lang, m, item, c in counted:
-                if m == n:
-                    counts[table[item], at[lang]] = c
-            # Half a count for what a language lacks.
-            self.rows[n] = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(table)))
+        places = [(n, self.tables[n].setdefault(item, len(self.tables[n])), at[lang], c) for lang, n, item, c in counted]
+        counts = {n: np.zeros((len(table), len(at))) for n, table in self.tables.items()}
+        for n, row, column, c in places:
+            counts[n][row, column] = c
+        # Half a count for what a language lacks.
+        self.rows = {n: np.log((c + 0.5) / (c.sum(0) + 0.5 * len(c))) for n, c in counts.items()}
 
     def scores(self, words: list[str]) -> np.ndarray:
         """One row for each word or piece of a word."""
@@ -135,8 +133,8 @@ class Model:
 class Predictor:
     """A model in one task, with the scores of up to `cache_entries` words."""
 
-    def __init__(self, model: Model, cache_entries: int = 300_000, most: float = 3.0):
-        self.model, self.cache_entries, self.most = model, cache_entries, most
+    def __init__(self, model: Model, cache_entries: int = 300_000, most: float = 3.0, evidence: int = 20):
+        self.model, self.cache_entries, self.most, self.evidence = model, cache_entries, most, evidence
         self.places: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)))
 
@@ -174,25 +172,25 @@ class Predictor:
             n = counts.total()
             total = np.fromiter(counts.values(), float, len(counts)) @ rows
             best = int(np.argmax(total))
-            odds = np.exp((total - total[best]) / n * min(n, 20))
+            odds = np.exp((total - total[best]) / n * min(n, self.evidence))
             out.append((self.model.languages[best], float(1 / odds.sum())))
         return out
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 2000, words: int = 20_000, grams: int = 20_000) -> Model:
-    """Fit on a hash sample of about `per_language` documents of each language (all, if it has no more)."""
+def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 2000, rows: int = 40_000, least: int = 2) -> Model:
+    """Fit on a hash sample of about `per_language` documents of each language (all, if it has no more), and `rows` in all."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     shares = known.groupBy(F.col(lang).alias("lang")).count().collect()  # one row a language
     if not shares:
         return Model([])
-    rate = F.create_map(*[F.lit(x) for r in shares for x in (r["lang"], per_language / r["count"])])
+    each = min(per_language, rows / len(shares))
+    rate = F.create_map(*[F.lit(x) for r in shares for x in (r["lang"], each / r["count"])])
     draw = (F.xxhash64(F.col(id_column), F.lit("language")) / float(1 << 64) + 0.5).alias("draw")
     sample = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw).where(F.col("draw") < rate[F.col("lang")])
     counted = sample.select("lang", "text").mapInPandas(_counts, "lang string, n int, item string, c long").groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
-    # The sample bounds what one language has; the lists are cut to their lengths there.
-    place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.col("c").desc(), "item"))
-    kept = counted.withColumn("place", place).where(F.col("place") <= F.when(F.col("n") == 0, words).otherwise(grams))
-    return Model([tuple(r) for r in kept.select("lang", "n", "item", "c").collect()])
+    # Single letters are kept all, so that any known letter tells something.
+    often = counted.where((F.col("c") >= least) | (F.col("n") == LENGTHS[-1]))
+    return Model([tuple(r) for r in often.select("lang", "n", "item", "c").collect()])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,9 @@ fit are taken by Spark over all labelled rows; only those d * (d + 1) / 2 number
 
 Nulls: a null text counts as empty, and empty texts are scored by the statistics of no words. Rows of
 labels with a null id, or a quality other than 0 and 1, teach nothing. Without rows of both classes
-the score is the share of label 1 (0.5 without any row). Repeated rows are scored alike.
+the score is the share of label 1 (0.5 without any row). Repeated rows are scored alike, very long
+texts whole; equal statistics have equal scores, and a score at a cut counts as above it. An empty table
+gives an empty result. A carried column named score is replaced by the result.
 """
 
 from __future__ import annotations

@@ -1,5 +1,8 @@
+import collections
 import hashlib
+import math
 import re
+import string
 import struct
 
 import numpy as np
@@ -112,6 +115,57 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language.predict(asked, empty).collect()} == {"und"}
 
 
+def plain_language(train, texts, least=2, most=3.0, evidence=20):
+    """The same backoff, letter by letter."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w, n: [g[i : i + n] for g in [f"<{w}>" if n > 1 else w] for i in range(len(g) - n + 1)] or [f"<{w}>"]
+    langs = sorted({lang for lang, _ in train})
+    counts = {(n, lang): collections.Counter() for n in range(5) for lang in langs}
+    for lang, text in train:
+        for w in words(text):
+            counts[0, lang][w] += 1
+            for n in (4, 3, 2, 1):
+                counts[n, lang].update(grams(w, n))
+    kept = {k: {x: c for x, c in v.items() if c >= least or k[0] == 1} for k, v in counts.items()}
+    vocabulary = {n: set().union(*[kept[n, lang] for lang in langs]) for n in range(5)}
+    log = lambda n, x, lang: math.log((kept[n, lang].get(x, 0) + 0.5) / (sum(kept[n, lang].values()) + 0.5 * len(vocabulary[n])))
+
+    def score(w):
+        if w in vocabulary[0]:
+            return [log(0, w, lang) for lang in langs]
+        for n in (4, 3, 2, 1):
+            if known := [g for g in grams(w, n) if g in vocabulary[n]]:
+                return [sum(log(n, g, lang) for g in known) / len(known) for lang in langs]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        rows = [score(w) for w in words(text)]
+        if not rows:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(max(r[k] - max(r), -most) for r in rows) for k in range(len(langs))]
+        best = max(range(len(langs)), key=lambda k: total[k])
+        out.append((langs[best], 1 / sum(math.exp((x - total[best]) / len(rows) * min(len(rows), evidence)) for x in total)))
+    return out
+
+
+def test_language_of_the_tables_matches_plain_python(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("fold", crc_fold("doc_id")).collect()
+    assert max(len(w) for d in docs for w in re.findall(r"[^\W\d_]+", d.text or "")) <= language.PIECE
+    wanted = plain_language([(d.lang, d.text) for d in docs if d.fold != 2 and d.lang is not None and d.text is not None], [d.text for d in docs])
+    found = {r.doc_id: r for r in queries.op3_language(spark, sf_dir).collect()}
+    for d, (lang, score) in zip(docs, wanted, strict=True):
+        assert found[d.doc_id].lang_pred == lang and found[d.doc_id].score == pytest.approx(score, abs=1e-6)
+
+
+def test_language_with_columns_of_results_names(spark):
+    docs = spark.createDataFrame([(k, "the cat" if k % 2 else "der hund", "en" if k % 2 else "de", 5, 6) for k in range(8)], "doc_id long, text string, lang string, lang_pred int, score int")
+    out = language.predict(docs, language.fit(docs))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and all(r.lang == r.lang_pred for r in out.collect())
+    assert language.predict(docs.limit(0), language.fit(docs)).count() == 0
+
+
 def test_word_backoff_uses_shorter_grams():
     model = language.Model([("a", 0, "abc", 5), ("b", 0, "xyz", 5), ("a", 3, "<ab", 4), ("b", 3, "<xy", 4), ("a", 1, "q", 9), ("b", 1, "r", 9)])
     predict = language.Predictor(model).predict
@@ -153,6 +207,38 @@ def test_discriminant_matches_dense_formula(spark):
     assert model.scores(x) == pytest.approx(1 / (1 + np.exp(density[0] - density[1] - np.log(80 / 60))), rel=1e-6)
 
 
+def plain_statistics(text):
+    text = text or ""
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n, count = len(words), lambda chars: sum(text.count(c) for c in chars)
+    capitals, small = count(string.ascii_uppercase), count(string.ascii_lowercase)
+    log, root = math.log, math.sqrt
+    return [
+        log(n + 10), log((sum(map(len, words)) + 50) / (n + 10)), root(count("#*$%&|<>") / (n + 10)), root((capitals + 1) / (capitals + small + 20)), root(count(string.digits) / (len(text) + 50)),
+        root((count(".,;:-'\"()") + 2) / (n + 10)), log((len(set(words)) + 10) / (n + 10)), root(sum(a == b for a, b in zip(words, words[1:])) / (n + 10)), log((n + 10) / (len(lines) + 1)),
+        root((len(lines) - len(set(lines))) / (len(lines) + 10)), root(count("!?") / (n + 10)),
+    ]
+
+
+def test_quality_of_the_tables_matches_numpy(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("fold", crc_fold("doc_id")).collect()
+    labels = {r.doc_id: r.quality for r in table(spark, sf_dir, "labels", "doc_id", "quality").collect()}
+    x = np.array([plain_statistics(d.text) for d in docs])
+    taught = np.array([labels.get(d.doc_id) if d.fold != 2 and labels.get(d.doc_id) in (0, 1) else -1 for d in docs])
+    covs = [np.cov(x[taught == k].T, bias=True) for k in (0, 1)]
+    counts = [(taught == k).sum() for k in (0, 1)]
+    pooled = (counts[0] * covs[0] + counts[1] * covs[1]) / sum(counts)
+    density = []
+    for k in (0, 1):
+        cov = 0.9 * covs[k] + 0.05 * np.diag(np.diag(covs[k])) + 0.05 * pooled + 1e-3 * np.eye(len(x[0]))
+        away = x - x[taught == k].mean(0)
+        density.append(-0.5 * np.einsum("ni,ij,nj->n", away, np.linalg.inv(cov), away) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(counts[k]))
+    wanted = 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+    found = {r.doc_id: r for r in queries.op10_quality(spark, sf_dir).collect()}
+    for d, score in zip(docs, wanted, strict=True):
+        assert found[d.doc_id].score == pytest.approx(score, abs=1e-6) and found[d.doc_id].predicted == (found[d.doc_id].score >= 0.7) and found[d.doc_id].held_out == (d.fold == 2)
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 100_000), (None, "x"), (2, "")], "doc_id long, text string").withColumn("score", F.lit("own"))
     none = qualityclass.fit(qualityclass.statistics(docs).withColumn("quality", F.lit(None).cast("int")))
