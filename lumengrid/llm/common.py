@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lumengrid.plans.checkpoint import discard, materialise, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD", "crc_fold", "discard", "join_checked", "join_split", "map_text", "materialise", "shared_dir", "small_batches", "table"]
+__all__ = ["BROADCAST_ROWS", "WORD", "crc_fold", "discard", "fresh", "join_checked", "join_split", "map_text", "materialise", "shared_dir", "small_batches", "table"]
 
 #: Java and Python pattern of one word: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,13 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of the table has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def join_split(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join materialised tables where a few keys may hold most rows of `left`; keys of `right` are unique.
 

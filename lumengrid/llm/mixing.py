@@ -8,8 +8,9 @@ over bucket totals), with about as many buckets as rows in a bucket, so that no
 is gathered in one task; only totals per bucket meet.
 
 Nulls: a null text has size 0, and null is a source of its own. Documents of size 0 take 0 words.
-Rows with equal id, source and size may be repeated: each one queues by itself. An empty table gives
-an empty mix. Columns of the input that have a result's name are not carried.
+Rows with equal id, source and size may be repeated: each one queues by itself, one after the other. Very
+long texts are counted whole. There are as many totals as sources, and these meet in one task. An empty
+table gives an empty mix. Only the id, text and source are read, so that other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import WORD, join_checked, materialise
+from lumengrid.llm.common import WORD, fresh, join_checked, materialise
 
 #: Each document comes this many times at most, and so no target exceeds this multiple of its source.
 COPIES = 2
+#: Equal rows that one task makes from their number.
+TOGETHER = 10_000
 
 
 def sizes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -60,17 +63,23 @@ def queue(sized: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
     buckets = max(1, math.isqrt(known[0] or 1))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     place = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(1 << 48)
-    rows = sized.withColumn("key", key).withColumn("bucket", F.floor(place * buckets))
+    # Rows that agree stand side by side: one row with their number goes through the windows.
+    rows = sized.groupBy("id", "source", "size").agg(F.count("*").alias("m")).withColumn("key", key).withColumn("bucket", F.floor(place * buckets))
     goals = goals.withColumnRenamed("source", "__source")
     goals = F.broadcast(goals) if known[1] <= 20_000 else goals
     rows = rows.join(goals, rows["source"].eqNullSafe(goals["__source"])).drop("__source")
-    totals = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
+    totals = rows.groupBy("source_no", "bucket").agg(F.sum(F.col("size") * F.col("m")).alias("words"))
     ahead = F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     totals = materialise(totals.select("source_no", "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead")))
     inside = Window.partitionBy("source_no", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("m")).over(inside), F.lit(0)))
     rows = join_checked(rows, totals, ["source_no", "bucket"])
-    return rows.select("id", "source", "size", "source_no", "source_size", "target", "key", (F.col("ahead") + F.col("inside")).alias("before"))
+    rows = rows.select("id", "source", "size", "source_no", "source_size", "target", "key", "m", (F.col("ahead") + F.col("inside")).alias("before"))
+    few = rows.where(F.col("m") <= TOGETHER).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    parts = rows.where(F.col("m") > TOGETHER).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / TOGETHER))))
+    first = F.col("part") * TOGETHER
+    many = parts.repartition("id", "part").withColumn("k", F.explode(F.sequence(first, F.least(first + TOGETHER, F.col("m")) - 1))).drop("part")
+    return few.unionByName(many).withColumn("before", F.col("before") + F.col("k") * F.col("size")).drop("m", "k")
 
 
 def _place(copy: int) -> F.Column:
@@ -116,7 +125,7 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> Da
 
     Rows that agree in id are taken equally often.
     """
-    taken = mix(docs, id_column, **options).where("copies > 0").groupBy("id").agg(F.max("copies").alias("__copies"))
-    taken = taken.withColumnRenamed("id", "__id")
-    rows = docs.join(taken, docs[id_column].eqNullSafe(taken["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
+    own, copies, copy = (fresh(docs, name) for name in ("__id", "__copies", "__copy"))
+    taken = mix(docs, id_column, **options).where("copies > 0").groupBy(F.col("id").alias(own)).agg(F.max("copies").alias(copies))
+    rows = docs.join(taken, docs[id_column].eqNullSafe(taken[own]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(own, copies, copy)

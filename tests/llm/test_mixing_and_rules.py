@@ -61,13 +61,22 @@ def test_mix_near_targets(spark):
     assert (abs(out.taken - out.target) <= 0.03 * out.target).all()
 
 
+def test_repeated_rows_queue_one_after_the_other(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOGETHER", 7)
+    rows = [(5, "w " * 3, "en", "a")] * 40 + [(None, "w " * 4, "en", "a")] * 8 + [(k, "w " * (1 + k % 5), "en", "b") for k in range(60)]
+    out = mixing.mix(docs(spark, rows)).toPandas()
+    assert len(out) == len(rows) and sorted(out.id.fillna(-1)) == sorted(-1 if r[0] is None else r[0] for r in rows)
+    by = out.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), whole=("source_size", "first"))
+    assert (by["size"] == by.whole).all() and (abs(by.taken - by.target) <= 8).all() and (out.taken <= 2 * out["size"]).all()
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert {r.taken for r in mixing.mix(docs(spark, [(1, None, None, None), (2, " ", "en", "a")])).collect()} == {0}
 
 
 def test_mixed_documents_repeat_whole_rows(spark):
-    rows = docs(spark, [(k, "w " * 10, "en", "a" if k % 4 else "b") for k in range(40)]).withColumn("size", F.lit("own")).withColumn("copies", F.lit(9))
+    rows = docs(spark, [(k, "w " * 10, "en", "a" if k % 4 else "b") for k in range(40)]).withColumn("size", F.lit("own")).withColumn("copies", F.lit(9)).withColumn("__id", F.lit("own")).withColumn("__copy", F.lit(3))
     taken = {r.id: r.copies for r in mixing.mix(rows).collect()}
     out = collections.Counter(r.doc_id for r in mixing.mixed_documents(rows).collect())
     assert out == {k: n for k, n in taken.items() if n}

@@ -32,13 +32,16 @@ def test_run_is_the_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "language", "near duplicates", "source mix", "sentence pieces"]
 
 
+EXTRA = ["score", "id", "lang_pred", "__score", "__id", "__copy", "__copies", "kept", "stats", "digest", "quality"]
+
+
 def test_stages_of_odd_documents(spark, sf_dir):
     rows = [(None, None, None, None, None), (5, "", "en", "a", 0), (6, "x y z", None, "a", 5), (6, "x y z", None, "a", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'own' AS score", "'own' AS id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'own' AS {c}" for c in EXTRA])
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
         if name != "sentence pieces":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "id"]
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *EXTRA]
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
