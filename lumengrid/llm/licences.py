@@ -10,8 +10,12 @@ of the template that the text lacks and those it has besides, and a template cou
 similarity reaches `similarity`. Confirmed spans are taken out of the block, and the rest is scanned
 again, so that one block can hold several notices.
 
-Nulls: a null text has no notices. A text's notices come in order of their start; repeated rows give
-repeated results, an empty table an empty one, and very long texts are scanned whole.
+Whole licences of more than LONG words (wordings/, up to their end of terms) go first, in texts that have as
+many trigger words as one needs; a wording that stands there word for word needs no alignment.
+
+Nulls: a null text has no notices. A text's notices come in order of their start; of templates that fit equally
+well the one that saves more, then the first, is taken. Repeated rows give repeated results, an empty table
+an empty one, and very long texts are scanned whole. A carried column named notices is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -62,6 +68,17 @@ TEMPLATES: list[tuple[str, str]] = [
     *[(code, f"SPDX-License-Identifier: {code}") for code in ("MIT", "ISC", "Apache-2.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")],
 ]
 
+#: A template with more words is looked for in a pass of its own.
+LONG = 600
+
+
+@lru_cache(maxsize=1)
+def whole_licences() -> tuple[tuple[str, str], ...]:
+    """(licence, wording) of the texts in wordings/: fixed wordings, up to the end of their terms."""
+    files = sorted((f for f in resources.files("lumengrid.llm").joinpath("wordings").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return tuple((f.name.removesuffix(".txt"), f.read_text("utf-8").split("END OF TERMS AND CONDITIONS")[0]) for f in files)
+
+
 NOTICE = T.ArrayType(
     T.StructType(
         [T.StructField("licence", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("reduction", T.DoubleType())]
@@ -110,8 +127,9 @@ class Scanner:
         options = dict(level=3, write_content_size=False, write_checksum=False)
         self.plain = zstandard.ZstdCompressor(**options)
         self.templates = []
-        self.reach = self.longest = 1
-        for licence, wording in TEMPLATES if templates is None else templates:
+        self.reach, self.longest = [1, 1], [1, 1]  # of short templates and of long ones
+        self.triggers: list[int] = []  # that a text needs, by template
+        for licence, wording in [*TEMPLATES, *whole_licences()] if templates is None else templates:
             parts = wording.replace(ANY, " \0 ")
             words = [ANY if w == "\0" else w for w in re.findall(r"\0|" + _WORD.pattern, parts)]
             words = [w if w == ANY else w.lower() for w in words]
@@ -121,15 +139,20 @@ class Scanner:
             own = len(self.plain.compress(data)) - len(self.plain.compress(b""))
             self.templates.append((licence, words, zstandard.ZstdCompressor(dict_data=raw, write_dict_id=False, **options), own, Counter(w for w in words if w != ANY)))
             # A text may have more words than the template, as far as the similarity allows.
-            self.reach = max(self.reach, math.ceil(stretch(wording) / similarity))
-            self.longest = max(self.longest, math.ceil(len(words) / similarity) + ANY_WORDS * words.count(ANY))
+            long = len(words) > LONG
+            self.reach[long] = max(self.reach[long], math.ceil(stretch(wording) / similarity))
+            self.longest[long] = max(self.longest[long], math.ceil(len(words) / similarity) + ANY_WORDS * words.count(ANY))
+            # Each word that differs changes one trigger at most.
+            self.triggers.append(len(TRIGGER.findall(wording)) - math.floor((1 - similarity) * len(words)) if long else 1)
+        self.sets = [[k for k, t in enumerate(self.templates) if (len(t[1]) > LONG) == long] for long in (False, True)]
 
-    def ranked(self, words: list[str]) -> list[tuple[float, int, float]]:
+    def ranked(self, words: list[str], among: list[int]) -> list[tuple[float, int, float]]:
         """(share of the template saved, template, share of the block saved) of the templates that reach `least`."""
         data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
         found = []
-        for k, (_, _, compressor, own, _) in enumerate(self.templates):
+        for k in among:
+            _, _, compressor, own, _ = self.templates[k]
             saved = alone - len(compressor.compress(data))
             if saved >= self.least * own:
                 found.append((saved / own, k, saved / alone))
@@ -142,6 +165,11 @@ class Scanner:
 
     def align(self, template: list[str], words: list[str], matcher: SequenceMatcher | None = None) -> tuple[int, int, float, list[str], list[str]] | None:
         """Span of words that the template covers best, similarity, and its missing and extra words there."""
+        if ANY not in template:
+            text, wanted = f" {' '.join(words)} ", f" {' '.join(template)} "
+            if (at := text.find(wanted)) >= 0:
+                first = text.count(" ", 0, at)
+                return first, first + len(template), 1.0, [], []
         matcher = matcher or SequenceMatcher(None, template, words, autojunk=False)
         matcher.set_seq1(template)
         pieces = [m for m in matcher.get_matching_blocks() if m.size]
@@ -185,23 +213,39 @@ class Scanner:
         return [tuple(s) for s in spans]
 
     def scan(self, text: str | None) -> list[dict]:
+        text = text or ""
+        triggers = len(TRIGGER.findall(text))
+        if not triggers:
+            return []
+        found = []
+        if self.sets[True] and triggers >= min(self.triggers[k] for k in self.sets[True]):
+            counts = Counter(_words(text))
+            if among := [k for k in self.sets[True] if self.possible(k, counts)]:
+                found = self.search(text, True, among)
+                for n in found:
+                    text = text[: n["start"]] + " " * (n["end"] - n["start"]) + text[n["end"] :]
+        return sorted(found + self.search(text, False, self.sets[False]), key=lambda n: n["start"])
+
+    def search(self, text: str, long: bool, among: list[int]) -> list[dict]:
+        """The notices of some templates, short or long ones."""
         found: list[dict] = []
-        for words in blocks(text or "", self.reach):
-            lo, size = 0, 4 * self.longest
+        longest = self.longest[long]
+        for words in blocks(text, self.reach[long]):
+            lo, size = 0, 4 * longest
             while lo < len(words):
                 hi = min(len(words), lo + size)
                 # What starts later may be cut by the window's end: it is left to the next one.
-                border = hi if hi == len(words) else hi - self.longest
+                border = hi if hi == len(words) else hi - longest
                 last = words[border - 1][1]
-                kept = [n for n in self.window(text, words[lo][0], words[hi - 1][1]) if n["start"] < last]
+                kept = [n for n in self.window(text, words[lo][0], words[hi - 1][1], long, among) if n["start"] < last]
                 found += kept
                 done = max([last, *[n["end"] for n in kept]])
                 lo = border
                 while lo < len(words) and words[lo][0] < done:
                     lo += 1
-        return sorted(found, key=lambda n: n["start"])
+        return found
 
-    def window(self, text: str, lo: int, hi: int) -> list[dict]:
+    def window(self, text: str, lo: int, hi: int, long: bool, among: list[int]) -> list[dict]:
         """The notices between two places of the text."""
         found, todo = [], [(lo, hi, 0)]
         while todo:
@@ -212,13 +256,15 @@ class Scanner:
                 continue
             hits = []
             counts, matcher = Counter(words), None
-            for _, k, reduction in self.ranked(words):
+            for _, k, reduction in self.ranked(words, [k for k in among if self.possible(k, counts)] if long else among):
                 if not self.possible(k, counts):
                     continue
-                matcher = matcher or SequenceMatcher(None, "", words, autojunk=False)
+                matcher = matcher or SequenceMatcher(None, "", words, autojunk=long)
                 licence, template = self.templates[k][:2]
                 if (a := self.align(template, words, matcher)) and a[2] >= self.similarity:
                     hits.append((a[2] * len(template), reduction, licence, a))
+            if not hits and long:
+                continue
             if not hits:  # what surrounds a short notice may hide it: look at lines, then near the trigger words
                 todo += [(a, b, level + 1) for a, b in self.closer(text, start, end, level) if (a, b) != (start, end)]
                 continue

@@ -150,6 +150,27 @@ def test_wrapped_wordings_are_found_whole(width, mark):
             assert len(found) == 1 and found[0]["exact"], licence
 
 
+@pytest.mark.parametrize("width", [30, 72, 78, 120])
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_all_wordings_are_exact_at_any_width(width, mark):
+    scanner = licences.Scanner()
+    for licence, wording in [*licences.TEMPLATES, *licences.whole_licences()]:
+        lines = textwrap.wrap(wording.replace(licences.ANY, "The Authors"), width, break_on_hyphens=False, break_long_words=False)
+        found = scanner.scan("intro\n\n" + "\n".join(mark + line for line in lines) + "\n\noutro")
+        assert (licence, True) in [(n["licence"], n["exact"]) for n in found], licence
+
+
+def test_whole_licences_with_other_words():
+    assert len(licences.whole_licences()) == 7
+    scanner = licences.Scanner()
+    for licence, wording in licences.whole_licences():
+        words = wording.split(" ")
+        changed = " ".join("other" if k % 97 == 50 else w for k, w in enumerate(words))
+        found = scanner.scan("code();\n" * 50 + changed + "\nthe end. Released under the MIT License.")
+        assert [n["licence"] for n in found if n["similarity"] >= 0.9][:1] == [licence] and not found[0]["exact"] and "other" in found[0]["extra"], licence
+        assert found[-1]["licence"] == "MIT" and found[-1]["exact"]
+
+
 def test_long_blocks_and_stray_words():
     one = licences.TEMPLATES[0][1]
     text = f"the rights of the software\n{one}\nthe software and the rights to use, copy\n" * 20
@@ -169,6 +190,13 @@ def test_scan_of_odd_rows(spark):
     out = collections.Counter((r.doc_id, tuple(n.licence for n in r.notices)) for r in licences.scan(docs).collect())
     assert out == {(1, ()): 1, (2, ()): 1, (3, ("MIT",)): 2, (None, ("ISC",)): 1}
     assert licences.scan(docs.limit(0)).count() == 0
+    again = licences.scan(docs.selectExpr("*", "'own' AS notices", "doc_id AS licence"))
+    assert again.columns == ["doc_id", "licence", "notices"] and collections.Counter((r.doc_id, tuple(n.licence for n in r.notices)) for r in again.collect()) == out
+
+
+def test_ties_go_to_the_first_template():
+    one = licences.Scanner([("first", "under the same license of words"), ("second", "under the same license of words")])
+    assert [n["licence"] for n in one.scan("here under the same license of words.")] == ["first"]
 
 
 def test_notices_of_the_tables(spark, sf_dir):
