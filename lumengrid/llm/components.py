@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import join_checked, materialise, small_batches
+from lumengrid.llm.common import discard, join_checked, materialise, small_batches
 
 #: A bucket with more members is crowded; also the nodes in one side of a comparison.
 CROWD = 512
@@ -40,7 +40,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         to = large.join(least, "hi")
         small = to.select("hi", F.col("m").alias("lo")).unionAll(to.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).where("hi <> lo").distinct()
-        step = materialise(small)
+        before, step = step, materialise(small)
+        discard(before)
+        discard(large)
         last, state = state, tuple(step.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if state == last:
             break
