@@ -131,6 +131,12 @@ def _loop(state: DataFrame, max_cycles: int, cycle_plan, steps: int = 1) -> tupl
     return reduce(DataFrame.unionByName, finished), reduce(DataFrame.unionByName, traces)
 
 
+def _spread(frames: DataFrame) -> DataFrame:
+    """Deal frames that lie in fewer partitions than there are cores: cycles cost far more than reading."""
+    cores = frames.sparkSession.sparkContext.defaultParallelism
+    return frames.repartition(cores) if frames.rdd.getNumPartitions() < cores else frames
+
+
 def shrink_wrap(frames: DataFrame, params: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Objects and iteration trace from frames whose values are magnitudes.
 
@@ -139,7 +145,7 @@ def shrink_wrap(frames: DataFrame, params: DataFrame | None = None) -> tuple[Dat
     since transforms are unnormalised. The most cycles of any frame bound the loop.
     """
     start = resolve_params(frames, params)
-    guess = spectral.autocorrelation_guess(start.withColumn("mag", F.col("values")))
+    guess = spectral.autocorrelation_guess(_spread(start).withColumn("mag", F.col("values")))
     guess = materialise(guess.withColumns({"g_re": F.col("re"), "g_im": F.col("im")}).withColumns(_blank()))
 
     def plan(state: DataFrame, cycle: int) -> DataFrame:
@@ -161,7 +167,7 @@ def hybrid_input_output(frames: DataFrame, masks: DataFrame, params: DataFrame |
     target. The state is written, and the trace has a row, after every `steps_a_job` steps.
     """
     start = resolve_params(frames, params).join(masks, "image_id")
-    start = spectral.random_phase(start).withColumnRenamed("values", "mag")
+    start = spectral.random_phase(_spread(start)).withColumnRenamed("values", "mag")
     start = spectral.dft2(start, "re", "im", inverse=True)
     start = materialise(start.withColumns({"g_re": F.col("re"), "g_im": F.col("im")}).withColumns({k: v for k, v in _blank().items() if k != "masked"}))
 
