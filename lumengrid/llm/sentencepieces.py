@@ -8,7 +8,8 @@ sentencepiece library, with its own normalisation switched off, and kept in a bo
 pieces are projected back through the alignment.
 
 Nulls count as empty. An empty text has only the begin and end ids. Repeated rows give repeated
-results, an empty table an empty one, and very long texts are encoded whole.
+results, an empty table an empty one, and very long texts are encoded whole. Of pieces that could be
+merged equally well the library's choice holds. A carried column that has an output's name is replaced.
 """
 
 from __future__ import annotations
