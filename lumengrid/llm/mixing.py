@@ -68,18 +68,20 @@ def queue(sized: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
     goals = goals.withColumnRenamed("source", "__source")
     goals = F.broadcast(goals) if known[1] <= 20_000 else goals
     rows = rows.join(goals, rows["source"].eqNullSafe(goals["__source"])).drop("__source")
-    totals = rows.groupBy("source_no", "bucket").agg(F.sum(F.col("size") * F.col("m")).alias("words"))
+    totals = rows.groupBy("source_no", "bucket").agg(F.sum(F.col("size") * F.col("m")).alias("words"), F.max("m").alias("most"))
     ahead = F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    totals = materialise(totals.select("source_no", "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead")))
+    totals = materialise(totals.select("source_no", "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead"), "most"))
+    most = totals.agg(F.max("most")).first()[0] or 1
     inside = Window.partitionBy("source_no", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("m")).over(inside), F.lit(0)))
-    rows = join_checked(rows, totals, ["source_no", "bucket"])
+    rows = join_checked(rows, totals.drop("most"), ["source_no", "bucket"])
     rows = rows.select("id", "source", "size", "source_no", "source_size", "target", "key", "m", (F.col("ahead") + F.col("inside")).alias("before"))
-    few = rows.where(F.col("m") <= TOGETHER).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    parts = rows.where(F.col("m") > TOGETHER).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / TOGETHER))))
+    made = lambda df, first, last: df.withColumn("k", F.explode(F.sequence(first, last))).withColumn("before", F.col("before") + F.col("k") * F.col("size")).drop("m", "k")
+    if most <= TOGETHER:
+        return made(rows, F.lit(0).cast("long"), F.col("m") - 1)
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / TOGETHER))))
     first = F.col("part") * TOGETHER
-    many = parts.repartition("id", "part").withColumn("k", F.explode(F.sequence(first, F.least(first + TOGETHER, F.col("m")) - 1))).drop("part")
-    return few.unionByName(many).withColumn("before", F.col("before") + F.col("k") * F.col("size")).drop("m", "k")
+    return made(rows.repartition("id", "part"), first, F.least(first + TOGETHER, F.col("m")) - 1).drop("part")
 
 
 def _place(copy: int) -> F.Column:
