@@ -26,13 +26,15 @@ CROWD = 512
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """(node, component) for every node of the edges; the component is its smallest node.
 
-    Alternating large-star and small-star steps. The smallest neighbours are pre-aggregated, so that a
-    hub with very many edges is joined (and may be split there), never gathered.
+    Alternating large-star and small-star steps, until the edges are stars about the smallest nodes. The smallest
+    neighbours are pre-aggregated, so that a hub with very many edges is joined (and may be split there), never
+    gathered.
     """
     step = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
     step = materialise(step)
-    state = None
     for _ in range(rounds):
+        if _are_stars(step):
+            break
         both = step.unionAll(step.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
         large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
@@ -43,14 +45,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         before, step = step, materialise(small)
         discard(before)
         discard(large)
-        last, state = state, tuple(step.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-        if state == last:
-            break
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return step.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(step.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one, which itself has none."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select("lo", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.where("down > 1 or down = 1 and up = 1").isEmpty()
+
+
 def compare_blocks(
     rows: DataFrame,
     linked: Callable[[list[bytes], list[bytes]], np.ndarray],
