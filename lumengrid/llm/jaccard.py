@@ -37,7 +37,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 class _WordHashes(dict):
     """64-bit hashes of words, kept for up to `entries` words."""
 
-    def __init__(self, entries: int = 300_000):
+    def __init__(self, entries: int = 150_000):
         super().__init__()
         self.entries = entries
 

@@ -133,7 +133,7 @@ class Model:
 class Predictor:
     """A model in one task, with the scores of up to `cache_entries` words."""
 
-    def __init__(self, model: Model, cache_entries: int = 300_000, most: float = 3.0, evidence: int = 20):
+    def __init__(self, model: Model, cache_entries: int = 150_000, most: float = 3.0, evidence: int = 20):
         self.model, self.cache_entries, self.most, self.evidence = model, cache_entries, most, evidence
         self.places: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)))

@@ -105,7 +105,7 @@ class CharMap:
 class Encoder:
     """A model in one task: normaliser, chunk cache and the library's merge and decode steps."""
 
-    def __init__(self, model: bytes, cache_entries: int = 400_000, cache_chars: int = 48):
+    def __init__(self, model: bytes, cache_entries: int = 250_000, cache_chars: int = 48):
         import sentencepiece
 
         fields = list(_fields(model))
