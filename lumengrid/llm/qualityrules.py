@@ -91,14 +91,13 @@ def vector() -> F.Column:
     )
 
 
-def _distance(x: F.Column, mean: F.Column, inverse: F.Column) -> F.Column:
-    """Squared Mahalanobis distance; `inverse` holds the lower triangle of the inverted Cholesky factor."""
-    centred = [F.get(x, F.lit(i)) - F.get(mean, F.lit(i)) for i in range(D)]
-    total = F.lit(0.0)
-    for i in range(D):
-        z = sum((F.get(inverse, F.lit(i * (i + 1) // 2 + j)) * centred[j] for j in range(i + 1)), F.lit(0.0))
-        total = total + z * z
-    return total
+def _distance() -> F.Column:
+    """Squared Mahalanobis distance of x from mean; `inverse` holds the lower triangle of the inverted Cholesky factor.
+
+    Like the other formulas of small matrices it is written as SQL, which is built much faster than columns.
+    """
+    rows = [" + ".join(f"get(inverse, {i * (i + 1) // 2 + j}) * (get(x, {j}) - get(mean, {j}))" for j in range(i + 1)) for i in range(D)]
+    return F.expr(" + ".join(f"({z}) * ({z})" for z in rows))
 
 
 def _factor(moments: DataFrame, prior: dict[str, list[float]], keys: tuple[str, ...] = ("group", "start")) -> DataFrame:
@@ -107,30 +106,27 @@ def _factor(moments: DataFrame, prior: dict[str, list[float]], keys: tuple[str,
     Mean and covariance shrink towards the prior's as if it had PRIOR_ROWS rows, and every variance gets
     the least one.
     """
-    weight = F.col("n") / (F.col("n") + PRIOR_ROWS)
     floors = list(VECTOR.values())
-    df = moments.select(*keys, *[(weight * F.get("mean", F.lit(i)) + (1 - weight) * prior["mean"][i]).alias(f"m{i}") for i in range(D)], weight.alias("w"), "cov")
-    cov = {(i, j): F.col("w") * F.get("cov", F.lit(k)) + ((1 - F.col("w")) * prior["sd"][i] ** 2 + floors[i] ** 2 if i == j else 0.0) for k, (i, j) in enumerate(PAIRS)}
-    df = df.select(*keys, *[f"m{i}" for i in range(D)], *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
+    means = [f"w * get(mean, {i}) + (1 - w) * {prior['mean'][i]!r}D AS m{i}" for i in range(D)]
+    cov = [f"w * get(cov, {k})" + (f" + (1 - w) * {prior['sd'][i] ** 2!r}D + {floors[i] ** 2!r}D" if i == j else "") + f" AS c{i}{j}" for k, (i, j) in enumerate(PAIRS)]
+    df = moments.selectExpr(*keys, f"n / (n + {PRIOR_ROWS}D) AS w", "mean", "cov").selectExpr(*keys, *means, *cov)
+    less = lambda i, j: "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
     for j in range(D):  # Cholesky by columns
-        left = F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(left, F.lit(floors[j] ** 2 / 4))))
-        below = {f"l{i}{j}": (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, D)}
-        df = df.withColumns(below) if below else df
+        df = df.selectExpr("*", f"sqrt(greatest(c{j}{j}{less(j, j)}, {floors[j] ** 2 / 4!r}D)) AS l{j}{j}")
+        df = df.selectExpr("*", *[f"(c{i}{j}{less(i, j)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, D)])
     for i in range(D):  # the inverse, by rows
-        row = {f"v{i}{j}": -sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}") for j in range(i)}
-        df = df.withColumns(row | {f"v{i}{i}": 1 / F.col(f"l{i}{i}")})
-    log_det = 2 * sum((F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0))
-    return df.select(*keys, F.array(*[f"m{i}" for i in range(D)]).alias("mean"), F.array(*[f"v{i}{j}" for i, j in PAIRS]).alias("inverse"), log_det.alias("log_det"))
+        row = [f"-({' + '.join(f'l{i}{k} * v{k}{j}' for k in range(j, i))}) / l{i}{i} AS v{i}{j}" for j in range(i)]
+        df = df.selectExpr("*", *row, f"1D / l{i}{i} AS v{i}{i}")
+    triangle = ", ".join(f"v{i}{j}" for i, j in PAIRS)
+    return df.selectExpr(*keys, f"array({', '.join(f'm{i}' for i in range(D))}) AS mean", f"array({triangle}) AS inverse", f"2D * ({' + '.join(f'ln(l{i}{i})' for i in range(D))}) AS log_det")
 
 
 def _moments(rows: DataFrame, x: str = "x", keys: tuple[str, ...] = ("group", "start")) -> DataFrame:
     """(keys, n, mean, cov) of the vectors; sums are pre-aggregated before they meet."""
-    at = [F.get(x, F.lit(i)) for i in range(D)]
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*map(F.sum, at)).alias("s"), F.array(*[F.sum(at[i] * at[j]) for i, j in PAIRS]).alias("p"))
-    mean = lambda i: F.get("s", F.lit(i)) / F.col("n")
-    cov = [F.get("p", F.lit(k)) / F.col("n") - mean(i) * mean(j) for k, (i, j) in enumerate(PAIRS)]
-    return sums.select(*keys, "n", F.array(*map(mean, range(D))).alias("mean"), F.array(*cov).alias("cov"))
+    sums = [f"sum(get({x}, {i}))" for i in range(D)], [f"sum(get({x}, {i}) * get({x}, {j}))" for i, j in PAIRS]
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.expr(f"array({', '.join(part)})").alias(name) for part, name in zip(sums, "sp", strict=True)])
+    cov = ", ".join(f"get(p, {k}) / n - get(s, {i}) / n * (get(s, {j}) / n)" for k, (i, j) in enumerate(PAIRS))
+    return found.selectExpr(*keys, "n", f"array({', '.join(f'get(s, {i}) / n' for i in range(D))}) AS mean", f"array({cov}) AS cov")
 
 
 def _robust(rows: DataFrame, width: float = 0.01) -> DataFrame:
@@ -173,7 +169,7 @@ def _starts(rows: DataFrame, prior: dict[str, list[float]]) -> DataFrame:
 def _near(rows: DataFrame, model: DataFrame, n_models: int, share: float) -> tuple[DataFrame, DataFrame]:
     """Rows with the bin of their distance, and (group, start, limit): the bin in which the share's quantile lies."""
     far = join_checked(rows, model, ["group"], rows=n_models)
-    far = far.withColumn("bin", F.floor(16 * F.log2(1 + _distance(F.col("x"), F.col("mean"), F.col("inverse")))).cast("long"))
+    far = far.withColumn("bin", F.floor(16 * F.log2(1 + _distance())).cast("long"))
     counts = far.groupBy("group", "start", "bin").agg(F.count("*").alias("c"))
     inside = Window.partitionBy("group", "start")
     upto = F.sum("c").over(inside.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
@@ -189,8 +185,10 @@ def outlier_models(rows: DataFrame, steps: int = 3, half: float = 0.75) -> tuple
     divided by spread, the consistency factor at the normal distribution.
     """
     n_groups = rows.select("group").distinct().count()
+    if not n_groups:
+        return rows.sparkSession.createDataFrame([], "group string, mean array<double>, inverse array<double>, spread double"), 0
     whole = _robust(rows.withColumn("group", F.lit(""))).first()  # one row
-    prior = {"mean": list(whole["median"]), "sd": list(whole["sd"])} if whole else {"mean": [0.0] * D, "sd": [0.0] * D}
+    prior = {"mean": list(whole["median"]), "sd": list(whole["sd"])}
     model = _starts(rows, prior)
     for step in range(2 + steps):
         n_models = n_groups * (3 if step < 2 else 1)
@@ -200,7 +198,7 @@ def outlier_models(rows: DataFrame, steps: int = 3, half: float = 0.75) -> tuple
         if step == 1:
             best = model.groupBy("group").agg(F.min(F.struct("log_det", "start", "mean", "inverse")).alias("best"))
             model = materialise(best.select("group", "best.*"))
-    distance = _distance(F.col("x"), F.col("mean"), F.col("inverse")) / consistency(half)
+    distance = _distance() / consistency(half)
     trusted = join_checked(rows, model, ["group"], rows=n_groups).where(distance <= chi_squared(TRUSTED))
     last = materialise(_factor(materialise(_moments(trusted)), prior))
     out = model.select("group").join(last.select("group", "mean", "inverse", F.lit(consistency(TRUSTED)).alias("spread")), "group", "left")
@@ -250,6 +248,6 @@ def judge(
     rows = materialise(stats.where(~F.col("base_failed")).select("group", "x"))
     model, n_groups = outlier_models(rows, steps, half)
     out = join_checked(stats, model, ["group"], "left", rows=n_groups)
-    out = out.withColumn("distance", _distance(F.col("x"), F.col("mean"), F.col("inverse")) / F.col("spread"))
+    out = out.withColumn("distance", _distance() / F.col("spread"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_squared(1 - tail), F.lit(True))
     return out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
