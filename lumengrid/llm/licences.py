@@ -34,6 +34,11 @@ from pyspark.sql import types as T
 from lumengrid.llm.common import map_text
 
 TRIGGER = re.compile(r"licen[sc]e|copyright|\(c\)|©|permission[\W_]+is|redistribut|warrant|as[\W_]+is|spdx|public[\W_]+domain|creative[\W_]+commons|\bcc0\b|\bcc[\W_]+by", re.I)
+#: What a text with a trigger word has, casefolded: one of these, or a match of the pattern; both are fast to look for.
+_NEEDED = ("licen", "copyright", "(c)", "©", "permission", "redistribut", "warrant", "spdx", "public", "creative", "cc0")
+_OR = re.compile(r"as[\W_]+is|cc[\W_]+by")
+#: Letters that match i or s where case is ignored, but aren't these when casefolded.
+_ODD = re.compile("[ıİſ]")
 _WORD = re.compile(r"[^\W_]+(?:[.\-+'][^\W_]+)*\+?")
 #: A placeholder of a template, which stands for up to this many words.
 ANY, ANY_WORDS = "<any>", 8
@@ -91,6 +96,14 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def trigger_places(text: str) -> list[int]:
+    """Where the trigger words of a text start."""
+    folded = text.casefold()
+    if not any(map(folded.__contains__, _NEEDED)) and not _OR.search(folded) and not _ODD.search(text):
+        return []
+    return [m.start() for m in TRIGGER.finditer(text)]
+
+
 def stretch(wording: str) -> int:
     """The most words of a template before, between or after its trigger words."""
     text = wording.replace(ANY, " x" * ANY_WORDS)
@@ -99,9 +112,8 @@ def stretch(wording: str) -> int:
     return max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
 
 
-def blocks(text: str, reach: int) -> list[list[tuple[int, int]]]:
-    """The words' spans in characters of each candidate block: trigger words and `reach` words around each."""
-    triggers = [m.start() for m in TRIGGER.finditer(text)]
+def blocks(text: str, triggers: list[int], reach: int) -> list[list[tuple[int, int]]]:
+    """The words' spans in characters of each candidate block: `reach` words around each of the places of trigger words."""
     if not triggers:
         return []
     words = [m.span() for m in _WORD.finditer(text)]
@@ -214,23 +226,24 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[dict]:
         text = text or ""
-        triggers = len(TRIGGER.findall(text))
+        triggers = trigger_places(text)
         if not triggers:
             return []
         found = []
-        if self.sets[True] and triggers >= min(self.triggers[k] for k in self.sets[True]):
+        if self.sets[True] and len(triggers) >= min(self.triggers[k] for k in self.sets[True]):
             counts = Counter(_words(text))
             if among := [k for k in self.sets[True] if self.possible(k, counts)]:
-                found = self.search(text, True, among)
+                found = self.search(text, triggers, True, among)
                 for n in found:
                     text = text[: n["start"]] + " " * (n["end"] - n["start"]) + text[n["end"] :]
-        return sorted(found + self.search(text, False, self.sets[False]), key=lambda n: n["start"])
+                    triggers = [t for t in triggers if not n["start"] <= t < n["end"]]
+        return sorted(found + self.search(text, triggers, False, self.sets[False]), key=lambda n: n["start"])
 
-    def search(self, text: str, long: bool, among: list[int]) -> list[dict]:
+    def search(self, text: str, triggers: list[int], long: bool, among: list[int]) -> list[dict]:
         """The notices of some templates, short or long ones."""
         found: list[dict] = []
         longest = self.longest[long]
-        for words in blocks(text, self.reach[long]):
+        for words in blocks(text, triggers, self.reach[long]):
             lo, size = 0, 4 * longest
             while lo < len(words):
                 hi = min(len(words), lo + size)

@@ -194,6 +194,13 @@ def test_scan_of_odd_rows(spark):
     assert again.columns == ["doc_id", "licence", "notices"] and collections.Counter((r.doc_id, tuple(n.licence for n in r.notices)) for r in again.collect()) == out
 
 
+def test_fast_look_for_triggers_misses_none(spark, sf_dir):
+    texts = [r.text or "" for r in table(spark, sf_dir, "documents", "text").collect()]
+    texts += ["LICENSE", "Licence", "l\u0131cense", "l\u0130cense", "licen\u017fe", "AS-IS", "as\nis", "(C)", "\u00a9", "CC BY", "cc\n0", "Cc0", "PermiSSion  is", "permission", "public_domain", "creative", "SPDX", "redistributed", "warranty", "basic", "\u00df"]
+    for text in texts:
+        assert licences.trigger_places(text) == [m.start() for m in licences.TRIGGER.finditer(text)], text[:80]
+
+
 def test_ties_go_to_the_first_template():
     one = licences.Scanner([("first", "under the same license of words"), ("second", "under the same license of words")])
     assert [n["licence"] for n in one.scan("here under the same license of words.")] == ["first"]
