@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm import embeddings, htmltext, jaccard, language, licences, mixing, qualityclass, qualityrules, sentencepieces, warc
+from lumengrid.llm import embeddings, htmltext, jaccard, language, licences, mixing, qualityclass, qualityrules, sentencepieces, sharding, warc
 from lumengrid.llm.common import crc_fold, materialise, shared_dir, table
 
 #: Of crc32(doc_id) mod 4, the fold that no model learns from.
@@ -163,6 +163,32 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `bytes`: each cut is where the bytes below are nearest to its share."""
+    out = sharding.assign(table(spark, sf_dir, "documents", "doc_id", "text"), shards=8)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 of a blob in SQL: CTE ct has the table of its 256 steps; crc() gives the expression.
+CRC_TABLE = "ct AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b::BIGINT)) AS t)"
+
+
+def crc(digits: str) -> str:
+    """The expression of the CRC-32 of bytes given as hexadecimal digits, where ct.t is in scope."""
+    byte = f"('0x' || substr({digits}, 2 * i - 1, 2))::BIGINT"
+    return f"xor(list_reduce(list_transform(range(1, length({digits}) // 2 + 1), lambda i: {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS body, substr(md5(coalesce(text, '')), 1, 16) AS k FROM documents),
+s AS (SELECT doc_id, k, length(body) // 2 + 1 AS size, {crc('body')}::BIGINT AS text_crc32 FROM d, ct),
+b AS (SELECT *, sum(size) OVER o - size AS before, sum(size) OVER () AS total FROM s WINDOW o AS (ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, least(7, (8 * (2 * before + size)) // (2 * total))::INT AS shard FROM b)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, NULL::INT AS grown_shard FROM p
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html_text": op2_html_text,
@@ -174,6 +200,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
+    "op11_sharding": op11_sharding,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op11_sharding": OP11_SQL}
