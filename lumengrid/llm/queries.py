@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm import embeddings, htmltext, jaccard, language, licences, mixing, qualityclass, qualityrules, sentencepieces, sharding, warc
+from lumengrid.llm import dialogue, embeddings, htmltext, jaccard, language, licences, mixing, qualityclass, qualityrules, sentencepieces, sharding, warc
 from lumengrid.llm.common import crc_fold, materialise, shared_dir, table
 
 #: Of crc32(doc_id) mod 4, the fold that no model learns from.
@@ -169,26 +169,75 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-#: CRC-32 of a blob in SQL: CTE ct has the table of its 256 steps; crc() gives the expression.
-CRC_TABLE = "ct AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b::BIGINT)) AS t)"
-
-
-def crc(digits: str) -> str:
-    """The expression of the CRC-32 of bytes given as hexadecimal digits, where ct.t is in scope."""
-    byte = f"('0x' || substr({digits}, 2 * i - 1, 2))::BIGINT"
-    return f"xor(list_reduce(list_transform(range(1, length({digits}) // 2 + 1), lambda i: {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+def crc(text: str) -> str:
+    """SQL of the CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda x: ('0x' || x)::BIGINT)"
+    step = "xor(c >> 8, list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b) & 255))"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
 
 
 OP11_SQL = f"""
-WITH {CRC_TABLE},
-d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS body, substr(md5(coalesce(text, '')), 1, 16) AS k FROM documents),
-s AS (SELECT doc_id, k, length(body) // 2 + 1 AS size, {crc('body')}::BIGINT AS text_crc32 FROM d, ct),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+s AS (SELECT doc_id, substr(md5(body), 1, 16) AS k, octet_length(encode(body)) + 1 AS size, {crc('body')} AS text_crc32 FROM d),
 b AS (SELECT *, sum(size) OVER o - size AS before, sum(size) OVER () AS total FROM s WINDOW o AS (ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT *, least(7, (8 * (2 * before + size)) // (2 * total))::INT AS shard FROM b)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, NULL::INT AS grown_shard FROM p
 """
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with a fifth of their rows dropped, emptied, cut off, repeated or given to the user, by crc32 of conv_id:turn."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20).alias("h"))
+    text = F.when(F.col("h") == 1, F.lit("")).when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.where("h <> 0").withColumns({"text": text, "role": F.when(F.col("h") == 4, F.lit("user")).otherwise(F.col("role"))})
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat("h", F.when(F.col("h") == 3, 2).otherwise(1)))).drop("col")
+
+
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    found = dialogue.audit(damaged(turns)).withColumnRenamed("conv_id", "__conv")
+    whole = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _op12_sql() -> str:
+    """The same by one pass over a conversation's rows: for each state the cheapest history, as cost, edits and lines in one string."""
+    sep = "chr(1)"
+    add = lambda x, cost, edit, line=None: f"(CASE WHEN {x} <> '~' THEN lpad(((split_part({x}, {sep}, 1))::INT + {cost})::VARCHAR, 9, '0') || {sep} || split_part({x}, {sep}, 2) || '{edit}' || {sep} || substr({x}, length(split_part({x}, {sep}, 1)) + length(split_part({x}, {sep}, 2)) + 3)" + (f" || chr(10) || {line}" if line else "") + " ELSE '~' END)"
+    insert = lambda q: "SELECT * REPLACE (" + f"least({q}2, {add(f'{q}0', 2, 'I', chr(39) + 'user:' + chr(39))}, {add(f'{q}1', 2, 'I', chr(39) + 'user:' + chr(39))}, {add(f'{q}3', 2, 'I', chr(39) + 'user:' + chr(39))}) AS {q}2, least({q}3, {add(f'{q}2', 2, 'I', chr(39) + 'assistant:' + chr(39))}) AS {q}3)"
+    turn = {0: add("q0", 3, "D"), 1: f"least({add('q1', 3, 'D')}, CASE WHEN NOT must AND ini = 's' THEN {add('q0', 'cut', 'K', 'line')} ELSE '~' END)"}
+    say = lambda state, befores, char, role: f"least({add(f'q{state}', 3, 'D')}, " + ", ".join(f"CASE WHEN must THEN '~' WHEN ini = '{char}' THEN {add(b, 'cut', 'K', 'line')} ELSE {add(b, 'cut + 2', 'R', chr(39) + role + ':' + chr(39) + ' || text')} END" for b in befores) + ")"
+    turn[2] = say(2, ["q0", "q1", "q3"], "u", "user")
+    turn[3] = say(3, ["q2"], "a", "assistant")
+    head = f"'000000000' || {sep} || {sep}"
+    steps = f"SELECT r.conv_id, r.pos + 1 AS pos, " + ", ".join(f"{turn[k]} AS q{k}" for k in range(4)) + " FROM {src} r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.pos = r.pos + 1"
+    closed = lambda src: insert("q") + f" FROM ({insert('q')} FROM ({insert('q')} FROM {src}))"
+    return f"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, {crc('k')} % 20 AS h FROM o),
+g AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, copy) AS pos, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said FROM g),
+m AS (SELECT *, said = '' AS blank, said <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, substr(role, 1, 1) AS ini FROM n),
+f AS MATERIALIZED (SELECT conv_id, pos, turn, role, text, ini, blank, again, blank OR again AS must, (NOT blank AND NOT again AND right(said, 1) NOT IN ('.', '!', '?'))::INT AS cut, role || ':' || text AS line, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair FROM m),
+r AS (
+  SELECT conv_id, 0::BIGINT AS pos, {head} AS q0, '~' AS q1, '~' AS q2, '~' AS q3 FROM (SELECT DISTINCT conv_id FROM o)
+  UNION ALL {steps.replace("{src}", "(" + closed("r") + ")")}),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS place FROM r) WHERE place = 1),
+e AS (SELECT conv_id, least(q0, q3) AS x FROM ({closed('l')})),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut = 1) AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       split_part(x, {sep}, 1)::BIGINT AS cost, split_part(x, {sep}, 2) AS audit, sha256(substr(x, length(split_part(x, {sep}, 1)) + length(split_part(x, {sep}, 2)) + 4)) AS repaired_sha256
+FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html_text": op2_html_text,
@@ -201,6 +250,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
     "op11_sharding": op11_sharding,
+    "op12_dialogue_repair": op12_dialogue_repair,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op11_sharding": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op11_sharding": OP11_SQL, "op12_dialogue_repair": OP12_SQL}
