@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm import dialogue, embeddings, htmltext, jaccard, language, licences, mixing, qualityclass, qualityrules, sentencepieces, sharding, warc
+from lumengrid.llm import dialogue, embeddings, htmltext, jaccard, language, licences, mixing, periodic, qualityclass, qualityrules, sentencepieces, sharding, warc
 from lumengrid.llm.common import crc_fold, materialise, shared_dir, table
 
 #: Of crc32(doc_id) mod 4, the fold that no model learns from.
@@ -238,6 +238,26 @@ FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 OP12_SQL = _op12_sql()
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten, by crc32 of doc_id, repeats some of its words from a word on to its end; a null id repeats nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumns({"__on": F.coalesce(h % 10 == 0, F.lit(False)), "__g": F.floor(h / 10)})
+    rows = docs.withColumn("__words", F.when(F.col("__on"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    n = F.size("__words")
+    rows = rows.withColumn("__a", F.when(n > 0, F.col("__g") % n).cast("int"))
+    rows = rows.withColumn("__p", (1 + F.floor((n - F.col("__a")) / (3 + F.col("__g") % 8))).cast("int"))
+    tail = F.transform(F.sequence(F.lit(0), n - F.col("__a") - 1), lambda i: F.get("__words", F.col("__a") + i % F.col("__p")))
+    again = F.array_join(F.concat(F.slice("__words", F.lit(1), F.col("__a")), tail), " ")
+    return rows.withColumn("text", F.when(n > 0, again).otherwise(F.col("text"))).drop("__on", "__g", "__words", "__a", "__p")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(planted(table(spark, sf_dir, "documents", "doc_id", "text")), carry=("doc_id",))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.array_join(r.cast("array<string>"), ","), F.lit("\n"))), "")
+    greatest = ("start", "length", "period", "exponent_milli")
+    return found.select("doc_id", "n_runs", *greatest, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html_text": op2_html_text,
@@ -251,6 +271,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_sharding": op11_sharding,
     "op12_dialogue_repair": op12_dialogue_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op11_sharding": OP11_SQL, "op12_dialogue_repair": OP12_SQL}
