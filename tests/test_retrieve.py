@@ -193,3 +193,68 @@ def test_batch_and_stream_agree(spark, tmp_path):
     got, wanted = ({r.image_id: r["values"] for r in df.collect()} for df in (streamed, objects))
     assert got.keys() == wanted.keys() and all(np.allclose(got[k], wanted[k]) for k in wanted)
     assert io.read_frames(spark, f"{tmp_path}/objects").count() == 3
+
+
+def written(folder):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+@pytest.mark.parametrize("job", ["shrink_wrap", "hybrid_input_output"])
+def test_a_run_that_is_broken_off_goes_on(spark, tmp_path, monkeypatch, job):
+    magnitudes = spectral.diffraction_magnitude(generate.circular_section(shapes(spark, 6, 16, 12), 0.3, 0.4, 0.6))
+    masks = magnitudes.select("image_id", F.transform("values", lambda _, p: ~(p % 12).between(3, 8)).alias("masked"))
+    params = spark.createDataFrame([(k, 2 + k, 3) for k in range(6)], "image_id long, n_cycles int, n_hio int")
+
+    def go(folder):
+        if job == "shrink_wrap":
+            return retrieve.shrink_wrap(magnitudes, params, folder, cycles_a_job=1)
+        return retrieve.hybrid_input_output(magnitudes, masks, params, steps_a_job=1, folder=folder)
+
+    wanted, turns, take = [r.collect() for r in go(None)], [], retrieve._job
+
+    def breaks(*args):
+        turns.append(args[1])
+        if len(turns) == 3:
+            raise RuntimeError("lost")
+        return take(*args)
+
+    monkeypatch.setattr(retrieve, "_job", breaks)
+    with pytest.raises(RuntimeError, match="lost"):
+        go(f"{tmp_path}/run")
+    assert turns == [0, 1, 2]
+    got = go(f"{tmp_path}/run")
+    assert turns == [0, 1, 2, 2, 3, 4, 5, 6]
+    assert [sorted(map(tuple, r.collect())) for r in got] == [sorted(map(tuple, w)) for w in wanted]
+    assert [sorted(map(tuple, r.collect())) for r in go(f"{tmp_path}/run")] == [sorted(map(tuple, w)) for w in wanted] and len(turns) == 8
+
+
+def test_states_are_deleted_and_frames_kept_if_asked_for(spark, tmp_path):
+    magnitudes = spectral.diffraction_magnitude(generate.rectangle(shapes(spark, 40, 32, 32), 0.3, 0.4)).withColumn("values", F.transform("values", lambda v: v + F.rand(1)))
+    magnitudes.write.parquet(f"{tmp_path}/in")
+    magnitudes = spark.read.parquet(f"{tmp_path}/in")
+    params = spark.range(40).select(F.col("id").alias("image_id"), F.lit(6).alias("n_cycles"), F.lit(2).alias("n_hio"))
+    retrieve.shrink_wrap(magnitudes, params, f"{tmp_path}/run", cycles_a_job=2)
+    assert written(f"{tmp_path}/run") < 3 * written(f"{tmp_path}/in")
+    found, _ = retrieve.shrink_wrap(magnitudes, params, f"{tmp_path}/kept", snapshots=True)
+    frames = {(r.image_id, r.cycle): r["values"] for r in retrieve.snapshots_of(magnitudes, f"{tmp_path}/kept").collect()}
+    assert len(frames) == 240 and all(frames[r.image_id, 5] == r["values"] for r in found.collect())
+    assert frames[0, 0] != frames[0, 1]
+
+
+def test_frames_without_a_mask_are_null(spark):
+    magnitudes = spectral.diffraction_magnitude(generate.rectangle(shapes(spark, 4, 6, 6), 0.4, 0.5))
+    masks = spark.createDataFrame([(0, [True] * 30 + [False] * 6), (1, [True] * 5), (2, None)], "image_id long, masked array<boolean>")
+    found = {r.image_id: r for r in retrieve.hybrid_input_output(magnitudes, masks, spark.createDataFrame([(k, 2) for k in range(4)], "image_id long, n_cycles int"))[0].collect()}
+    assert found.keys() == {0, 1, 2, 3} and found[0].cycles == 2
+    assert all(found[k]["values"] is None and found[k].cycles == 0 and not found[k].converged for k in (1, 2, 3))
+
+
+def test_frames_are_dealt_by_cost(spark):
+    from lumengrid.plans.deal import dealt
+
+    rows = spark.range(0, 4000, 1, 5).select("id", F.when(F.col("id") % 50 == 0, 1000.0).when(F.col("id") < 1500, F.col("id") / 10 + 1).otherwise(1.0).alias("cost"))
+    out = dealt(rows, F.col("cost"), 16).groupBy(F.spark_partition_id().alias("p")).agg(F.sum("cost").alias("cost"), F.count("*").alias("n")).collect()
+    costs = [r.cost for r in out]
+    assert len(out) == 16 and sum(r.n for r in out) == 4000 and max(costs) < 1.5 * sum(costs) / 16
