@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumengrid import iterative_sql
 from lumengrid.functions import arrays as A
-from lumengrid.operators import generate, layout, ordered, retrieve, smooth, spectral
+from lumengrid.operators import generate, large, layout, ordered, retrieve, smooth, spectral, tiles
 from lumengrid.plans import jobs
 from lumengrid.plans.checkpoint import shared_dir
 from lumengrid.sources import frames as io
@@ -415,6 +415,38 @@ def random_phase_init(spark, sf_dir):
     return _complex_pixels(spectral.random_phase(spectral.diffraction_magnitude(frames(spark, sf_dir))))
 
 
+# The same on tiles, as for frames that don't fit in a row
+
+
+def _tiled(df: DataFrame, size: int = 3) -> DataFrame:
+    return tiles.split(df, tiles.grid(size, size))
+
+
+@query(f"WITH {K8}, {_dft('px', 'f', -1, 'v', '0')} {_COMPLEX} f")
+def dft2_tiles(spark, sf_dir):
+    """Tiles of 3 by 3 cells, dealt to bands of two rows, then of two columns."""
+    out = tiles.to_pixels(tiles.dft2(_tiled(frames(spark, sf_dir)), cells=16), "re", "im")
+    return out.select("image_id", "iy", "ix", r("re", "re"), r("im", "im"))
+
+
+@query(f"WITH {K8}, {MAG}, {_dft('mg', 'g', 1, 'v', '0')} {_COMPLEX} g")
+def autocorrelation_guess_tiles(spark, sf_dir):
+    """Magnitudes in bands of two columns, and their transform back in bands of two rows."""
+    out = tiles.to_pixels(tiles.autocorrelation_guess(tiles.diffraction_magnitude(_tiled(frames(spark, sf_dir)), 16), 16), "re", "im")
+    return out.select("image_id", "iy", "ix", r("re", "re"), r("im", "im"))
+
+
+@query(f"WITH {PX}, {KERNEL}, h AS ({_blurred('ix', 'px')}) {_ROUNDED} ({_blurred('iy', 'h')})")
+def blur_tiles(spark, sf_dir):
+    """Tiles of 3 by 3 cells, less than the kernel's reach to each side."""
+    return tiles.to_pixels(tiles.blur(_tiled(frames(spark, sf_dir)), SIGMA)).select("image_id", "iy", "ix", r("v", "v"))
+
+
+@query(f"WITH {PX}, {KERNEL}, h AS ({_blurred('ix', 'px', True)}) {_ROUNDED} ({_blurred('iy', 'h', True)})")
+def blur_periodic_tiles(spark, sf_dir):
+    return tiles.to_pixels(tiles.blur(_tiled(frames(spark, sf_dir)), SIGMA, periodic=True)).select("image_id", "iy", "ix", r("v", "v"))
+
+
 # Iterative jobs
 
 _NORM = "no AS (SELECT image_id, iy, ix, abs(v) AS v FROM px)"
@@ -555,6 +587,14 @@ def iteration_trace_few_cycles(spark, sf_dir):
     return trace.select("image_id", "cycle", "sigma", r("threshold", "threshold"), "n_masked", r("total_error", "total_error"), r("error", "error"), "converged")
 
 
+@query(_OBJECTS)
+def shrink_wrap_tiles_few_cycles(spark, sf_dir):
+    """Objects in bands of two rows, magnitudes in bands of two columns."""
+    found, _ = large.shrink_wrap(_tiled(_magnitudes(spark, sf_dir), 4), _few(spark, sf_dir), cells=16)
+    cells = tiles.to_pixels(found).select("image_id", "iy", "ix", r("v", "v"))
+    return cells.join(found.where("y0 = 0").select("image_id", "cycles", r("error", "error"), "converged"), "image_id")
+
+
 @query(_OBJECTS)
 def run_batch(spark, sf_dir):
     """Batch retrieval into a folder, read back from there."""
