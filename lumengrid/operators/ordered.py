@@ -6,11 +6,17 @@ No step gathers a whole series in one task: rows are numbered by ranges, and win
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumengrid.functions import arrays as A
+from lumengrid.operators.reduce import sorted_groups
+from lumengrid.operators.tiles import LONG_KERNEL
 from lumengrid.plans.checkpoint import materialise
 
 
@@ -50,25 +56,47 @@ def step_profile(rows: DataFrame) -> DataFrame:
     return step.groupBy("series_id").agg(F.max("step").alias("max_step"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("total_variation"))
 
 
-def blur_series(rows: DataFrame, sigma: float) -> DataFrame:
-    """(series_id, pos, v) smoothed with extended borders.
+def convolve_series(rows: DataFrame, weights: list[float]) -> DataFrame:
+    """(series_id, pos, v): weighted sums with an odd kernel of any length, borders extended.
 
-    Weighted lags and leads in windows over chunks with their border rows; beyond an end of the series the
-    first or last value counts. A kernel must not be longer than a chunk.
+    Chunks of at least twice the kernel's reach get the rows around them, so that rows are sent twice at most, and
+    are convolved in Arrow batches: directly for short kernels, for long ones by transforms of the chunk (the
+    overlapping margins are thrown away), whose cost hardly depends on the kernel. A sum over a NULL is NULL.
     """
-    weights = A.gaussian_weights(sigma)
     half = len(weights) // 2
-    if half > CHUNK:
-        raise ValueError("the kernel is longer than a chunk")
-    w = Window.partitionBy("series_id", "__chunk").orderBy("pos")
-    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = _chunks(rows, half, half).withColumn("__first", F.first("v").over(ends)).withColumn("__last", F.last("v").over(ends))
-    total = F.lit(0.0)
-    for k, weight in zip(range(-half, half + 1), weights, strict=True):
-        beyond = F.col("__last") if k > 0 else F.col("__first")
-        near = F.col("v") if k == 0 else F.when((F.lead if k > 0 else F.lag)("pos", abs(k)).over(w).isNull(), beyond).otherwise((F.lead if k > 0 else F.lag)("v", abs(k)).over(w))
-        total = total + near * weight
-    return rows.select("series_id", "pos", "__own", total.alias("v")).where("__own").drop("__own")
+    size = max(CHUNK, 2 * half)
+    kernel = np.array(weights)
+    to = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - half) / size)), F.floor((F.col("pos") + half) / size))
+    dealt = rows.select("series_id", "pos", "v", F.explode(to).alias("chunk"))
+    dealt = dealt.repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "pos")
+    schema = T.StructType([rows.schema[n] for n in ("series_id", "pos", "v")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, chunk), part in sorted_groups(batches, ["series_id", "chunk"]):
+            part = part.combine_chunks()
+            pos = part.column("pos").to_numpy()
+            own = (pos >= chunk * size) & (pos < (chunk + 1) * size)
+            if not own.any():
+                continue
+            v = part.column("v").to_numpy()
+            first, last = pos[own][0], pos[own][-1]
+            v = np.pad(v, (half - int(first - pos[0]), half - int(pos[-1] - last)), mode="edge")
+            missing = np.pad(part.column("v").is_null().to_numpy(), (half - int(first - pos[0]), half - int(pos[-1] - last)), mode="edge")
+            if len(kernel) > LONG_KERNEL and np.isfinite(v).all():
+                n = 1 << (len(v) - 1).bit_length()
+                found = np.fft.irfft(np.fft.rfft(v, n) * np.fft.rfft(kernel[::-1], n), n)[2 * half : len(v)]
+            else:
+                found = np.convolve(v, kernel[::-1], "valid")
+            hidden = np.convolve(missing, np.ones(len(kernel)), "valid") > 0.5 if missing.any() else np.zeros(len(found), bool)
+            kept = part.filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([kept.column("series_id").combine_chunks(), kept.column("pos").combine_chunks(), pa.array(found, mask=hidden)], names=schema.names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def blur_series(rows: DataFrame, sigma: float) -> DataFrame:
+    """(series_id, pos, v) smoothed with a Gaussian of any width and extended borders."""
+    return convolve_series(rows, A.gaussian_weights(sigma))
 
 
 def log_spaced(start: int, end: int, n: int) -> list[int]:
@@ -87,10 +115,20 @@ def log_spaced(start: int, end: int, n: int) -> list[int]:
 def prefix_profile(rows: DataFrame, points: list[int]) -> DataFrame:
     """(series_id, n, max, min, sum) over the first n elements, for each n of `points` that the series has.
 
-    One aggregation with a condition for each point, combined before the shuffle.
+    In two levels: sums of chunks, added up before each chunk, and running sums within those chunks that a point lies
+    in. Any number of points costs the same, but for their rows in the result.
     """
+    spark = rows.sparkSession
+    asked = spark.createDataFrame([(n,) for n in sorted(set(points))], "n int").select("n", F.floor((F.col("n") - 1) / CHUNK).alias("chunk"))
     number = F.when(~F.isnan("v"), F.col("v"))
-    first = lambda n, x: F.when(F.col("pos") < n, x)
-    of = lambda n: F.struct(F.lit(n).alias("n"), F.max(first(n, number)).alias("max"), F.min(first(n, number)).alias("min"), F.sum(first(n, F.col("v"))).alias("sum"))
-    found = rows.groupBy("series_id").agg(F.count("*").alias("__size"), F.array(*map(of, points)).alias("__all"))
-    return found.select("series_id", F.explode(F.filter("__all", lambda x: x["n"] <= F.col("__size"))).alias("__one")).select("series_id", "__one.*")
+    rows = rows.select("series_id", "pos", "v", number.alias("x"), F.floor(F.col("pos") / CHUNK).alias("chunk"))
+    sums = rows.groupBy("series_id", "chunk").agg(F.max("x").alias("max"), F.min("x").alias("min"), F.sum("v").alias("sum"))
+    earlier = Window.partitionBy("series_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("series_id").alias("__id"), F.col("chunk").alias("__chunk"), *[f("%s" % n).over(earlier).alias(f"__{n}") for n, f in (("max", F.max), ("min", F.min), ("sum", F.sum))])
+    inside = rows.join(asked.select("chunk").distinct(), "chunk", "left_semi")
+    running = Window.partitionBy("series_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.select("series_id", "chunk", (F.col("pos") + 1).alias("n"), F.max("x").over(running).alias("max"), F.min("x").over(running).alias("min"), F.sum("v").over(running).alias("sum"))
+    found = inside.join(asked.select("n"), "n")
+    found = found.join(before, F.col("series_id").eqNullSafe(F.col("__id")) & (F.col("chunk") == F.col("__chunk")))
+    total = F.when(F.col("__sum").isNull(), F.col("sum")).when(F.col("sum").isNull(), F.col("__sum")).otherwise(F.col("__sum") + F.col("sum"))
+    return found.select("series_id", F.col("n").cast("int").alias("n"), F.greatest("max", "__max").alias("max"), F.least("min", "__min").alias("min"), total.alias("sum"))

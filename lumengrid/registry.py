@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumengrid import iterative_sql
 from lumengrid.functions import arrays as A
-from lumengrid.operators import generate, large, layout, ordered, retrieve, smooth, spectral, tiles
+from lumengrid.operators import generate, large, layout, ordered, reduce, retrieve, smooth, spectral, tiles
 from lumengrid.plans import jobs
 from lumengrid.plans.checkpoint import shared_dir
 from lumengrid.sources import frames as io
@@ -262,6 +262,37 @@ def series_prefix_profile(spark, sf_dir):
     return ordered.prefix_profile(series(spark, sf_dir), POINTS).select("series_id", "n", "max", "min", r("sum", "sum"))
 
 
+@query("SELECT user_id AS series_id, count(*) AS n, round(avg(value), 9) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS stddev, max(value) AS largest FROM events GROUP BY user_id")
+def series_reduce_with(spark, sf_dir):
+    """A user's own reduction over all events of each user."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("series_id"), "value")
+    out = reduce.reduce_by_key(events, "series_id", ["value"], reduce.MOMENTS, "n long, mean double, stddev double, largest double, final double")
+    return out.select("series_id", "n", (F.round("mean", 9) + F.lit(0.0)).alias("mean"), r("stddev", "stddev"), "largest")
+
+
+@query(
+    f"WITH {SERIES}, ru AS (SELECT series_id, pos + 1 AS n, avg(v) OVER w AS mean, stddev_samp(v) OVER w AS stddev, max(v) OVER w AS largest, v AS final FROM se WINDOW w AS (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) "
+    f"SELECT series_id, n::BIGINT AS n, round(mean, 9) + 0.0 AS mean, round(stddev, 6) + 0.0 AS stddev, largest, final FROM ru WHERE n IN ({', '.join(map(str, POINTS))})"
+)
+def series_prefix_reduce_with(spark, sf_dir):
+    """A user's own reduction over the beginnings of each user's events."""
+    out = reduce.reduce_prefixes(series(spark, sf_dir), POINTS, reduce.MOMENTS, "size long, mean double, stddev double, largest double, final double")
+    return out.select("series_id", "n", (F.round("mean", 9) + F.lit(0.0)).alias("mean"), r("stddev", "stddev"), "largest", "final")
+
+
+WIDE = 25.0
+
+
+@query(
+    f"WITH {SERIES}, w AS (SELECT k::INT AS k, exp(-(k * k) / (2 * {WIDE}::DOUBLE * {WIDE}::DOUBLE)) AS w FROM (SELECT unnest(range(-72, 73)) AS k)), ker AS MATERIALIZED (SELECT k, w / sum(w) OVER () AS w FROM w), "
+    "n AS (SELECT series_id, max(pos) AS last FROM se GROUP BY series_id) "
+    "SELECT a.series_id, a.pos, round(sum(k.w * b.v), 6) + 0.0 AS v FROM se a JOIN n USING (series_id) CROSS JOIN ker k JOIN se b ON b.series_id = a.series_id AND b.pos = greatest(0, least(n.last, a.pos + k.k)) GROUP BY a.series_id, a.pos"
+)
+def series_gaussian_blur_wide(spark, sf_dir):
+    """A kernel of 145 weights, by transforms of chunks."""
+    return ordered.blur_series(series(spark, sf_dir), WIDE).select("series_id", "pos", r("v", "v"))
+
+
 # Smoothing
 
 

@@ -1,11 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumengrid.functions import arrays as A
-from lumengrid.operators import layout, ordered, smooth
+from lumengrid.operators import layout, ordered, reduce, smooth
 
 NAN = float("nan")
 
@@ -139,5 +140,55 @@ def test_long_series_in_ranges_and_chunks(spark, monkeypatch):
     for r in ordered.prefix_profile(s, [1, 2, 50, 200, 201]).collect():
         v = wanted[r.series_id][: r.n]
         assert len(v) == r.n and (r.max, r.min) == (max(v), min(v)) and r.sum == pytest.approx(sum(v))
-    with pytest.raises(ValueError, match="chunk"):
-        ordered.blur_series(s, 9.0)
+    for sigma in (9.0, 60.0):
+        weights = A.gaussian_weights(sigma)
+        half = len(weights) // 2
+        for r in ordered.blur_series(s, sigma).collect():
+            v = wanted[r.series_id]
+            assert r.v == pytest.approx(sum(w * v[max(0, min(len(v) - 1, r.pos + k - half))] for k, w in enumerate(weights)))
+
+
+def test_series_with_missing_values(spark):
+    v = [1.0, None, 3.0, float("nan"), 5.0] + [2.0] * 100
+    s = spark.createDataFrame([(0, k, x) for k, x in enumerate(v)], "series_id long, pos int, v double")
+    for n in (3, 81):
+        found = {r.pos: r.v for r in ordered.convolve_series(s, [1.0 / n] * n).collect()}
+        near = lambda k, i: max(0, k - n // 2) <= i <= k + n // 2  # noqa: B023, E731
+        assert all((found[k] is None) == near(k, 1) for k in range(105))
+        assert all(math.isnan(found[k]) for k in range(105) if near(k, 3) and not near(k, 1)) and found[104] == pytest.approx(2.0)
+    rows = {r.n: r for r in ordered.prefix_profile(s, [1, 2, 4, 5, 105]).collect()}
+    assert (rows[2].max, rows[2].sum, rows[4].max, rows[5].max) == (1.0, 1.0, 3.0, 5.0) and math.isnan(rows[5].sum)
+
+
+RETURNS = "n long, mean double, stddev double, largest double, final double"
+
+
+def test_reductions_of_a_users_own(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "FAN", 2)
+    rng = random.Random(12)
+    rows = [("hot" if k % 3 == 0 else None if k % 50 == 1 else f"k{k % 40}", rng.uniform(-1, 1)) for k in range(5000)] + [("one", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(9)
+    found = {r.k: r for r in reduce.reduce_by_key(df, "k", ["v"], reduce.MOMENTS, RETURNS).collect()}
+    assert found.keys() == {k for k, _ in rows}
+    for k, r in found.items():
+        v = [x for key, x in rows if key == k]
+        assert r["n"] == len(v) and r["mean"] == pytest.approx(np.mean(v)) and r["largest"] == max(v)
+        assert r["stddev"] == (pytest.approx(np.std(v, ddof=1)) if len(v) > 1 else None)
+    assert reduce.reduce_by_key(df.limit(0), "k", ["v"], reduce.MOMENTS, RETURNS).count() == 0
+    listed = reduce.Reduction(list, lambda s, k, v: s + [(a, b) for a, b in zip(k, v, strict=True)], lambda a, b: a + b, lambda s: len({a for a, _ in s}))
+    few = reduce.reduce_by_key(df.withColumn("same", F.lit(1)), "same", ["k", "v"], listed, "distinct long").first()
+    assert few.distinct == len({k for k, _ in rows})
+
+
+def test_prefixes_of_a_users_own(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "CHUNK", 7)
+    rng = random.Random(13)
+    data = {"hot": [rng.uniform(-1, 1) for _ in range(300)], None: [1.0, 2.0, 3.0], "seven": [float(k) for k in range(7)], "one": [5.0]}
+    rows = [(key, k, x) for key, v in data.items() for k, x in enumerate(v)]
+    s = spark.createDataFrame(rows, "series_id string, pos int, v double").repartition(5)
+    points = [1, 2, 3, 7, 8, 14, 21, 22, 150, 300, 301, *range(40, 60)]
+    found = {(r.series_id, r.n): r for r in reduce.reduce_prefixes(s, points, reduce.MOMENTS, RETURNS.replace("n long", "size long")).collect()}
+    assert found.keys() == {(key, n) for key, v in data.items() for n in points if n <= len(v)}
+    for (key, n), r in found.items():
+        v = data[key][:n]
+        assert r["size"] == n and r["mean"] == pytest.approx(np.mean(v)) and r["final"] == v[-1] and r["largest"] == max(v)
