@@ -18,6 +18,7 @@ from lumengrid.operators import generate, large, layout, ordered, reduce, retrie
 from lumengrid.plans import jobs
 from lumengrid.plans.checkpoint import shared_dir
 from lumengrid.sources import frames as io
+from lumengrid.streaming import keyed
 from lumengrid.streaming.jobs import run_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -643,6 +644,17 @@ def run_stream_once(spark, sf_dir):
     return _cells(io.read_frames(spark, f"{path}/out"))
 
 
+@query(_OBJECTS)
+def run_stream_keyed(spark, sf_dir):
+    """The same with each frame's state in the state store: a cycle a trigger, until no frame is in flight."""
+    path = _folder(spark)
+    io.write_frames(_magnitudes(spark, sf_dir).select("image_id", "height", "width", "values").repartition(4), f"{path}/in")
+    stream = keyed.run_stream_keyed(spark, f"{path}/in", io.read_frames(spark, f"{path}/in").schema, f"{path}/out", f"{path}/checkpoint", _few(spark, sf_dir), files=2, cycles_a_trigger=1)
+    if not keyed.drain(stream):
+        raise RuntimeError("frames are still in flight")
+    return _cells(io.read_frames(spark, f"{path}/out"))
+
+
 _STEPS_TAKEN = "pa AS (SELECT vec_id AS image_id, 1 + vec_id % 3 AS n_cycles, CASE WHEN vec_id % 5 = 0 THEN 0.3::DOUBLE ELSE 1e-5::DOUBLE END AS target FROM embeddings)"
 
 
