@@ -17,6 +17,7 @@ from lumengrid.functions import arrays as A
 from lumengrid.operators import generate, large, layout, ordered, reduce, retrieve, smooth, spectral, tiles
 from lumengrid.plans import jobs
 from lumengrid.plans.checkpoint import shared_dir
+from lumengrid.sources import committed
 from lumengrid.sources import frames as io
 from lumengrid.streaming import keyed
 from lumengrid.streaming.jobs import run_stream
@@ -705,6 +706,15 @@ def sink_callback(spark, sf_dir):
     return spark.range(1).select(F.lit(seen.value).cast("long").alias("n_frames"), F.lit(cells.value).cast("long").alias("n_cells"))
 
 
+@query(f"WITH {PX} SELECT image_id, count(*) AS n_cells, round(sum(v), 6) + 0.0 AS total FROM px GROUP BY image_id")
+def sink_committed(spark, sf_dir):
+    """Frames given to a function in tasks, of which each one's result counts once."""
+    path = _folder(spark)
+    made = committed.FolderReceiver(path, lambda row: {"image_id": row["image_id"], "n_cells": len(row["values"]), "total": sum(row["values"])})
+    committed.sink_committed(frames(spark, sf_dir), made)
+    return spark.read.schema("image_id long, n_cells long, total double").parquet(path).select("image_id", "n_cells", r("total", "total"))
+
+
 @query("SELECT count(*) AS n_frames, sum(len(embedding))::BIGINT AS n_cells FROM embeddings WHERE len(embedding) = 64")
 def sink_discard(spark, sf_dir):
     """Frames computed whole and thrown away, observed on their way."""
