@@ -5,7 +5,8 @@ that were met in it. The logarithm of the blocks' text-to-tag ratio is smoothed
 threshold between its two clusters (two means in one dimension) selects the content regions, on every
 page. Structure guides it by bounded factors on the smoothed ratio: FOR for blocks in an article or main
 element, 1 / AGAINST for those in navigation, page headers, footers, asides, forms and containers named
-as adverts, notices or comments. Blocks of one container (a division, section, cell or the body) are a region:
+as adverts, notices or comments, articles and sections in them included. A form or a container with such a name that
+holds the page's content isn't boilerplate, and one that lacks its end tag ends where content begins. Blocks of one container (a division, section, cell or the body) are a region:
 where most of its text is selected all its blocks are, so that short paragraphs and headings stay, but
 for those that the factor against boilerplate puts in the lower cluster.
 
@@ -61,16 +62,39 @@ def _named(value: str) -> tuple[bool, bool]:
     return boilerplate, header
 
 
+class Suspect:
+    """An element that its tag or name calls boilerplate: its text, content elements in it, how it ended."""
+
+    __slots__ = ("outer", "sure", "size", "contents", "holds", "ended", "unclosed", "until")
+
+    def __init__(self, outer: Suspect | None, sure: bool):
+        self.outer, self.sure = outer, sure
+        self.size = self.contents = 0
+        self.ended: int | None = None  # blocks before the first content after its start
+        self.holds = self.unclosed = False
+        self.until = 0
+
+
 class Blocks(HTMLParser):
-    """Collects blocks: (text, tags, in content element, in boilerplate, number of the container)."""
+    """Collects blocks: (text, tags, in content element, in boilerplate, number of the container).
+
+    What is boilerplate is known at the end of the page only: `finish` judges the elements that a tag or name calls so.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.named: Counter = Counter()  # open elements by name
+        self.inline: list[Counter] = [Counter()]  # open elements that are no blocks, since each open block
         self.containers = [0]  # numbers of the open containers
         self.seen = 0
         self.open: list[tuple[str, str]] = []  # element and what it adds: "", "hidden", "boilerplate" or "content"
         self.count = {"": 0, "hidden": 0, "boilerplate": 0, "content": 0}
+        self.suspects: list[Suspect] = []  # open elements that are called boilerplate
+        self.contents = 0  # content elements so far
+        self.size = 0  # characters of all text
+        self.evidence: set[str] = set()  # whether a main element, and an article or heading have been seen
+        self.closed: list[Suspect] = []  # suspects in the order of their start
+        self.found: list[tuple[str, int, bool, Suspect | None, int]] = []
         self.blocks: list[tuple[str, int, bool, bool, int]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -78,10 +102,33 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            self.blocks.append((text, self.tags, self.count["content"] > 0, self.count["boilerplate"] > 0, self.containers[-1]))
+            self.found.append((text, self.tags, self.count["content"] > 0, self.suspects[-1] if self.suspects else None, self.containers[-1]))
             self.tags = 0
+            self.size += len(text)
+            if self.suspects:
+                self.suspects[-1].size += len(text)
         self.parts = []
 
+    def finish(self) -> None:
+        """Judge what is called boilerplate.
+
+        An element that was never closed ends where the content after it begins. One that holds the page's content
+        can't be boilerplate by a name or as a form: a third of the text with the first main element, or the first
+        article or heading, or four fifths of the text where no content element lies outside of it.
+        """
+        self.flush()
+        while self.open:
+            self.pop()
+        for s in self.closed:
+            if s.unclosed and s.ended is not None:
+                s.until = s.ended
+            elif s.sure or not (s.size * 3 >= self.size and s.holds or s.size * 5 >= self.size * 4 and s.contents == self.contents):
+                s.until = len(self.found)
+            if s.outer:
+                s.until = max(s.until, s.outer.until)
+        for at, (text, tags, content, suspect, container) in enumerate(self.found):
+            self.blocks.append((text, tags, content, suspect is not None and at < suspect.until, container))
+
     def kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
         if tag in HIDDEN:
             return "hidden"
@@ -110,18 +157,36 @@ class Blocks(HTMLParser):
         self.leave_head(tag)
         if tag in BLOCKS:
             self.flush()
-            if tag in ("article", "main") and not self.count["content"]:
-                while self.count["boilerplate"]:  # left open before the content
-                    self.pop()
-            elif tag in ENDED:
+            if tag in ENDED:
                 self.imply(tag)
         elif tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
             kind = self.kind(tag, attrs)
+            if kind == "content":
+                if not self.count["content"]:
+                    for suspect in reversed(self.suspects):
+                        if suspect.ended is not None:
+                            break
+                        suspect.ended = len(self.found)
+                self.contents += 1
+                if self.suspects:
+                    self.suspects[-1].contents += 1
+            proof = "main" if tag == "main" else "article" if tag in ("article", "h1") and not self.named["header"] else ""
+            if proof and proof not in self.evidence:
+                self.evidence.add(proof)
+                for suspect in self.suspects:
+                    suspect.holds = True
             self.open.append((tag, kind))
             self.count[kind] += 1
             self.named[tag] += 1
+            if kind == "boilerplate":
+                self.suspects.append(Suspect(self.suspects[-1] if self.suspects else None, tag in BOILERPLATE and tag != "form" or tag == "header"))
+                self.closed.append(self.suspects[-1])
+            if tag in BLOCKS:
+                self.inline.append(Counter())
+            else:
+                self.inline[-1][tag] += 1
             if tag in CONTAINERS:
                 self.seen += 1
                 self.containers.append(self.seen)
@@ -135,7 +200,7 @@ class Blocks(HTMLParser):
             at -= 1
         if at >= 0 and self.open[at][0] == "head" and (tag or at == len(self.open) - 1):
             while len(self.open) > at:
-                self.pop()
+                self.pop(closed=True)
 
     def imply(self, tag: str) -> None:
         """Close what the start tag ends, as far as the nearest block around it."""
@@ -146,7 +211,7 @@ class Blocks(HTMLParser):
             name = self.open[at][0]
             if name in ended:
                 while len(self.open) > at:
-                    self.pop()
+                    self.pop(closed=len(self.open) == at + 1)
                 if tag != "tr":
                     return
             elif name in BLOCKS and name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
@@ -160,10 +225,20 @@ class Blocks(HTMLParser):
             if tag in ("svg", "math", "iframe"):
                 self.handle_endtag(tag)
 
-    def pop(self) -> None:
+    def pop(self, closed: bool = False) -> None:
         tag, kind = self.open.pop()
         self.count[kind] -= 1
         self.named[tag] -= 1
+        if kind == "boilerplate":
+            suspect = self.suspects.pop()
+            suspect.unclosed = not closed
+            if self.suspects:
+                self.suspects[-1].size += suspect.size
+                self.suspects[-1].contents += suspect.contents
+        if tag in BLOCKS:
+            self.inline.pop()
+        else:
+            self.inline[-1][tag] -= 1
         if tag in CONTAINERS:
             self.containers.pop()
 
@@ -171,15 +246,11 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        if not self.named[tag]:
-            return
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                while len(self.open) > at:
-                    self.pop()
-                return
-            if tag not in BLOCKS and self.open[at][0] in BLOCKS:
-                return  # an inline end tag doesn't close blocks
+        if not (self.named[tag] if tag in BLOCKS else self.inline[-1][tag]):
+            return  # an inline end tag doesn't close blocks
+        while self.open[-1][0] != tag:
+            self.pop()
+        self.pop(closed=True)
 
     def handle_data(self, data: str) -> None:
         if self.count["hidden"] and data.strip():
@@ -215,29 +286,36 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None) -> str:
-    parser = Blocks()
+def parse(html: str | None) -> Blocks:
+    """The blocks of a page. A tag that never ends is text, a comment that never ends hides the rest."""
     html = html or ""
-    parser.feed(html)
+    end = html.rfind(">") + 1
+    rest = html[end:].split("<!--", 1)[0].replace("<", "&lt;")
+    parser = Blocks()
+    parser.feed(html[:end] + rest)
     if parser.rawdata.startswith("<!--"):  # what the parser waits for is the end of a comment, which never comes
         parser.rawdata = ""
     parser.close()
-    parser.flush()
-    chosen = regions(parser.blocks)
-    return "\n\n".join(text for (text, *_), keep in zip(parser.blocks, chosen, strict=True) if keep)
+    parser.finish()
+    return parser
+
+
+def main_text(html: str | None) -> str:
+    blocks = parse(html).blocks
+    return "\n\n".join(text for (text, *_), keep in zip(blocks, regions(blocks), strict=True) if keep)
 
 
 def regions(blocks: list[tuple[str, int, bool, bool, int]], sigma: float = 1.0) -> list[bool]:
     """Which blocks are content.
 
     A block is selected if its smoothed log ratio, with the weight of its structure, reaches the clusters'
-    threshold. A boilerplate block without text and a paragraph of prose count as one block each, so that a
+    threshold. A block of one character a tag and a paragraph of prose count as one block each, so that a
     page of only one kind of blocks has two clusters too. Then whole regions are taken.
     """
     smoothed = smooth([math.log(len(text) / max(1, tags)) for text, tags, *_ in blocks], sigma)
     weights = [-math.log(AGAINST) if boilerplate else math.log(FOR) if content else 0.0 for _, _, content, boilerplate, _ in blocks]
     scores = [s + w for s, w in zip(smoothed, weights, strict=True)]
-    cut = threshold([-math.log(AGAINST), *scores, math.log(PROSE)])
+    cut = threshold([0.0, *scores, math.log(PROSE)])
     chosen = [score >= cut for score in scores]
     found: Counter = Counter()
     for (text, _, _, boilerplate, container), keep in zip(blocks, chosen, strict=True):

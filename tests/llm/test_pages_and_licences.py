@@ -73,11 +73,8 @@ def test_pages_of_the_tables(spark, sf_dir):
 
 
 def chosen_blocks(page, **options):
-    parser = htmltext.Blocks()
-    parser.feed(page)
-    parser.close()
-    parser.flush()
-    return [b[0] for b, keep in zip(parser.blocks, htmltext.regions(parser.blocks, **options), strict=True) if keep]
+    blocks = htmltext.parse(page).blocks
+    return [b[0] for b, keep in zip(blocks, htmltext.regions(blocks, **options), strict=True) if keep]
 
 
 def test_ratios_find_the_article_without_its_tag(spark, sf_dir):
@@ -90,6 +87,55 @@ def test_ratios_find_the_article_without_its_tag(spark, sf_dir):
     assert right >= 0.98 * wanted and right >= 0.98 * found and exact >= 0.9 * len(rows)
 
 
+COMMENTS = '<div id="comments"><ol>' + "".join(
+    f'<li class="comment"><article class="comment-body"><footer>by x</footer><div class="comment-content"><p>What I as a reader think about it, number {k}, is long enough to look like prose in every way.</p></div></article></li>' for k in range(6)
+) + "</ol></div>"
+TEASER = "<aside><article><h2>Teaser</h2><p>A teaser that is long enough to look like prose, with some more words to read on.</p></article></aside>"
+
+
+def in_body(page, before, after):
+    return re.sub(r"(<body[^>]*>)", lambda m: m[1] + before, page, count=1).replace("</body>", after + "</body>")
+
+
+def as_div(page):
+    return page.replace("<article", "<div").replace("</article", "</div")
+
+
+CHANGES = {
+    "comments in articles": lambda h: h.replace("</article>", "</article>" + COMMENTS, 1),
+    "teaser after": lambda h: h.replace("</article>", "</article>" + TEASER, 1),
+    "teaser before": lambda h: h.replace("<article>", TEASER + "<article>", 1),
+    "form around": lambda h: in_body(h, "<form id=aspnetForm>", "</form>"),
+    "form around, no article": lambda h: as_div(in_body(h, "<form id=aspnetForm>", "</form>")),
+    "sidebar wrap, no article": lambda h: as_div(in_body(h, '<div class="content-sidebar-wrap">', "</div>")),
+    "comments enabled": lambda h: in_body(h, '<div class="comments-enabled">', "</div>"),
+    "ad free": lambda h: in_body(h, '<div class="page ad-free">', "</div>"),
+    "tagged article": lambda h: h.replace("<article>", '<article class="entry tag-legal">'),
+}
+
+
+@pytest.mark.parametrize("change", CHANGES)
+def test_pages_keep_their_article_and_only_that(spark, sf_dir, change):
+    for r in table(spark, sf_dir, "pages", "html").collect():
+        assert htmltext.main_text(CHANGES[change](r.html)) == htmltext.main_text(r.html)
+
+
+def test_pages_without_names_or_structure(spark, sf_dir):
+    found = wanted = right = 0
+    for r in table(spark, sf_dir, "pages", "html").collect():
+        bare = re.sub(r"<(/?)(article|nav|aside|footer|header|main|form|section)\b", r"<\1div", re.sub(r' (class|id)="[^"]*"', "", r.html))
+        a, b = (collections.Counter(htmltext.main_text(h).split("\n\n")) for h in (r.html, bare))
+        wanted, found, right = wanted + a.total(), found + b.total(), right + (a & b).total()
+    assert right >= 0.95 * wanted and right >= 0.85 * found
+
+
+@pytest.mark.parametrize("page", ["<i><p>" + "<b>" * 40_000 + "</i>" * 40_000, "<a " * 40_000, "<form>x" * 40_000, "<form>" * 40_000 + "<article>x" * 40_000, "<div class=ad><article>x</div>" * 40_000, "<" * 300_000])
+def test_hostile_pages_take_no_squares(page):
+    began = time.time()
+    htmltext.main_text(page)
+    assert time.time() - began < 8
+
+
 def test_smoothing_matters(spark, sf_dir):
     rows = [r.html.replace("<article", "<div").replace("</article", "</div") for r in table(spark, sf_dir, "pages", "html").collect()]
     assert any(chosen_blocks(h) != chosen_blocks(h, sigma=0.01) for h in rows)
