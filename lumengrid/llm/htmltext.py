@@ -46,8 +46,10 @@ HEAD = frozenset("html head base basefont bgsound link meta title noscript nofra
 #: Open elements that a start tag ends.
 ENDED = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
 _SPLIT = re.compile(r"[^a-z0-9]+")
-#: Factors by which an article or main element raises a block's ratio and boilerplate lowers it, and the ratio of prose.
-FOR, AGAINST, PROSE = 32, 256, 40
+#: Factors by which an article or main element raises a block's ratio and boilerplate lowers it.
+FOR, AGAINST = 32, 256
+#: Characters a tag of plain boilerplate and of prose.
+BARE, PROSE = 1, 40
 
 
 @lru_cache(maxsize=4096)
@@ -309,14 +311,17 @@ def regions(blocks: list[tuple[str, int, bool, bool, int]], sigma: float = 1.0)
     """Which blocks are content.
 
     A block is selected if its smoothed log ratio, with the weight of its structure, reaches the clusters'
-    threshold. A block of one character a tag and a paragraph of prose count as one block each, so that a
-    page of only one kind of blocks has two clusters too. Then whole regions are taken.
+    threshold. A block of a character a tag and a paragraph of prose count as one block each, so that a page of only one
+    kind of blocks has two clusters too. Then whole regions are taken. Where no block is selected, as on a page of a
+    few words, all that isn't boilerplate is.
     """
     smoothed = smooth([math.log(len(text) / max(1, tags)) for text, tags, *_ in blocks], sigma)
     weights = [-math.log(AGAINST) if boilerplate else math.log(FOR) if content else 0.0 for _, _, content, boilerplate, _ in blocks]
     scores = [s + w for s, w in zip(smoothed, weights, strict=True)]
-    cut = threshold([0.0, *scores, math.log(PROSE)])
+    cut = threshold([math.log(BARE), *scores, math.log(PROSE)])
     chosen = [score >= cut for score in scores]
+    if not any(chosen):
+        return [not boilerplate for _, _, _, boilerplate, _ in blocks]
     found: Counter = Counter()
     for (text, _, _, boilerplate, container), keep in zip(blocks, chosen, strict=True):
         if keep or not boilerplate:
