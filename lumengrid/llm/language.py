@@ -2,15 +2,15 @@
 
 A known word is scored by its log frequency in each language. An unseen word falls back to the
 n-grams of the word between border marks, longest length first: the first length that has known
-n-grams scores it. No word counts more than `most` against a language, so that a few telling words don't
-outvote a text. An unseen run of letters longer than PIECE, as in text without spaces, is scored in
-pieces that hold each of its n-grams once, and each piece counts as a word. A text's language is that of
-the largest sum; the score is its share of the softmax of the mean per word, sharpened by the number of
-words up to `evidence`, since the words of one text aren't independent.
+n-grams scores it. A word is a letter (category L) and the letters and marks (M) after it. No word counts more
+than `most` against a language, so that a few telling words don't outvote a text. An unseen run of letters, as
+in text without spaces, counts as one word, and if it is longer than RUN letters as length / RUN words. A
+text's language is that of the largest sum; the score is its share of the softmax of the mean per word, sharpened
+by the number of words up to `evidence`, since the words of one text aren't independent.
 
 The tables are fitted on a bounded sample, taken by a hash of the id: about `per_language` documents of
-each language and `rows` in all, which bounds what is broadcast. They hold every word and n-gram that
-the sample has `least` times or more. Predictions read whole texts, very long ones in one go.
+each language, `rows` and `characters` in all, which bounds what is collected and broadcast. They hold every word
+and n-gram of the sample. Predictions read whole texts, very long ones in one go.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Training rows with a null text or
 language are skipped. Ties go to the smaller language by code point. Repeated rows count as often as
@@ -26,21 +26,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumengrid.llm.common import map_text
+from lumengrid.llm.common import join_checked, map_text, materialise
 
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
-#: The longest unseen word that is scored as one.
-PIECE = 60
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_ASCII = re.compile(r"[a-z]+")
+#: Letters of an unseen run that count as a word.
+RUN = 60
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    return (_ASCII if text.isascii() else _WORD).findall(text)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -48,25 +51,6 @@ def grams_of(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)] or [word]
 
 
-def pieces_of(word: str) -> list[str]:
-    """A long word between border marks in pieces, whose first character tells the last one (1) from others (0).
-
-    PIECE n-grams of each length begin in a piece, and in the last one all that are left.
-    """
-    word = f"<{word}>"
-    starts = range(0, len(word) - LENGTHS[0] + 1, PIECE)
-    return ["0" + word[i : i + PIECE + LENGTHS[0] - 1] for i in starts[:-1]] + ["1" + word[starts[-1] :]]
-
-
-def scored_grams(word: str, n: int) -> list[str]:
-    """The n-grams of a word or of a piece of one."""
-    if word[0] not in "01":
-        return grams_of(word, n)
-    part = word[1:] if word[0] == "1" else word[1 : PIECE + n]
-    part = part if n > 1 else part.strip("<>")
-    return [part[i : i + n] for i in range(len(part) - n + 1)]
-
-
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of words (n 0) and n-grams for each language, flushed whenever they grow large."""
     counts: dict[str, Counter] = {}
@@ -108,7 +92,7 @@ class Model:
         self.rows = {n: np.log((c + 0.5) / (c.sum(0) + 0.5 * len(c))) for n, c in counts.items()}
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """One row for each word or piece of a word."""
+        """One row for each word."""
         out = np.zeros((len(words), len(self.languages)))
         known = self.tables[0]
         at = [k for k, w in enumerate(words) if w in known]
@@ -117,7 +101,7 @@ class Model:
         for n in LENGTHS:
             get, rest, at, sizes, found = self.tables[n].get, [], [], [], []
             for k in left:
-                if grams := [i for g in scored_grams(words[k], n) if (i := get(g)) is not None]:
+                if grams := [i for g in grams_of(words[k], n) if (i := get(g)) is not None]:
                     at.append(k)
                     sizes.append(len(grams))
                     found += grams
@@ -131,66 +115,61 @@ class Model:
 
 
 class Predictor:
-    """A model in one task, with the scores of up to `cache_entries` words."""
+    """A model in one task, with the scores of up to `cache_entries` words of `cache_characters` in all."""
 
-    def __init__(self, model: Model, cache_entries: int = 150_000, most: float = 3.0, evidence: int = 20):
-        self.model, self.cache_entries, self.most, self.evidence = model, cache_entries, most, evidence
+    def __init__(self, model: Model, cache_entries: int = 150_000, most: float = 3.0, evidence: int = 20, cache_characters: int = 4_000_000):
+        self.model, self.cache_entries, self.cache_characters, self.most, self.evidence = model, cache_entries, cache_characters, most, evidence
         self.places: dict[str, int] = {}
+        self.held = 0
         self.rows = np.zeros((0, len(model.languages)))
+        self.weights = np.zeros(0)
 
     def learn(self, words: set[str]) -> None:
         """Put words into the cache, which starts anew if it gets too large."""
         new = list(words.difference(self.places))
-        if len(self.places) + len(new) > self.cache_entries:
-            self.places, self.rows, new = {}, self.rows[:0], list(words)
+        if len(self.places) + len(new) > self.cache_entries or self.held + sum(map(len, new)) > self.cache_characters:
+            self.places, self.rows, self.weights, self.held, new = {}, self.rows[:0], self.weights[:0], 0, list(words)
         if new:
             found = self.model.scores(new)
             found = np.maximum(found - found.max(1, keepdims=True), -self.most)
             self.places.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, found])
-
-    def parts(self, text: str) -> Counter:
-        """How often a text has each word, and each piece of the long ones that aren't known."""
-        counts = Counter(words_of(text))
-        for word in [w for w in counts if len(w) > PIECE and w not in self.model.tables[0]]:
-            n = counts.pop(word)
-            for piece in pieces_of(word):
-                counts[piece] += n
-        return counts
+            known = self.model.tables[0]
+            self.weights = np.concatenate([self.weights, [1.0 if w in known else max(1.0, len(w) / RUN) for w in new]])
+            self.held += sum(map(len, new))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        counted = [self.parts(t or "") for t in texts]
+        counted = [Counter(words_of(t or "")) for t in texts]
         self.learn(set().union(*counted))
         out = []
         for counts in counted:
             if not counts:
                 out.append((UNKNOWN, 0.0))
                 continue
-            rows = self.rows[np.fromiter(map(self.places.__getitem__, counts), np.int64, len(counts))]
-            n = counts.total()
-            total = np.fromiter(counts.values(), float, len(counts)) @ rows
+            at = np.fromiter(map(self.places.__getitem__, counts), np.int64, len(counts))
+            weights = np.fromiter(counts.values(), float, len(counts)) * self.weights[at]
+            n, total = weights.sum(), weights @ self.rows[at]
             best = int(np.argmax(total))
             odds = np.exp((total - total[best]) / n * min(n, self.evidence))
             out.append((self.model.languages[best], float(1 / odds.sum())))
         return out
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 2000, rows: int = 40_000, least: int = 2) -> Model:
-    """Fit on a hash sample of about `per_language` documents of each language (all, if it has no more), and `rows` in all."""
+def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 2000, rows: int = 40_000, characters: int = 200_000_000) -> Model:
+    """Fit on a hash sample of about `per_language` documents of each language (all, if it has no more), and `rows` and `characters` in all."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    shares = known.groupBy(F.col(lang).alias("lang")).count().collect()  # one row a language
-    if not shares:
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.xxhash64(F.col(id_column), F.lit("language")) / float(1 << 64) + 0.5).alias("draw"))
+    shares = materialise(known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")))
+    languages = shares.count()
+    if not languages:
         return Model([])
-    each = min(per_language, rows / len(shares))
-    rate = F.create_map(*[F.lit(x) for r in shares for x in (r["lang"], each / r["count"])])
-    draw = (F.xxhash64(F.col(id_column), F.lit("language")) / float(1 << 64) + 0.5).alias("draw")
-    sample = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw).where(F.col("draw") < rate[F.col("lang")])
+    rate = F.least(F.lit(float(min(per_language, rows / languages))) / F.col("n"), F.try_divide(F.lit(characters / languages), F.col("size")))
+    rates = shares.select("lang", F.coalesce(rate, F.lit(1.0)).alias("rate"))
+    sample = join_checked(known, rates, ["lang"], rows=languages).where("draw < rate")
     counted = sample.select("lang", "text").mapInPandas(_counts, "lang string, n int, item string, c long").groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
-    # Single letters are kept all, so that any known letter tells something.
-    often = counted.where((F.col("c") >= least) | (F.col("n") == LENGTHS[-1]))
-    return Model([tuple(r) for r in often.select("lang", "n", "item", "c").collect()])
+    return Model([tuple(r) for r in counted.select("lang", "n", "item", "c").collect()])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import string
 import struct
+import unicodedata
 
 import numpy as np
 import pytest
@@ -115,9 +117,18 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language.predict(asked, empty).collect()} == {"und"}
 
 
-def plain_language(train, texts, least=2, most=3.0, evidence=20):
+def plain_words(text):
+    """Letters and the marks after them, by category."""
+    found = [""]
+    for c in (text or "").lower():
+        kind = unicodedata.category(c)[0]
+        found[-1:] = [found[-1] + c] if kind == "L" or kind == "M" and found[-1] else [found[-1], ""]
+    return [w for w in found if w]
+
+
+def plain_language(train, texts, least=1, most=3.0, evidence=20):
     """The same backoff, letter by letter."""
-    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    words = plain_words
     grams = lambda w, n: [g[i : i + n] for g in [f"<{w}>" if n > 1 else w] for i in range(len(g) - n + 1)] or [f"<{w}>"]
     langs = sorted({lang for lang, _ in train})
     counts = {(n, lang): collections.Counter() for n in range(5) for lang in langs}
@@ -140,19 +151,19 @@ def plain_language(train, texts, least=2, most=3.0, evidence=20):
 
     out = []
     for text in texts:
-        rows = [score(w) for w in words(text)]
+        rows = [(score(w), 1 if w in vocabulary[0] else max(1, len(w) / 60)) for w in words(text)]
         if not rows:
             out.append(("und", 0.0))
             continue
-        total = [sum(max(r[k] - max(r), -most) for r in rows) for k in range(len(langs))]
+        total = [sum(weight * max(r[k] - max(r), -most) for r, weight in rows) for k in range(len(langs))]
         best = max(range(len(langs)), key=lambda k: total[k])
-        out.append((langs[best], 1 / sum(math.exp((x - total[best]) / len(rows) * min(len(rows), evidence)) for x in total)))
+        n = sum(weight for _, weight in rows)
+        out.append((langs[best], 1 / sum(math.exp((x - total[best]) / n * min(n, evidence)) for x in total)))
     return out
 
 
 def test_language_of_the_tables_matches_plain_python(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("fold", crc_fold("doc_id")).collect()
-    assert max(len(w) for d in docs for w in re.findall(r"[^\W\d_]+", d.text or "")) <= language.PIECE
     wanted = plain_language([(d.lang, d.text) for d in docs if d.fold != 2 and d.lang is not None and d.text is not None], [d.text for d in docs])
     found = {r.doc_id: r for r in queries.op3_language(spark, sf_dir).collect()}
     for d, (lang, score) in zip(docs, wanted, strict=True):
@@ -178,10 +189,50 @@ def test_long_runs_of_letters_are_scored_whole():
     model = language.Model([("a", 4, "abab", 5), ("b", 4, "xyxy", 5), ("a", 1, "a", 9), ("b", 1, "x", 9)])
     predict = language.Predictor(model).predict
     assert [lang for lang, _ in predict(["ab" * 35 + "xy" * 300, "xy" * 35 + "ab" * 300, "ab" * 20])] == ["b", "a", "a"]
-    for size in (*range(61, 70), 119, 120, 121, 122, 500):
-        word = "".join(chr(0x4E00 + k) for k in range(size))
-        for n in language.LENGTHS:
-            assert [g for p in language.pieces_of(word) for g in language.scored_grams(p, n)] == language.grams_of(word, n)
+    scores = [score for _, score in predict(["ab" * k + "xy" * (k // 3) for k in range(15, 75)])]
+    assert {lang for lang, _ in predict(["ab" * k + "xy" * (k // 3) for k in range(15, 75)])} == {"a"}
+    assert max(abs(x - y) for x, y in zip(scores, scores[1:], strict=False)) < 0.05
+    few = language.Predictor(model, cache_characters=100).predict
+    assert [few([t])[0] for t in ("ab" * 40, "xy" * 200, "ab" * 40)] == predict(["ab" * 40, "xy" * 200, "ab" * 40])
+
+
+@pytest.mark.parametrize("text", ["½ ² ³", "Ⅷ", "①②", "\u0301 \u093f", "12 !? ٣", "🎉"])
+def test_texts_without_a_letter(text):
+    model = language.Model([("a", 1, "a", 9), ("b", 1, "x", 9)])
+    assert language.Predictor(model).predict([text]) == [("und", 0.0)]
+
+
+def test_words_with_marks_are_whole():
+    assert language.words_of("हिन्दी भाषा, สวัสดี! Ärger2x e\u0301t\u00e9 a_b") == ["हिन्दी", "भाषा", "สวัสดี", "ärger", "x", "e\u0301té", "a", "b"]
+    for text in ("हिन्दी भाषा ½x", "\u0301a\u0301 b", "İstanbul ÀB", "", "日本語 テキスト"):
+        assert language.words_of(text) == plain_words(text)
+
+
+def test_languages_agree_with_plain_python_on_odd_words(spark):
+    rng = random.Random(3)
+    spell = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    letters = {"x": "abcdeé", "y": "cdefgh", "z": "हिनदभाषऔ"}
+    train = [(lang, " ".join(spell(s, rng.randrange(1, 9)) for _ in range(30))) for lang, s in letters.items() for _ in range(12)]
+    texts = [" ".join(spell(letters[rng.choice("xyz")], rng.choice([2, 5, 59, 60, 61, 130, 400])) for _ in range(rng.randrange(1, 6))) for _ in range(80)] + ["½", "cd dc", ""]
+    docs = spark.createDataFrame([(k, t, lang, None) for k, (lang, t) in enumerate(train)], DOCS)
+    model = language.fit(docs)
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r, (lang, score) in zip(language.predict(asked, model).orderBy("doc_id").collect(), plain_language(train, texts), strict=True):
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6)
+
+
+def test_equal_languages_go_to_the_smaller_name():
+    model = language.Model([("b", 0, "same", 3), ("a", 0, "same", 3), ("c", 0, "same", 3)])
+    assert language.Predictor(model).predict(["same same"])[0] == ("a", pytest.approx(1 / 3))
+
+
+def test_sample_is_bounded_by_characters(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "wort " * 50, "de", None) for k in range(400)] + [(k, f"word{k}", "en", None) for k in range(400, 600)], DOCS)
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda counted: seen.append(counted))
+    language.fit(docs, characters=20_000)
+    words = {(lang, w): c for lang, n, w, c in seen[0] if n == 0}
+    assert 5 * words["de", "wort"] < 20_000 and words["de", "wort"] % 50 == 0 and words["en", "word"] == 200
 
 
 def test_quality_of_held_out_documents(spark, sf_dir):
