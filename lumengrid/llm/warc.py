@@ -4,7 +4,9 @@ Every capture is a request, a response (or a revisit of a response with the same
 metadata record; request and metadata name the response in WARC-Concurrent-To. Archives are gzip
 files of Spark's text writer whose line separator is the end of a record, so that the commit protocol
 keeps them whole when executors are lost. They are read as a stream of pieces between those
-separators, put together again by Content-Length, with one record in memory at a time.
+separators, put together again by Content-Length, with one record in memory at a time. Field names may have any
+case and need no space after the colon, long fields may be folded. A record that its file ends in comes out with what there is of
+it, and `intact` false.
 
 Of captures with equal payloads of at least `least` bytes the one with the smallest id is the response.
 Nulls: a null payload is empty; a null URL leaves out WARC-Target-URI; a null id is a value of its own.
@@ -112,24 +114,39 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "u
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_A_FILE).text(path)
 
 
+def fields_of(lines: list[str]) -> list[tuple[str, str]]:
+    """Names and values; a line that begins with white space goes on with the one before."""
+    found: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and found:
+            found[-1] = (found[-1][0], f"{found[-1][1]} {line.strip()}")
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            found.append((name.strip(), value.strip()))
+    return found
+
+
 class RecordStream:
     """Puts records together from the pieces of one file between separators; each byte is copied a fixed number of times."""
 
     def __init__(self, payload: bool):
         self.payload = payload
-        self.fields: dict[str, str] | None = None  # of the record whose block is being read
+        self.fields: dict[str, str] | None = None  # of the record whose block is being read, by name in lower case
         self.parts: list[bytes] = []
-        self.have = self.need = 0
+        self.have = 0
+        self.need: int | None = 0  # None: the record has no length
 
     def add(self, piece: bytes) -> Iterator[tuple]:
         """Take the next piece, and give the records that are now complete."""
         if self.fields is not None:
+            if self.need is None:
+                raise ValueError(f"record without Content-Length: {self.fields.get('warc-record-id')}")
+            self.have += len(piece) + len(END) * bool(self.parts)  # a separator is certain once a piece follows it
             self.parts.append(piece)
-            self.have += len(piece) + len(END)
             if self.have < self.need:
                 return
-            whole = END.encode().join([*self.parts, b""])
-            block, piece = whole[: self.need], whole[self.need : -len(END)]
+            whole = END.encode().join(self.parts)
+            block, piece = whole[: self.need], whole[self.need :]
             yield self.record(self.fields, block)
             self.fields = None
         head = piece.lstrip(b"\r\n")
@@ -138,26 +155,35 @@ class RecordStream:
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at {lines[0][:60]!r}")
-        self.fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        self.parts, self.have, self.need = [], 0, int(self.fields["Content-Length"])
-        if not self.need:
+        self.fields = {name.lower(): value for name, value in fields_of(lines[1:])}
+        length = self.fields.get("content-length", "")
+        self.parts, self.have, self.need = [], 0, int(length) if length.isdecimal() else None
+        if self.need == 0:
             yield self.record(self.fields, b"")
             self.fields = None
 
-    def record(self, f: dict[str, str], block: bytes) -> tuple:
-        kind, content_type = f.get("WARC-Type"), f.get("Content-Type", "")
+    def close(self) -> Iterator[tuple]:
+        """The record that the file ends in, if it isn't complete."""
+        if self.fields is not None:
+            yield self.record(self.fields, END.encode().join(self.parts), cut=True)
+            self.fields = None
+
+    def record(self, f: dict[str, str], block: bytes, cut: bool = False) -> tuple:
+        kind, content_type = f.get("warc-type"), f.get("content-type", "")
         extra, digest, intact, size, payload = None, None, None, None, None
         if content_type.startswith("application/warc-fields"):
-            extra = [tuple(x.split(": ", 1)) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x]
+            extra = list(dict(fields_of(block.decode("utf-8", "replace").split("\r\n"))).items())
         elif kind in ("response", "resource", "revisit"):
             payload = block.partition(END.encode())[2] if content_type.startswith("application/http") else block
-            named = f.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+            named = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
             if kind == "revisit":
                 digest, payload = named, None
             else:
                 digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
                 intact = named in (None, digest)
-        return f.get("WARC-Record-ID"), kind, f.get("WARC-Date"), f.get("WARC-Target-URI"), f.get("WARC-Concurrent-To"), f.get("WARC-Refers-To"), content_type, extra, size, digest, intact, payload if self.payload else None
+        intact = False if cut else intact
+        named = [f.get(n) for n in ("warc-date", "warc-target-uri", "warc-concurrent-to", "warc-refers-to")]
+        return f.get("warc-record-id"), kind, *named, content_type, extra, size, digest, intact, payload if self.payload else None
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -168,14 +194,18 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, name = RecordStream(payload), None
+        rows = lambda found: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=RECORD.names)
         for batch in batches:
             found = []
             for piece, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if file != name:
+                    found += stream.close()
                     stream, name = RecordStream(payload), file
                 found += stream.add(piece)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=RECORD.names)
+                yield rows(found)
+        if found := list(stream.close()):
+            yield rows(found)
 
     return pieces.mapInArrow(run, RECORD)
 

@@ -332,3 +332,41 @@ def test_captures_agree_with_sql(spark, sf_dir):
     for df in (got, wanted):
         df["refers_to"] = df["refers_to"].map(lambda x: None if x != x or x is None else int(x)).astype(str)
     same(got, wanted)
+
+
+def records_of(spark, folder, body):
+    (folder / "a.warc.gz").write_bytes(gzip.compress(body))
+    return warc.read(spark, str(folder)).collect()
+
+
+def test_spellings_of_other_writers(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody\r\n\r\nmore"
+    body = b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID:  <a>\r\nContent-type:application/http; \r\n\tmsgtype=response\r\nCONTENT-LENGTH:%d\r\n\r\n%b\r\n\r\n" % (len(block), block)
+    body += b"WARC/1.0\r\nWARC-Type: metadata\r\nwarc-concurrent-to:<a>\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nk:v\r\nx: y\r\n\r\n"
+    found = {r.type: r for r in records_of(spark, tmp_path, body)}
+    assert found.keys() == {"response", "metadata"} and bytes(found["response"].payload) == b"body\r\n\r\nmore" and found["response"].record_id == "<a>"
+    assert found["response"].content_type == "application/http; msgtype=response" and found["response"].intact
+    assert found["metadata"].fields == {"k": "v", "x": "y"} and found["metadata"].concurrent_to == "<a>"
+
+
+@pytest.mark.parametrize("cut", [1, 50, 150, 190])
+def test_cut_files_give_what_there_is(spark, tmp_path, cut):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 100 + b"\r\n\r\n" + b"y" * 20
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n"
+    whole = b"".join(head % (k, len(block)) + block + b"\r\n\r\n" for k in range(2))
+    found = {r.record_id: r for r in records_of(spark, tmp_path, whole[: -4 - cut])}
+    assert found["<0>"].intact and found["<0>"].payload_bytes == 124
+    assert len(found) == 2 and not found["<1>"].intact and (cut > 140 or found["<1>"].payload_bytes == 124 - cut)
+
+
+def test_records_without_a_length_are_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="without Content-Length"):
+        records_of(spark, tmp_path, b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+
+
+def test_planted_revisits(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", f"<p>{k // 3}" if k % 10 else None) for k in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op8_warc(spark, str(tmp_path)).toPandas()
+    assert (got.record_type == "revisit").sum() == 60 - len({h for *_, h in rows})
+    same(got, run_sql(str(tmp_path), queries.OP8_SQL.replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")))
