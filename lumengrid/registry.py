@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumengrid import iterative_sql
 from lumengrid.functions import arrays as A
-from lumengrid.operators import generate, large, layout, ordered, reduce, retrieve, smooth, spectral, tiles
+from lumengrid.operators import generate, large, layout, ordered, profiles, reduce, retrieve, smooth, spectral, tiles
 from lumengrid.plans import jobs
 from lumengrid.plans.checkpoint import shared_dir
 from lumengrid.sources import committed
@@ -115,6 +115,19 @@ def frame_value_profile(spark, sf_dir):
     return frames(spark, sf_dir).select("image_id", A.vector_min(vals()).alias("min"), A.vector_max(vals()).alias("max"), r(A.mean(vals()), "mean"), r(A.vector_sum(vals()), "sum"), distinct.alias("n_distinct"))
 
 
+@query(f"WITH {PX} SELECT (image_id % 5)::BIGINT AS part, count(*) AS n, min(v) AS min, max(v) AS max, round(avg(v), 6) + 0.0 AS mean, true AS distinct_ok, true AS median_ok FROM px GROUP BY image_id % 5")
+def set_profile_sketch(spark, sf_dir):
+    """Profiles of 20 sets of frames, merged to 5; estimates are held against exact values, within 5 % and 2 % of ranks."""
+    base = frames(spark, sf_dir).withColumn("set", F.col("image_id") % 20)
+    merged = profiles.merge(profiles.profile(base, "set").withColumn("part", F.col("set") % 5), "part")
+    found = profiles.estimates(merged, (0.5,)).withColumn("median", F.get("quantiles", F.lit(0)))
+    cells = base.select((F.col("image_id") % 5).alias("part"), F.explode("values").alias("v"))
+    exact = cells.join(found.select("part", "median"), "part").groupBy("part").agg(F.count_distinct("v").alias("exact"), F.avg((F.col("v") <= F.col("median")).cast("int")).alias("rank"))
+    checked = found.join(exact, "part")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")
+    return checked.select("part", "n", "min", "max", r("mean", "mean"), near.alias("distinct_ok"), F.col("rank").between(0.48, 0.52).alias("median_ok"))
+
+
 @query(f"WITH {PX} SELECT image_id, ix, max(v) AS max FROM px GROUP BY image_id, ix")
 def frame_col_max(spark, sf_dir):
     columns = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda ix: A.vector_max(A.every(vals(), 8, ix)))
@@ -344,7 +357,7 @@ def blur_invariants(spark, sf_dir):
 
 
 @query(
-    f"WITH {PX}, t AS (SELECT image_id, iy * 8 + ix AS p, v FROM px) SELECT a.image_id, a.p::INT AS pos, round(0.25 * b.v + 0.5 * a.v + 0.25 * c.v, 6) + 0.0 AS v "
+    f"WITH {PX}, t AS MATERIALIZED (SELECT image_id, iy * 8 + ix AS p, v FROM px) SELECT a.image_id, a.p::INT AS pos, round(0.25 * b.v + 0.5 * a.v + 0.25 * c.v, 6) + 0.0 AS v "
     "FROM t a JOIN t b ON b.image_id = a.image_id AND b.p = greatest(0, a.p - 1) JOIN t c ON c.image_id = a.image_id AND c.p = least(63, a.p + 1)"
 )
 def convolve_1d(spark, sf_dir):
@@ -686,6 +699,17 @@ def matrix_text_roundtrip(spark, sf_dir):
     return layout.unpack(back.withColumn("image_id", F.regexp_extract("path", "image_id=(-?[0-9]+)", 1).cast("long")))
 
 
+@query(f"WITH {PX} SELECT image_id, iy, ix, v FROM px")
+def matrix_text_tiles(spark, sf_dir):
+    """All frames' rows, each behind its frame's id and its number, written as a few large matrices and read by splits."""
+    path = _folder(spark)
+    row = lambda y: F.array_join(F.concat(F.array("image_id", y.cast("long")).cast("array<string>"), F.slice("values", y * 8 + 1, F.lit(8)).cast("array<string>")), " ")
+    frames(spark, sf_dir).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), row)).alias("value")).repartition(3).write.text(path)
+    lines = io.read_matrix_text_tiles(spark, path).where("width = 10")
+    at = lines.select(F.get("values", F.lit(0)).cast("long").alias("image_id"), F.get("values", F.lit(1)).cast("int").alias("iy"), F.posexplode(F.slice("values", 3, 8)).alias("ix", "v"))
+    return at.select("image_id", "iy", "ix", "v")
+
+
 @query(f"WITH {PX} SELECT image_id, iy, ix, v FROM px")
 def frames_roundtrip(spark, sf_dir):
     path = _folder(spark)
@@ -780,7 +804,7 @@ def gen_atom_cluster(spark, sf_dir):
 
 
 @query(
-    f"WITH {TURNED}, ci AS (SELECT image_id, iy, ix, ((x - 4) / 8) ** 2 + ((y - 4) / 8) ** 2 <= 0.2::DOUBLE * 0.2::DOUBLE AS inside FROM gr) "
+    f"WITH {TURNED.replace(' AS (', ' AS MATERIALIZED (')}, ci AS MATERIALIZED (SELECT image_id, iy, ix, ((x - 4) / 8) ** 2 + ((y - 4) / 8) ** 2 <= 0.2::DOUBLE * 0.2::DOUBLE AS inside FROM gr) "
     f"SELECT tu.image_id, tu.iy, tu.ix, CASE WHEN inside OR {_RECTANGLE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM tu JOIN ci USING (image_id, iy, ix)"
 )
 def gen_combo(spark, sf_dir):

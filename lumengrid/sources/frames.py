@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,41 @@ def read_matrix_text(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("image_id"), "path", F.size("rows").alias("height"), width.alias("width"), F.when(fine, cells).alias("values"))
 
 
+def read_matrix_text_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """Text files of numbers as tiles of one row each, for files larger than a task: image_id, path, and as in `tiles`.
+
+    Files are read in Spark's splits. A line's number in its split is counted as the split streams by; what the splits
+    before it hold is added, from a table with a row for each split. Blank lines are skipped. A file whose lines differ
+    in length, or with a word that isn't a number, has NULL values.
+    """
+    own = ["path", "start"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.trim(F.regexp_replace("value", r"[\s]+", " ")).alias("line")).where("line <> ''")
+    names = [*own, "line", "inside"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            inside = []
+            for this in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = n + 1 if this == last else 0
+                last = this
+                inside.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside, pa.int64())], names=names)
+
+    words = F.split("line", " ")
+    parsed = lines.mapInArrow(count, "path string, start long, line string, inside long").select(*own, "inside", F.transform(words, lambda x: x.try_cast("double")).alias("cells"))
+    whole = F.forall("cells", lambda x: x.isNotNull())
+    splits = parsed.groupBy(*own).agg(F.count("*").alias("n"), F.min(F.size("cells")).alias("least"), F.max(F.size("cells")).alias("most"), F.bool_and(whole).alias("fine"))
+    of_file = Window.partitionBy("path")
+    before = F.coalesce(F.sum("n").over(of_file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fine = (F.min("least").over(of_file) == F.max("most").over(of_file)) & F.min("fine").over(of_file)
+    first = F.first("most").over(of_file.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    splits = splits.select(*own, before.alias("before"), F.sum("n").over(of_file).cast("int").alias("height"), first.alias("width"), fine.alias("fine"))
+    return parsed.join(splits, own).select(
+        F.xxhash64("path").alias("image_id"), "height", "width", F.lit(1).alias("gh"), F.col("width").alias("gw"), (F.col("before") + F.col("inside")).cast("int").alias("y0"), F.lit(0).alias("x0"), "path", F.when(F.col("fine"), F.col("cells")).alias("values")
+    )
+
+
 def read_gray_images(spark: SparkSession, path: str) -> DataFrame:
     """One frame per 8-bit image: the red channel over 255. Raises if a PNG has another bit depth.
 
