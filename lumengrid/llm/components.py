@@ -1,8 +1,8 @@
 """Connected components, comparison of all pairs of a group in blocks, and of what meets in hash buckets.
 
 Near-duplicate search goes in two steps. `candidate_edges` compares whoever meets in a bucket of a hash
-family, and gives edges only for pairs that are similar enough. `link` then takes the components of
-those edges and compares all their pairs exactly. A bucket is never turned into pairs: a small one is
+family, and gives edges only for pairs that are similar enough. `link` then compares exactly whoever has an
+edge to the same node, or all pairs of a component of edges where that is less work. A bucket is never turned into pairs: a small one is
 compared whole, once for all buckets with the same members; in a crowded one all are compared with its
 hub, and only those unlike the hub with the others.
 """
@@ -64,8 +64,9 @@ def compare_blocks(
 ) -> DataFrame:
     """Compare all pairs of nodes within each component exactly.
 
-    `rows` has component, members (nodes in it), node, weight (rows that the node stands for) and
-    payload. A component is dealt by hash into blocks of about `block` nodes; every pair of blocks is
+    `rows` has component, members (nodes in it), node, weight (rows that the node stands for),
+    payload, and may have centers: all components of the node, where those overlap, so that a pair counts only in
+    the first that it shares. A component is dealt by hash into blocks of about `block` nodes; every pair of blocks is
     one group of bounded size, and a node travels to as many groups as there are blocks. `linked`
     gives the boolean matrix of two lists of payloads. Returns (node, links, root) for each node with
     a link in a group: links is the weight it is linked to there, root the smallest node reached there.
@@ -73,20 +74,23 @@ def compare_blocks(
     small_batches(rows.sparkSession)
     n = F.ceil(F.col("members") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("node"), n).cast("int")
-    pairs = rows.select("component", "node", "weight", "payload", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-    pairs = pairs.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "payload")
+    centers = F.col("centers") if "centers" in rows.columns else F.lit(None).cast("array<long>")
+    pairs = rows.select("component", "node", "weight", "payload", centers.alias("centers"), own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    pairs = pairs.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "payload", "centers")
     return compare_dealt(pairs, linked)
 
 
 def compare_dealt(pairs: DataFrame, linked: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
-    """Compare the rows (component, i, j, own, node, weight, payload) whose own is i with those whose own is j, in each group."""
+    """Compare the rows (component, i, j, own, node, weight, payload, centers) whose own is i with those whose own is j, in each group."""
     small_batches(pairs.sparkSession)
+    if "centers" not in pairs.columns:
+        pairs = pairs.withColumn("centers", F.lit(None).cast("array<long>"))
     dealt = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "node")
 
-    def finish(key: tuple, items: dict[tuple[int, int], tuple[int, bytes]]) -> pa.RecordBatch | None:
-        _, i, j = key
-        left = [(n, w, p) for (o, n), (w, p) in items.items() if o == i]
-        right = left if i == j else [(n, w, p) for (o, n), (w, p) in items.items() if o == j]
+    def finish(key: tuple, items: dict[tuple[int, int], tuple[int, bytes, list[int] | None]]) -> pa.RecordBatch | None:
+        component, i, j = key
+        left = [(n, *x) for (o, n), x in items.items() if o == i]
+        right = left if i == j else [(n, *x) for (o, n), x in items.items() if o == j]
         if not left or not right or i == j and len(left) < 2:
             return None
         match = linked([x[2] for x in left], [x[2] for x in right])
@@ -94,6 +98,8 @@ def compare_dealt(pairs: DataFrame, linked: Callable[[list[bytes], list[bytes]],
         lw, rw = np.array([x[1] for x in left]), np.array([x[1] for x in right])
         if i == j:
             match = match & ~np.eye(len(left), dtype=bool)
+        if left[0][3]:
+            match = match & ~_share_earlier(component, [x[3] for x in left], [x[3] for x in right])
         if not match.any():
             return None
         ll, rl = ln.copy(), (ln.copy() if i == j else rn.copy())
@@ -115,18 +121,31 @@ def compare_dealt(pairs: DataFrame, linked: Callable[[list[bytes], list[bytes]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, items = None, {}
         for batch in batches:
-            for c, i, j, o, node, w, p in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            for c, i, j, o, node, w, p, centers in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 if (c, i, j) != key:
                     if key and (out := finish(key, items)):
                         yield out
                     key, items = (c, i, j), {}
-                items[o, node] = (w, p)
+                items[o, node] = (w, p, centers)
         if key and (out := finish(key, items)):
             yield out
 
     return dealt.mapInArrow(run, "node long, links long, root long")
 
 
+def _share_earlier(component: int, left: list[list[int]], right: list[list[int]]) -> np.ndarray:
+    """Whether two nodes share one of their components before this one."""
+    earlier = {c for centers in left for c in centers if c < component} & {c for centers in right for c in centers if c < component}
+    place = {c: k for k, c in enumerate(earlier)}
+    sides = []
+    for side in (left, right):
+        has = np.zeros((len(side), len(place)), np.float32)
+        for k, centers in enumerate(side):
+            has[k, [place[c] for c in centers if c in place]] = 1
+        sides.append(has)
+    return sides[0] @ sides[1].T > 0
+
+
 def bucket_links(buckets: DataFrame, payloads: DataFrame, linked: Callable, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) among the members of small buckets, and the members (key, node, c, hub) of crowded ones.
 
@@ -213,14 +232,28 @@ def candidate_edges(
 
 
 def link(candidates: DataFrame, rows_of: Callable[[DataFrame], DataFrame], linked: Callable, block: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Exact links among candidate edges (a, b).
+    """Exact links among candidate edges (a, b), b being the node that stands for those that met.
 
-    `rows_of` turns (component, members, node) into rows for `compare_blocks`. Returns (node, links) and
-    (node, component) under the exact links, both materialised.
+    Who met has an edge to the same b. So the nodes about each b are compared, and a pair that shares several only in
+    the first: as many comparisons as there are meetings, however far a component drifts. Where that would be more
+    than all pairs of the component, as among near copies that met in many ways, all its pairs are compared once.
+    `rows_of` adds weight and payload to (node, groups). Returns (node, links) and (node, component) under the exact
+    links, both materialised.
     """
+    stars = materialise(candidates.select(F.col("a").alias("node"), F.col("b").alias("center")).unionAll(candidates.select("b", "b")).distinct())
     found = materialise(connected_components(candidates))
+    around = materialise(stars.groupBy("center").agg(F.count("*").alias("members")))
     sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-    found = materialise(found.join(sizes, "component"))
-    compared = materialise(compare_blocks(rows_of(found), linked, block))
+    work = around.join(found.withColumnRenamed("node", "center"), "center").groupBy("component").agg(F.sum(F.col("members") * F.col("members")).alias("work"))
+    sizes = materialise(sizes.join(work, "component").withColumn("sparse", F.col("work") * 2 < F.col("members") * F.col("members")))
+    found = found.join(sizes, "component")
+    group = lambda c: F.struct(F.col(c).alias("component"), "members")
+    whole = found.where("not sparse").select("node", F.array(group("component")).alias("groups"))
+    parts = stars.join(found.where("sparse").select("node"), "node").join(around, "center")
+    parts = parts.groupBy("node").agg(F.array_sort(F.collect_list(group("center"))).alias("groups"))
+    rows = rows_of(materialise(whole.unionByName(parts)))
+    rows = rows.withColumn("centers", F.transform("groups", lambda g: g["component"])).withColumn("group", F.explode("groups"))
+    rows = rows.select("group.component", "group.members", "node", "weight", "payload", "centers")
+    compared = materialise(compare_blocks(rows, linked, block))
     links = materialise(compared.groupBy("node").agg(F.sum("links").alias("links")))
     return links, materialise(connected_components(compared.select(F.col("node").alias("a"), F.col("root").alias("b"))))

@@ -6,7 +6,7 @@ shortened from `longest` until the chance that a pair at the threshold shares on
 `recall`, but not in a crowded node of a trie with many unlike its hub: its classes keep the whole length,
 in as many more trees (other choices among the same bytes) as that takes to the same recall.
 Whoever meets is compared by sketches, and only pairs that may reach the threshold give candidate
-edges. Within the components of those every pair is then compared exactly, in blocks.
+edges. Those who met are then compared exactly, or all pairs of a component of edges where that is less work.
 
 A text of fewer than n words has one n-gram of all its words; a null text or one without words has
 none, links with nothing and stays. Very long texts are read whole. Rows that repeat an id share its
@@ -232,17 +232,6 @@ def join(
     """
     length = prefix_length(threshold, trees, recall, longest)
 
-    def signatures():
-        hashes = _WordHashes()
-
-        def run(texts: list) -> list:
-            sets = [shingles(t, n, hashes) for t in texts]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            labels = [tree_labels(s, trees, length).tobytes() if len(s) else None for s in sets]
-            return [digests, labels]
-
-        return run
-
     docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     signed = materialise(map_text(docs, "text", lambda: signer(n, trees * longest), [("digest", T.BinaryType()), ("payload", T.BinaryType())], ["id"]))
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("payload").alias("payload"))
@@ -272,7 +261,7 @@ def join(
 
             return run
 
-        carry = ["component", "members", "node", "weight", "digest"]
+        carry = ["groups", "node", "weight", "digest"]
         made = map_text(texts, "text", sets, [("payload", T.BinaryType()), ("made", T.BinaryType())], carry)
         return made.where("made = digest").drop("made", "digest")
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from oracle import run_sql, same
+from pyspark.sql import functions as F
 
 from lumengrid.llm import components, embeddings, jaccard, queries
 from lumengrid.llm.common import table
@@ -206,3 +207,34 @@ def test_hot_vector_and_nothing(spark):
 def test_hadamard_is_orthogonal():
     h = embeddings.hadamard(np.eye(16))
     assert h @ h.T == pytest.approx(np.eye(16)) and h == pytest.approx(h.T)
+
+
+def test_drifting_components_cost_what_their_links_do(spark, monkeypatch):
+    """A long chain of texts, each near its neighbours only: comparisons grow with links, and none is lost or counted twice."""
+    words = [f"w{k}" for k in range(4000)]
+    step, size, n = 10, 200, 300
+    rows = [(k, " ".join(words[k * step : k * step + size])) for k in range(n)]
+    rows += [(n + k, " ".join(words[3500 + k : 3500 + k + 150])) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted, compare = [], components.compare_blocks
+
+    def counting(rows, linked, block=components.CROWD):
+        if "centers" in rows.columns:
+            sizes = rows.groupBy("component").count().collect()
+            counted.append(sum(r["count"] * (r["count"] - 1) // 2 for r in sizes))
+        return compare(rows, linked, block)
+
+    monkeypatch.setattr(components, "compare_blocks", counting)
+    got = {r.id: r for r in jaccard.join(docs).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    near = [[j for j in range(max(0, i - 40), min(len(rows), i + 41)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    assert all(got[i].n_links == len(near[i]) for i in range(len(rows)))
+    assert {got[i].group_id for i in range(n)} == {0} and {got[i].group_id for i in range(n, n + 12)} == {n}
+    links = sum(map(len, near)) // 2
+    assert links > n and sum(counted) <= 10 * links
+    sparse = components.link(spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 2), (9, 4), (8, 4), (7, 4), (6, 5), (5, 4), (10, 6), (11, 10), (12, 11)], "a long, b long"), lambda g: g.withColumn("weight", F.lit(1)).withColumn("payload", F.col("node").cast("binary")), lambda a, b: np.ones((len(a), len(b)), bool))
+    found = {r.node: r.links for r in sparse[0].collect()}
+    edges = [(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 2), (9, 4), (8, 4), (7, 4), (6, 5), (5, 4), (10, 6), (11, 10), (12, 11)]
+    stars = [{b} | {a for a, c in edges if c == b} for b in {b for _, b in edges}]
+    pairs = {(x, y) for s in stars for x in s for y in s if x != y}
+    assert found == {x: sum(p[0] == x for p in pairs) for x in {p[0] for p in pairs}}
