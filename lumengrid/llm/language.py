@@ -10,7 +10,7 @@ by the number of words up to `evidence`, since the words of one text aren't inde
 
 The tables are fitted on a bounded sample, taken by a hash of the id: about `per_language` documents of
 each language, `rows` and `characters` in all, which bounds what is collected and broadcast. They hold every word
-and n-gram of the sample. Predictions read whole texts, very long ones in one go.
+and n-gram of the sample, by a 64-bit hash. Predictions read whole texts, very long ones in one go.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Training rows with a null text or
 language are skipped. Ties go to the smaller language by code point. Repeated rows count as often as
@@ -26,7 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,41 +79,66 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
+class Table:
+    """Rows of a matrix by the 64-bit hash of an item; held in two arrays, since every task has it."""
+
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.rows = hashes[order], rows[order]
+
+    def find(self, items: list[str]) -> np.ndarray:
+        """The row of each item, -1 for those that aren't there."""
+        if not len(self.hashes):
+            return np.full(len(items), -1)
+        wanted = _hashed(items)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1)
+
+
+def _hashed(items: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
+
+
 class Model:
-    """Log frequencies over the languages: tables[n] maps an item to its row of rows[n]."""
-
-    def __init__(self, counted: list[tuple[str, int, str, int]]):
-        self.languages = sorted({r[0] for r in counted})
-        at = {lang: i for i, lang in enumerate(self.languages)}
-        self.tables: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
-        places = [(n, self.tables[n].setdefault(item, len(self.tables[n])), at[lang], c) for lang, n, item, c in counted]
-        counts = {n: np.zeros((len(table), len(at))) for n, table in self.tables.items()}
-        for n, row, column, c in places:
-            counts[n][row, column] = c
-        # Half a count for what a language lacks.
-        self.rows = {n: np.log((c + 0.5) / (c.sum(0) + 0.5 * len(c))) for n, c in counts.items()}
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """One row for each word."""
+    """Log frequencies over the languages: tables[n] has the n-grams, tables[0] the words."""
+
+    def __init__(self, counted: pa.Table | list[tuple[str, int, str, int]]):
+        if isinstance(counted, list):
+            counted = pa.Table.from_pylist([dict(zip(("lang", "n", "item", "c"), r, strict=True)) for r in counted], pa.schema([("lang", pa.string()), ("n", pa.int32()), ("item", pa.string()), ("c", pa.int64())]))
+        langs = counted.column("lang").combine_chunks().dictionary_encode()
+        self.languages = sorted(langs.dictionary.to_pylist())
+        place = np.array([self.languages.index(x) for x in langs.dictionary.to_pylist()], np.int64)
+        column, sizes, counts = place[langs.indices.to_numpy()] if len(langs) else place, counted.column("n").to_numpy(), counted.column("c").to_numpy()
+        self.tables: dict[int, Table] = {}
+        for n in (0, *LENGTHS):
+            at = np.flatnonzero(sizes == n)
+            hashes, row = np.unique(_hashed(counted.column("item").take(pa.array(at)).to_pylist()), return_inverse=True)
+            c = np.zeros((len(hashes), len(self.languages)))
+            c[row, column[at]] = counts[at]
+            # Half a count for what a language lacks.
+            self.tables[n] = Table(hashes, np.log((c + 0.5) / (c.sum(0) + 0.5 * len(c))) if len(c) else c)
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """One row for each word, and whether the word itself is known."""
         out = np.zeros((len(words), len(self.languages)))
-        known = self.tables[0]
-        at = [k for k, w in enumerate(words) if w in known]
-        out[at] = self.rows[0][[known[words[k]] for k in at]]
-        left = [k for k, w in enumerate(words) if w not in known]
+        at = self.tables[0].find(words)
+        known = at >= 0
+        out[known] = self.tables[0].rows[at[known]]
+        left = np.flatnonzero(~known)
         for n in LENGTHS:
-            get, rest, at, sizes, found = self.tables[n].get, [], [], [], []
-            for k in left:
-                if grams := [i for g in grams_of(words[k], n) if (i := get(g)) is not None]:
-                    at.append(k)
-                    sizes.append(len(grams))
-                    found += grams
-                else:
-                    rest.append(k)
-            if at:
-                starts = np.cumsum([0, *sizes[:-1]])
-                out[at] = np.add.reduceat(self.rows[n][found], starts) / np.array(sizes)[:, None]
-            left = rest
-        return out
+            if not len(left):
+                break
+            grams = [grams_of(words[k], n) for k in left.tolist()]
+            of = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            at = self.tables[n].find([g for gs in grams for g in gs])
+            of, at = of[at >= 0], at[at >= 0]
+            hits = np.bincount(of, minlength=len(left))
+            if len(of):
+                there = np.flatnonzero(hits)
+                starts = np.searchsorted(of, there)
+                out[left[there]] = np.add.reduceat(self.tables[n].rows[at], starts) / hits[there, None]
+            left = left[hits == 0]
+        return out, known
 
 
 class Predictor:
@@ -130,12 +157,11 @@ class Predictor:
         if len(self.places) + len(new) > self.cache_entries or self.held + sum(map(len, new)) > self.cache_characters:
             self.places, self.rows, self.weights, self.held, new = {}, self.rows[:0], self.weights[:0], 0, list(words)
         if new:
-            found = self.model.scores(new)
+            found, known = self.model.scores(new)
             found = np.maximum(found - found.max(1, keepdims=True), -self.most)
             self.places.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, found])
-            known = self.model.tables[0]
-            self.weights = np.concatenate([self.weights, [1.0 if w in known else max(1.0, len(w) / RUN) for w in new]])
+            self.weights = np.concatenate([self.weights, [1.0 if k else max(1.0, len(w) / RUN) for w, k in zip(new, known.tolist(), strict=True)]])
             self.held += sum(map(len, new))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -169,7 +195,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: st
     rates = shares.select("lang", F.coalesce(rate, F.lit(1.0)).alias("rate"))
     sample = join_checked(known, rates, ["lang"], rows=languages).where("draw < rate")
     counted = sample.select("lang", "text").mapInPandas(_counts, "lang string, n int, item string, c long").groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
-    return Model([tuple(r) for r in counted.select("lang", "n", "item", "c").collect()])
+    return Model(counted.select("lang", "n", "item", "c").toArrow())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -231,7 +231,7 @@ def test_sample_is_bounded_by_characters(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(language, "Model", lambda counted: seen.append(counted))
     language.fit(docs, characters=20_000)
-    words = {(lang, w): c for lang, n, w, c in seen[0] if n == 0}
+    words = {(r["lang"], r["item"]): r["c"] for r in seen[0].to_pylist() if r["n"] == 0}
     assert 5 * words["de", "wort"] < 20_000 and words["de", "wort"] % 50 == 0 and words["en", "word"] == 200
 
 
