@@ -7,7 +7,9 @@ mix is encoded. SQL can't express the models, so there is no oracle: tests/llm c
 plain Python.
 
 Every stage takes whole texts of any length, null in any column, repeated rows and empty tables, and passes on
-columns of its input besides those of documents, whatever their names; the last one returns its own.
+columns of its input besides those of documents, whatever their names; the last one returns its own. Ties: a score of
+exactly GOOD or SURE stays, of equally likely languages the smaller name counts, of equal texts the smallest id stays,
+and documents of equal finish in the mix go by copy, source, digest and id.
 """
 
 from __future__ import annotations
