@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from lumengrid.functions import arrays as A
 from lumengrid.operators import retrieve, spectral, tiles
-from lumengrid.operators.tiles import CELLS, KEY, Layout, Tile
+from lumengrid.operators.tiles import CELLS, KEY, Cells, Layout, Tile
 from lumengrid.plans.checkpoint import discard, materialise
 from lumengrid.plans.cycles import Run, run_turns
 
@@ -37,23 +37,24 @@ def _scalars(df: DataFrame) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name in KEY or not isinstance(f.dataType, T.ArrayType)])
 
 
-def _modulus(tile: Tile) -> tuple[np.ndarray | None, np.ndarray | None]:
+def _modulus(tile: Tile) -> tuple[Cells, Cells]:
     """Columns' spectrum with the magnitude replaced, transformed back along the columns."""
     mag = tile.arrays.get("mag")
     re, im = tiles.line_transform(tile.arrays.get("re"), tile.arrays.get("im"), 0, False)
     if re is None or mag is None:
         return None, None
-    norm = np.hypot(re, im)
-    scale = mag / np.where(norm == 0, 1, norm)
-    return tiles.line_transform(re * scale, im * scale, 0, True)
+    norm = np.hypot(re[0], im[0])
+    scale, whole = mag[0] / np.where(norm == 0, 1, norm), re[1] & mag[1]
+    return tiles.line_transform((re[0] * scale, whole), (im[0] * scale, whole), 0, True)
 
 
-def _constrained(tile: Tile, re: np.ndarray | None, im: np.ndarray | None) -> tuple[np.ndarray | None, np.ndarray | None]:
-    g_re, g_im, masked = (tile.arrays.get(n) for n in (*GUESS, "masked"))
-    if any(x is None for x in (re, im, g_re, g_im, masked)):
+def _constrained(tile: Tile, re: Cells, im: Cells) -> tuple[Cells, Cells]:
+    known = [re, im, *(tile.arrays.get(n) for n in (*GUESS, "masked"))]
+    if any(x is None for x in known):
         return None, None
-    out, beta = (masked > 0) | (re < 0), tile.scalars["beta"]
-    return np.where(out, g_re - beta * re, re), np.where(out, g_im - beta * im, im)
+    (re, im, g_re, g_im, masked), whole = (x[0] for x in known), np.all([x[1] for x in known], axis=0)
+    out, beta = (masked > 0) | (re < 0), tile.scalars["beta"].to_numpy(zero_copy_only=False)[:, None, None]
+    return (np.where(out, g_re - beta * re, re), whole), (np.where(out, g_im - beta * im, im), whole)
 
 
 def hio_step(guess: DataFrame, magnitudes: DataFrame, cells: int = CELLS, last: str | None = None) -> DataFrame:
@@ -64,27 +65,29 @@ def hio_step(guess: DataFrame, magnitudes: DataFrame, cells: int = CELLS, last:
     they are NULL. Two exchanges.
     """
     rows, cols = tiles.row_bands(cells), tiles.col_bands(cells)
-    state, half = Layout(_scalars(guess), [*GUESS, "masked"]), Layout(_scalars(guess), ["re", "im"])
-    middle, joined, out = Layout(_scalars(guess), ["re", "im", "mag"]), Layout(_scalars(guess), ["re", "im", *GUESS, "masked"]), Layout(_scalars(guess), [*GUESS, "re", "im", "masked"])
+    state, half = Layout(_scalars(guess), [*GUESS, "masked"]), Layout(guess.select(*KEY).schema, ["re", "im"])
+    middle, joined, out = Layout(guess.select(*KEY).schema, ["re", "im", "mag"]), Layout(_scalars(guess), ["re", "im", *GUESS, "masked"]), Layout(_scalars(guess), [*GUESS, "re", "im", "masked"])
 
     def over_rows(tile: Tile) -> Iterator[Tile]:
         re, im = tiles.line_transform(tile.arrays["g_re"], tile.arrays["g_im"], 1, False)
         return tiles._cut(tile.with_arrays(re=re, im=im), cols(tile.height, tile.width))
 
     def over_cols(tile: Tile) -> Iterator[Tile]:
-        if "re" not in tile.arrays and "im" not in tile.arrays:
-            return iter([])
         re, im = _modulus(tile)
-        return tiles._cut(tile.with_arrays(re=re, im=im), rows(tile.height, tile.width))
+        if re is None:
+            return iter([])
+        return tiles._cut(tile.with_arrays(re=re, im=im).where(re[1]), rows(tile.height, tile.width))
 
     def back(tile: Tile) -> Iterator[Tile]:
-        re, im = tiles.line_transform(tile.arrays.get("re"), tile.arrays.get("im"), 1, True)
-        g_re, g_im, masked = (tile.arrays.get(n) for n in (*GUESS, "masked"))
-        if last and tile.scalars[last]:
-            yield tile.with_arrays(g_re=g_re, g_im=g_im, re=re, im=im, masked=masked)
-        else:
-            g_re, g_im = _constrained(tile, re, im)
-            yield tile.with_arrays(g_re=g_re, g_im=g_im, masked=masked)
+        ends = tile.scalars[last].to_numpy(zero_copy_only=False).astype(bool) if last else np.zeros(len(tile.image), bool)
+        for part, over in ((tile.where(ends), True), (tile.where(~ends), False)):
+            re, im = tiles.line_transform(part.arrays.get("re"), part.arrays.get("im"), 1, True)
+            masked = part.arrays.get("masked")
+            if over:
+                yield part.with_arrays(g_re=part.arrays.get("g_re"), g_im=part.arrays.get("g_im"), re=re, im=im, masked=masked)
+            else:
+                g_re, g_im = _constrained(part, re, im)
+                yield part.with_arrays(g_re=g_re, g_im=g_im, masked=masked)
 
     guess = guess.select(*state.schema().names)
     sent = tiles._narrow(guess, state, half, over_rows, pieces=True)

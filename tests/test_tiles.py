@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumengrid.functions import arrays as A
 from lumengrid.operators import layout, smooth, tiles
@@ -118,3 +120,45 @@ def test_smoothing_keeps_invariants(spark):
     df, _ = frames(spark, [(9, 9)])
     after = tiles.to_frames(tiles.blur(tiles.split(df, tiles.grid(4, 4)), 2.0))
     assert tuple(smooth.smoothing_invariants(df, after).first())[1:] == (True, True, True)
+
+
+def packed(n, seed=3):
+    """Frames of two sizes, every seventh NULL and every eleventh with a NULL cell, as one batch of whole frames."""
+    rng = np.random.default_rng(seed)
+    shapes = [(8, 8) if k % 3 else (5, 7) for k in range(n)]
+    cells = [None if k % 7 == 6 else rng.normal(size=h * w).tolist() for k, (h, w) in enumerate(shapes)]
+    for k in range(10, n, 11):
+        if cells[k]:
+            cells[k][4] = None
+    schema = T.StructType([T.StructField("image_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in tiles.KEY[1:]], T.StructField("tag", T.DoubleType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
+    places = [[k, h, w, h, w, 0, 0, k % 2 / 2] for k, (h, w) in enumerate(shapes)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*places, strict=True), [pa.int64(), *[pa.int32()] * 6, pa.float64()], strict=True)]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array(cells, pa.list_(pa.float64()))], names=schema.names)
+    return tiles.Layout(schema), batch, {k: np.array(c).reshape(s) for k, (s, c) in enumerate(zip(shapes, cells, strict=True)) if c and None not in c}
+
+
+def test_small_tiles_are_handled_in_stacks():
+    layout, batch, _ = packed(600)
+    assert len(list(layout.read(iter([batch])))) == 2 and len(list(layout.read(iter([batch]), "tag"))) == 4
+    pieces = layout.write((p for t in layout.read(iter([batch])) for p in tiles._cut(t, (3, 3))), True)
+    rows = pa.Table.from_batches(pieces).sort_by([("image_id", "ascending"), ("y0", "ascending"), ("x0", "ascending")])
+    assert len(list(tiles._assembled(iter(rows.to_batches()), layout))) == 9 + 6
+
+
+@pytest.mark.parametrize(("batch_cells", "stack_cells"), [(1 << 20, 1 << 17), (1, 1), (40, 50), (300, 200)])
+def test_tiles_across_batches_and_stacks(monkeypatch, batch_cells, stack_cells):
+    monkeypatch.setattr(tiles, "BATCH_CELLS", batch_cells)
+    monkeypatch.setattr(tiles, "STACK_CELLS", stack_cells)
+    layout, batch, data = packed(90)
+    bands = [t for t in layout.write((p for t in layout.read(iter([batch])) for p in tiles._cut(t, (3, 3))), True)]
+    shuffled = pa.Table.from_batches(bands).sort_by([("image_id", "ascending"), ("y0", "ascending"), ("x0", "ascending")])
+    small = tiles._assembled(iter(shuffled.to_batches(5)), layout)
+    back = pa.Table.from_batches(layout.write((p for t in small for p in tiles._cut(t, (t.height, t.width))), True)).sort_by("image_id")
+    found = {}
+    for t in tiles._assembled(iter(back.to_batches(5)), layout):
+        whole = t.arrays["values"][1] if t.arrays.get("values") else np.zeros(len(t.image), bool)
+        for k, image in enumerate(t.image.to_pylist()):
+            assert image not in found and t.scalars["tag"][k].as_py() == image % 2 / 2
+            found[image] = t.arrays["values"][0][k] if whole[k] else None
+    assert found.keys() == set(range(90))
+    assert {k for k, x in found.items() if x is not None} == data.keys() and all(np.array_equal(found[k], x) for k, x in data.items())
