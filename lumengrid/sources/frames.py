@@ -9,18 +9,45 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_matrix_text(spark: SparkSession, path: str) -> DataFrame:
+#: Before a frame's rows in a file of many frames, on a line of its own with the frame's name.
+HEADER = "# "
+
+
+def read_matrix_text(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
     """One frame per text file of numbers separated by white space: image_id (by path), path, height, width, values.
 
     Blank lines are skipped. A file whose lines differ in length, or with a word that isn't a number, has NULL values.
+
+    With `many` a file holds any number of frames, one below the other, each behind a line `# name` and ending at a
+    blank line, as `write_matrix_text` leaves them. Files are read in Spark's splits, so that neither the number of
+    files nor the size of a task grows with the number of frames. There is a column `name`, and image_id is by path
+    and name; a frame without such a line has a NULL name, one with several, or with nothing else, has NULL values.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    texts = (spark.read.option("lineSep", "\n\n").text(path) if many else spark.read.text(path, wholetext=True)).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    files = files.withColumn("rows", F.transform(lines, lambda x: F.split(x, r"\s+")))
+    texts = texts.withColumn("__lines", lines)
+    own, single = ["path"], F.lit(True)
+    if many:
+        mark = HEADER.strip()
+        texts = texts.where(F.size("__lines") > 0).withColumn("name", F.when(F.get("__lines", F.lit(0)).startswith(mark), F.trim(F.substr(F.get("__lines", F.lit(0)), F.lit(len(mark) + 1)))))
+        texts = texts.withColumn("__lines", F.when(F.col("name").isNull(), F.col("__lines")).otherwise(F.slice("__lines", F.lit(2), F.size("__lines"))))
+        own, single = ["path", "name"], (F.size("__lines") > 0) & ~F.exists("__lines", lambda x: x.startswith(mark))
+    texts = texts.withColumn("rows", F.transform("__lines", lambda x: F.split(x, r"\s+")))
     width = F.size(F.get("rows", F.lit(0)))
     cells = F.transform(F.flatten("rows"), lambda x: x.try_cast("double"))
-    fine = F.forall("rows", lambda r: F.size(r) == width) & F.forall(cells, lambda x: x.isNotNull())
-    return files.select(F.xxhash64("path").alias("image_id"), "path", F.size("rows").alias("height"), width.alias("width"), F.when(fine, cells).alias("values"))
+    fine = F.forall("rows", lambda r: F.size(r) == width) & F.forall(cells, lambda x: x.isNotNull()) & single
+    return texts.select(F.xxhash64(*own).alias("image_id"), *own, F.size("rows").alias("height"), width.alias("width"), F.when(fine, cells).alias("values"))
+
+
+def write_matrix_text(frames: DataFrame, path: str) -> None:
+    """Store frames as text: a line `# image_id`, a line for each row of numbers, and a blank line; a file for each partition.
+
+    A frame with a missing cell has the word `null` there, a NULL frame only its first line: both are read as NULL.
+    """
+    row = lambda y: F.array_join(F.slice("values", y * F.col("width") + 1, F.col("width")).cast("array<string>"), " ", "null")
+    rows = F.when(F.col("height") > 0, F.transform(F.sequence(F.lit(0), F.col("height") - 1), row))
+    block = F.concat_ws("\n", F.concat(F.lit(HEADER), F.col("image_id").cast("string")), rows)
+    frames.select(block.alias("value")).write.option("lineSep", "\n\n").text(path)
 
 
 def read_matrix_text_tiles(spark: SparkSession, path: str) -> DataFrame:
